@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
-from ._common import table
+from . import bpe, langid, quality, simhash
+from ._common import cut, remainder, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,43 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(docs: DataFrame) -> langid.Model:
+    """Learned only from documents that are not held out (crc32 of the key as text, modulo 3, is not 1)."""
+    return langid.fit(docs.where(remainder("doc_id", 3) != 1))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
+    return langid.predict(rows, op3_language_model(docs)).drop("text")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    got = simhash.groups(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Statistics of the documents that have labels to learn from (crc32 of the key as text, modulo 5, is not 0)."""
+    known = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", 5) != 0))
+    return stats.select("doc_id", "stats").join(known, "doc_id").select("stats", "label")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every whole text of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = cut(quality.with_statistics(docs).drop("text"))  # each text is read once, for the fit and for the scores
+    model = quality.fit(_labelled(stats, table(spark, sf_dir, "labels")))
+    rows = stats.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
+    return quality.score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_langid": op3_langid,
+    "op6_simhash": op6_simhash,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
