@@ -29,7 +29,9 @@ from ._common import bounded_batches
 #: Weights of the pooled covariance and of the diagonal in each class covariance, and a floor on standard deviations.
 POOL, DIAGONAL, FLOOR = 0.1, 0.05, 1e-3
 THRESHOLD = 0.3
-_UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
+#: So many characters and words of usual prose count with each text, so that shares in short texts aren't extreme by chance.
+CHARS, WORDS = 200, 40
+_UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SPACE, _PLAIN = b" \t\n\r\x0b\f", b".,;:'\"?-()"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in _PLAIN)
 
@@ -40,23 +42,25 @@ def statistics(text: str | None) -> list[float]:
     """The transformed statistics of one whole text."""
     b = (text or "").encode()
     words = b.split()
-    n, k = max(1, len(b)), max(1, len(words))
+    n = max(1, len(b))
     size = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
-    less = lambda drop: (n - len(b.translate(None, drop))) / n if b else 0.0
+    less = lambda drop: n0 - len(b.translate(None, drop))
+    n0 = len(b)
     upper, digits, plain, odd, space = map(less, (_UPPER, _DIGITS, _PLAIN, _MARKS, _SPACE))
     lines = [x for x in b.split(b"\n") if x.strip()]
-    distinct = len(set(words))
     same = sum(map(bytes.__eq__, words, words[1:]))
     letters = np.bincount(np.frombuffer(b, np.uint8), minlength=256) if b else np.zeros(256)
     p = letters[letters > 0] / n
     ends = sum(w[-1] in _MARKS for w in words)
     bare = sum(len(w) == 1 and w[0] in _MARKS for w in words)
     caps = sum(map(bytes.isupper, words))
-    log = lambda x: float(np.log(x + 0.01))
+    by_char = lambda x, usual: float(np.log((x + CHARS * usual) / (n0 + CHARS)))
+    by_word = lambda x, usual: float(np.log((x + WORDS * usual) / (len(words) + WORDS)))
     return [
-        float(np.log1p(len(b))), float(np.log1p(len(words))), float(np.log1p(size.mean())), float(np.log1p(size.std())), log(upper), log(digits), log(plain), log(odd), log(space),
-        log(same / k), float(np.log(max(1, distinct)) / np.log(k + 1.0)), log(1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0), log(ends / k), log(bare / k), log(float((size <= 3).mean())),
-        float(-(p * np.log2(p)).sum()), log(caps / k), log(float(letters[128:].sum()) / n),
+        float(np.log1p(n0)), float(np.log1p(len(words))), by_word(float(size.sum()), 6.0), 0.5 * by_word(float(size.var()) * len(words), 9.0),
+        by_char(upper, 0.02), by_char(digits, 0.005), by_char(plain, 0.03), by_char(odd, 0.005), by_char(space, 0.15), by_word(same, 0.01), by_word(len(set(words)), 0.9),
+        float(np.log((len(lines) - len(set(lines)) + 0.1) / (len(lines) + 2))), by_word(ends, 0.01), by_word(bare, 0.01), by_word(float((size <= 3).sum()) if words else 0.0, 0.35),
+        float(-(p * np.log2(p)).sum() * n0 + 4.2 * CHARS) / (n0 + CHARS), by_word(caps, 0.02), by_char(float(letters[128:].sum()), 0.02),
     ]
 
 

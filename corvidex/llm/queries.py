@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, quality, simhash
+from . import bpe, decontam, langid, quality, simhash
 from ._common import cut, remainder, table
 
 
@@ -15,6 +15,36 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that overlaps a benchmark item, with the item and the words that agree."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The same result by brute force over spaced seeds and alignments in SQL.
+OP2_SQL = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
+), masks(k, a, b, c) AS (VALUES (0, 1, 2, 4), (1, 1, 4, 6), (2, 2, 5, 6)),
+long_items AS (SELECT item_id, w, len(w) AS n FROM items WHERE len(w) >= 10),
+item_seeds AS (
+  SELECT item_id, w, n, pos, k, w[pos + 1] || ' ' || w[pos + 1 + a] || ' ' || w[pos + 1 + b] || ' ' || w[pos + 1 + c] AS seed
+  FROM (SELECT *, unnest(range(n)) AS pos FROM long_items), masks WHERE pos + c < n
+), doc_seeds AS (
+  SELECT doc_id, w, pos, k, w[pos + 1] || ' ' || w[pos + 1 + a] || ' ' || w[pos + 1 + b] || ' ' || w[pos + 1 + c] AS seed
+  FROM (SELECT *, unnest(range(len(w))) AS pos FROM words), masks WHERE pos + c < len(w)
+), laid AS (
+  SELECT DISTINCT d.doc_id, i.item_id, i.n, d.pos - i.pos AS shift, d.w AS dw, i.w AS iw
+  FROM doc_seeds d JOIN item_seeds i ON d.k = i.k AND d.seed = i.seed
+), counted AS (
+  SELECT doc_id, item_id, n, len(list_filter(range(n), lambda j: j + shift >= 0 AND dw[j + shift + 1] = iw[j + 1])) AS n_equal FROM laid
+)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(max(n_equal) AS INTEGER) AS n_equal
+FROM counted WHERE n_equal >= ceil(0.8 * n - 1e-9) GROUP BY doc_id, item_id, n
+"""
+
+
 def op3_language_model(docs: DataFrame) -> langid.Model:
     """Learned only from documents that are not held out (crc32 of the key as text, modulo 3, is not 1)."""
     return langid.fit(docs.where(remainder("doc_id", 3) != 1))
@@ -50,8 +80,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_langid": op3_langid,
     "op6_simhash": op6_simhash,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL}
