@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, quality, simhash
+from . import bpe, decontam, htmltext, langid, quality, simhash
 from ._common import cut, remainder, table
 
 
@@ -57,6 +57,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, op3_language_model(docs)).drop("text")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every whole page."""
+    return htmltext.extract_column(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     got = simhash.groups(table(spark, sf_dir, "documents"))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
     "op3_langid": op3_langid,
+    "op4_html": op4_html,
     "op6_simhash": op6_simhash,
     "op10_quality": op10_quality,
 }
