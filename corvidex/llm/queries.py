@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, htmltext, langid, quality, simhash
-from ._common import cut, remainder, table
+from . import ann, bpe, decontam, htmltext, langid, quality, rollup, simhash, urlfilter, warc
+from ._common import cut, remainder, shared_dir, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,66 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_column(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of embeddings for every row whose vec_id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     got = simhash.groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+RULES = [urlfilter.Rule.of(v, t) for v, t in (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's URL, by the longest fitting rule or else by the trees."""
+    return urlfilter.verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into WARC archives and read back."""
+    return warc.archive(spark, table(spark, sf_dir, "pages"), shared_dir(spark))
+
+
+#: sha1 in bare base32: each five hexadecimal digits are four base32 digits.
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, upper(sha1(coalesce(html, ''))) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY n, h) AS first FROM p
+), v AS (
+  SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(i * 5 + 1 AS BIGINT), 5) AS INTEGER)) AS five FROM f
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(five, lambda x:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 10) % 32 + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM v
+"""
+
+
+def op9_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of documents by source, language and tokenizer version after inserts, deletes and revisions."""
+    return rollup.of_corpus(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shared_dir(spark))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+    len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) AS m
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+)
+SELECT source, CASE WHEN lang = 'de' THEN 'de-DE' ELSE lang END AS lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(w) AS BIGINT) AS tokens FROM d GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'marks-2' AS tokenizer, count(*) AS docs, CAST(sum(m) AS BIGINT) AS tokens FROM d GROUP BY ALL
+"""
+
+
 def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of the documents that have labels to learn from (crc32 of the key as text, modulo 5, is not 0)."""
     known = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", 5) != 0))
@@ -88,7 +142,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_langid": op3_langid,
     "op4_html": op4_html,
+    "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
+    "op7_urls": op7_urls,
+    "op8_warc": op8_warc,
+    "op9_rollup": op9_rollup,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL, "op9_rollup": OP9_SQL}
