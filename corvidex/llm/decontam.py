@@ -98,13 +98,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, ke
         return items.select(F.lit(None).cast(docs.schema[key].dataType).alias("doc_id"), "item_id", F.col("n").alias("n_words"), F.col("n").alias("n_equal")).where(F.lit(False))
     bits = _bitmap(seeds)
     h, at = F.col("h"), F.col("pos")
-    rows = docs.select(F.col(key).alias("doc_id"), hashes(F.col(text)).alias("h")).where(F.size("h") > 0)
-    every = rows.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("pos"))
-    kinds = [(k, m) for k, m in _kinds(runs)]
-    found = every.where(_any([_marked(_seed(h, at, m, k), bits) for k, m in kinds]))
+    rows = docs.select(F.col(key).alias("doc_id"), hashes(F.col(text)).alias("h"))
+    every = rows.select("doc_id", "h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("pos"))
+    # The windows of a text and their seeds are loops of one generated method, and the words' hashes stay where they are:
+    # only what passes the bitmap becomes a row. (Seeds written into the filter itself make that method too long to compile.)
+    tried = every.select("doc_id", "h", "pos", F.explode(F.array(*[_seed(h, at, m, k) for k, m in _kinds(runs)])).alias("seed"))
+    found = tried.where(_marked(F.col("seed"), bits))
     longest = items.agg(F.max("n")).scalar()
     near = F.greatest(at - longest, F.lit(0))
-    hits = found.select("doc_id", F.slice("h", near + 1, F.lit(2) * longest + 8).alias("h"), (at - near).alias("pos"), F.explode(F.filter(F.array(*[_seed(h, at, m, k) for k, m in kinds]), lambda s: s.isNotNull())).alias("seed"))
+    hits = found.select("doc_id", F.slice("h", near + 1, F.lit(2) * longest + 8).alias("h"), (at - near).alias("pos"), "seed")
     if size <= broadcast:
         joined = hits.join(F.broadcast(seeds), "seed")
     else:
@@ -121,13 +123,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, ke
     )
 
 
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that overlap no test item; same columns. Rows with a null key stay."""
     bad = overlaps(docs, benchmark, key=key, text=text, **options).select(F.col("doc_id").alias(key)).distinct()
