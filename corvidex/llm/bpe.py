@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
@@ -234,23 +235,32 @@ def decode_column(df: DataFrame, ids: str = "ids", text: str = "decoded", path:
     return df.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str = BPE_FILE) -> DataFrame:
-    """Per document: doc_id, n_tokens, and the SHA-256 of its ids and of the text decoded from them.
+def digests(docs: DataFrame, path: str = BPE_FILE, with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, and the SHA-256 of its ids and of the text decoded from them; the ids too if asked for.
 
-    Ids and texts stay in the worker, so that a result of a few bytes per
-    document leaves it instead of four bytes per token.
+    Without the ids, a result of a few bytes per document leaves the worker
+    instead of four bytes per token.
     """
     bounded_batches(docs.sparkSession)
+    fields = [docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, sha = load(path), hashlib.sha256
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, kept = [], [], [], []
             for x in b.column(1).to_pylist():
                 ids = model.encode(x)
                 n.append(len(ids))
                 a.append(sha(model.joined(ids).encode()).hexdigest())
                 d.append(sha(model.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+                if with_ids:
+                    kept.append(pa.array(ids, pa.int32()))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
