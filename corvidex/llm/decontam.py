@@ -4,14 +4,15 @@ Texts become words (runs of letters and digits, lower-cased). A mask picks four
 words of a window and ignores those between; the hash of the picked words is a
 seed. Test and training seeds are joined; around each hit the whole test item is
 laid over the document, and the words that agree are counted. An item overlaps a
-document if, at some hit, at least ``SIMILAR`` of its words agree: up to a fifth
-may be substituted. The three masks find every such overlap of items of 10 to 15 words,
+document if, at some hit, at least ``SIMILAR`` of some ``WINDOW`` neighbouring words
+of it agree (of all its words, if it has fewer): up to a fifth may be substituted,
+and a passage taken from a long item is found too. The three masks find every such overlap of items of 10 to 15 words,
 and of longer ones unless the substitutions break all masks everywhere. Items under 10 words are sought by runs: the whole item
 below five words, else its two halves, one of which is free of substitutions.
 
 Most windows have no test seed. They are dropped right where they are made, by a
-bitmap of fixed size over the test seeds, before any row is built or moved. The
-join after it is exact, so the bitmap only saves work. The test seeds are
+bitmap over the test seeds, before any row is built or moved. It has 16 bits a
+seed, and between 512 KB and 8 MB. The join after it is exact, so the bitmap only saves work. The test seeds are
 broadcast if their measured size allows, else both sides are shuffled by seed
 and the test side is replicated over salts, so a passage that
 many documents hold is spread.
@@ -27,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 MASKS = ((0, 1, 2, 4), (0, 1, 4, 6), (0, 2, 5, 6))
-SHORT, SIMILAR = 10, 0.8
-#: Words of 64 bits in the bitmap (512 KB), whatever the sizes of the tables.
-BITMAP = 1 << 16
+SHORT, SIMILAR, WINDOW = 10, 0.8, 20
+#: Words of 64 bits in the bitmap, at least and at most.
+BITMAPS = 1 << 16, 1 << 20
 #: Estimated bytes of test seeds up to which they are broadcast; and salts beyond it.
 BROADCAST, SALTS = 16 << 20, 16
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -67,43 +68,49 @@ def _test_seeds(items: DataFrame, runs: list[int]) -> DataFrame:
     return each.select("item_id", "words", "n", "at", F.explode(F.array(*options)).alias("seed")).where("seed is not null").distinct()
 
 
-def _bitmap(seeds: DataFrame) -> Column:
-    """A scalar: the bitmap over the seeds, two bits a seed, as an array of longs."""
-    marks = seeds.select(F.explode(F.array(*_probes(F.col("seed")))).alias("p")).select("p.*")
+def _bitmap(seeds: DataFrame, size: int) -> Column:
+    """A scalar: the bitmap over the seeds, two bits a seed, as an array of ``size`` longs."""
+    marks = seeds.select(F.explode(F.array(*_probes(F.col("seed"), size))).alias("p")).select("p.*")
     filled = marks.groupBy("i").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("w"))
-    every = filled.sparkSession.range(BITMAP).select(F.col("id").cast("int").alias("i")).join(filled, "i", "left")
+    every = filled.sparkSession.range(size).select(F.col("id").cast("int").alias("i")).join(filled, "i", "left")
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0).cast("bigint")).alias("w")))), lambda x: x["w"]).alias("bits")).scalar()
 
 
-def _probes(seed: Column) -> list[Column]:
+def _probes(seed: Column, size: int) -> list[Column]:
     def probe(shift: int) -> Column:
         x = F.shiftrightunsigned(seed, shift)
-        return F.struct(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("i"), x.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+        return F.struct(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(size - 1)).cast("int").alias("i"), x.bitwiseAND(F.lit(63)).cast("int").alias("b"))
 
     return [probe(0), probe(30)]
 
 
-def _marked(seed: Column, bits: Column) -> Column:
-    tests = [F.getbit(F.get(bits, p["i"]), p["b"]) == 1 for p in _probes(seed)]
+def _marked(seed: Column, bits: Column, size: int) -> Column:
+    tests = [F.getbit(F.get(bits, p["i"]), p["b"]) == 1 for p in _probes(seed, size)]
     return F.coalesce(tests[0] & tests[1], F.lit(False))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast: int = BROADCAST) -> DataFrame:
-    """(doc_id, item_id, n_words, n_equal): the best overlap of each document and test item that has enough equal words."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast: int = BROADCAST, window: int = WINDOW) -> DataFrame:
+    """(doc_id, item_id, n_words, n_equal, n_window): the best overlap of each document and test item that has enough equal words.
+
+    Under the best alignment ``n_equal`` of the item's ``n_words`` words agree, and at most ``n_window`` of min(n_words, window) neighbouring ones.
+    """
     items = benchmark.select(F.col(item).alias("item_id"), hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct().withColumn("n", F.size("words"))
-    runs = sorted(r["r"] for r in items.select(_run(F.col("n")).alias("r")).where("r is not null").distinct().collect())
+    runs = sorted(r["r"] for r in items.select(_run(F.col("n")).alias("r")).where("r is not null").distinct().collect())  # fewer than 10 rows
     seeds = _test_seeds(items, runs)
-    size = seeds.agg(F.coalesce(F.sum(8 * F.col("n") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    known = seeds.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.col("n") + 64), F.lit(0)).alias("bytes")).first()
+    size, least, most = known["bytes"], *BITMAPS
     if not size:
-        return items.select(F.lit(None).cast(docs.schema[key].dataType).alias("doc_id"), "item_id", F.col("n").alias("n_words"), F.col("n").alias("n_equal")).where(F.lit(False))
-    bits = _bitmap(seeds)
+        n = F.col("n")
+        return items.select(F.lit(None).cast(docs.schema[key].dataType).alias("doc_id"), "item_id", n.alias("n_words"), n.alias("n_equal"), n.alias("n_window")).where(F.lit(False))
+    slots = max(least, min(most, 1 << (known["n"] * 16 // 64).bit_length()))
+    bits = _bitmap(seeds, slots)
     h, at = F.col("h"), F.col("pos")
     rows = docs.select(F.col(key).alias("doc_id"), hashes(F.col(text)).alias("h"))
     every = rows.select("doc_id", "h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("pos"))
     # The windows of a text and their seeds are loops of one generated method, and the words' hashes stay where they are:
     # only what passes the bitmap becomes a row. (Seeds written into the filter itself make that method too long to compile.)
     tried = every.select("doc_id", "h", "pos", F.explode(F.array(*[_seed(h, at, m, k) for k, m in _kinds(runs)])).alias("seed"))
-    found = tried.where(_marked(F.col("seed"), bits))
+    found = tried.where(_marked(F.col("seed"), bits, slots))
     longest = items.agg(F.max("n")).scalar()
     near = F.greatest(at - longest, F.lit(0))
     hits = found.select("doc_id", F.slice("h", near + 1, F.lit(2) * longest + 8).alias("h"), (at - near).alias("pos"), "seed")
@@ -113,13 +120,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, ke
         salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
     shift = F.col("pos") - F.col("at")
-    equal = F.size(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get("h", j + shift) == F.get("words", j)))
+    equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.get("h", j + shift) == F.get("words", j), F.lit(False)))
+    width = F.least(F.col("n"), F.lit(window))
+    count = lambda some: F.size(F.filter(some, lambda e: e))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda i: count(F.slice("equal", i, width))))
+    laid = joined.select("doc_id", "item_id", "n", equal.alias("equal")).select("doc_id", "item_id", "n", count(F.col("equal")).alias("n_equal"), best.alias("n_window"))
     return (
-        joined.select("doc_id", "item_id", "n", equal.alias("n_equal"))
-        .where(F.col("n_equal") >= F.ceil(F.col("n") * F.lit(similar) - 1e-9))
+        laid.where(F.col("n_window") >= F.ceil(width * F.lit(similar) - 1e-9))
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct(F.col("n_equal") / F.col("n"), "n_equal", "n")).alias("best"))
-        .select("doc_id", "item_id", F.col("best.n").alias("n_words"), F.col("best.n_equal").alias("n_equal"))
+        .agg(F.max(F.struct(F.col("n_window") / width, F.col("n_equal") / F.col("n"), "n_equal", "n", "n_window")).alias("best"))
+        .select("doc_id", "item_id", F.col("best.n").alias("n_words"), F.col("best.n_equal").alias("n_equal"), F.col("best.n_window").alias("n_window"))
     )
 
 

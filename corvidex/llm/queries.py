@@ -37,11 +37,15 @@ item_seeds AS (
 ), laid AS (
   SELECT DISTINCT d.doc_id, i.item_id, i.n, d.pos - i.pos AS shift, d.w AS dw, i.w AS iw
   FROM doc_seeds d JOIN item_seeds i ON d.k = i.k AND d.seed = i.seed
+), compared AS (
+  SELECT doc_id, item_id, n, least(n, 20) AS width, list_transform(range(n), lambda j: CASE WHEN j + shift >= 0 AND dw[j + shift + 1] = iw[j + 1] THEN 1 ELSE 0 END) AS same FROM laid
 ), counted AS (
-  SELECT doc_id, item_id, n, len(list_filter(range(n), lambda j: j + shift >= 0 AND dw[j + shift + 1] = iw[j + 1])) AS n_equal FROM laid
+  SELECT doc_id, item_id, n, width, list_sum(same) AS n_equal, list_max(list_transform(range(n - width + 1), lambda i: list_sum(same[i + 1 : i + width]))) AS n_window FROM compared
+), best AS (
+  SELECT * FROM counted WHERE n_window >= ceil(0.8 * width - 1e-9)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_window / width DESC, n_equal / n DESC, n_equal DESC, n DESC) = 1
 )
-SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(max(n_equal) AS INTEGER) AS n_equal
-FROM counted WHERE n_equal >= ceil(0.8 * n - 1e-9) GROUP BY doc_id, item_id, n
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(n_equal AS INTEGER) AS n_equal, CAST(n_window AS INTEGER) AS n_window FROM best
 """
 
 

@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string"
 ITEMS = "item_id long, text string"
 
 
-def brute(docs, items, similar=0.8):
+def brute(docs, items, similar=0.8, window=20):
     """Every alignment of every item with every document."""
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     out = {}
@@ -17,10 +17,13 @@ def brute(docs, items, similar=0.8):
         w = words(text)
         for i, item in items:
             v = words(item)
-            best = max((sum(0 <= j + s < len(w) and w[j + s] == x for j, x in enumerate(v)) for s in range(-len(v), len(w))), default=0)
-            if v and best >= math.ceil(len(v) * similar - 1e-9):
-                out[d, i] = max(out.get((d, i), (0, 0)), (len(v), best))
-    return {(*k, *v) for k, v in out.items()}
+            width = min(window, len(v))
+            for s in range(-len(v), len(w)):
+                same = [0 <= j + s < len(w) and w[j + s] == x for j, x in enumerate(v)]
+                most = max((sum(same[k : k + width]) for k in range(len(v) - width + 1)), default=0)
+                if v and most >= math.ceil(width * similar - 1e-9):
+                    out[d, i] = max(out.get((d, i), (0, 0, 0)), (most, sum(same), len(v)))
+    return {(*k, n, equal, most) for k, (most, equal, n) in out.items()}
 
 
 def made(seed=0):
@@ -34,11 +37,12 @@ def made(seed=0):
             for j in rng.sample(range(len(v)), int(share * len(v))):
                 v[j] = word() + "q"
             docs.append((len(docs), f"{word()} {word()}. {' '.join(v).upper()}! {word()}"))
+            docs.append((len(docs), f"{word()} {' '.join(v[len(v) // 3 : len(v) // 3 + 22])} {word()}"))  # a passage of a long item
     return docs, items
 
 
 def result(df):
-    return {tuple(r) for r in df.select("doc_id", "item_id", "n_words", "n_equal").collect()}
+    return {tuple(r) for r in df.select("doc_id", "item_id", "n_words", "n_equal", "n_window").collect()}
 
 
 def test_against_brute_force(spark):
@@ -61,7 +65,7 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (4, long), (4, long), (None, long), (5, "clean words only")], SCHEMA)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     items = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None), (9, " ")], ITEMS)
-    want = {(4, 7, 11, 11), (4, None, 11, 11), (None, 7, 11, 11), (None, None, 11, 11)}
+    want = {(4, 7, 11, 11, 11), (4, None, 11, 11, 11), (None, 7, 11, 11, 11), (None, None, 11, 11, 11)}
     assert result(D.overlaps(docs, items)) == want
     assert sorted(r["doc_id"] or 0 for r in D.remove(docs, items).collect()) == [0, 1, 2, 3, 5]
 
