@@ -4,9 +4,9 @@ Rules name a host and a path: one fits its host and all subdomains, if the URL's
 starts with the rule's; the longest fitting rule decides. For all other URLs
 boosted regression trees judge lexical features: lengths, depth, digit ratio,
 entropy, parameter counts, and statistics of the host's last label over all
-labelled URLs. The trees are fitted on a bounded sample of labelled URLs with
-both classes weighted alike, and become one column expression, so that
-scoring stays in Spark's generated code.
+labelled URLs. The trees are fitted on a bounded sample of distinct labelled
+URLs, each weighted by how often it occurs and both classes weighted alike, and
+become one column expression, so that scoring stays in Spark's generated code.
 
 Cases: a null URL, or one without "://", has an empty host and path and gets a verdict by the
 method; so does any URL if there are no labels (score 0.5, which allows); repeated rows are each
@@ -20,11 +20,13 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled URLs that the trees are fitted on, at most about; those with the smallest hashes of the URL.
+#: Distinct labelled URLs that the trees are fitted on, at most about; those with the smallest hashes of the URL.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, LEAF, BINS = 40, 3, 0.2, 20, 32
 #: Distinct suffixes up to which their statistics are broadcast; beyond it they are joined by a shuffle.
 SUFFIXES = 50_000
+#: Rules up to which they are one expression; beyond it they are a table that is joined.
+FEW_RULES = 100
 
 
 def host(url: str = "url") -> Column:
@@ -54,12 +56,14 @@ class Rule:
         return self.host + self.path
 
 
-def rules_table(spark, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, rule_host string, rule_path string")
+def matched(rows: DataFrame, rules: list[Rule], few: int = FEW_RULES) -> DataFrame:
+    """``rows`` (host, path) with the longest fitting rule and its verdict, or null.
 
-
-def matched(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``rows`` (host, path) with the longest fitting rule and its verdict, or null; rules are tried longest first."""
+    A few rules become one expression, tried longest first. Many are a table that is joined by host
+    and path: each distinct host and path looks up its own suffixes and prefixes, of the lengths that rules have.
+    """
+    if len(rules) > few:
+        return _looked_up(rows, rules)
     which, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), [-ord(c) for c in r.text])):
         fits = ((F.col("host") == r.host) | F.endswith(F.col("host"), F.lit("." + r.host))) & F.startswith(F.col("path"), F.lit(r.path))
@@ -67,6 +71,21 @@ def matched(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.withColumn("rule", which).withColumn("rule_verdict", verdict)
 
 
+def _looked_up(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    names = ("host", "path", "rule", "rule_verdict")
+    first = {(r.host, r.path): r for r in sorted(rules, key=lambda r: r.text, reverse=True)}
+    table = rows.sparkSession.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in first.values()], "h string, p string, rule string, rule_verdict string")
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    lengths = F.array(*[F.lit(n) for n in sorted({len(r.path) for r in rules})])
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    tried = rows.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("h")).select("host", "path", "h", F.explode(prefixes).alias("p"))
+    # Longest first; of equal lengths the rule that sorts first.
+    order = F.struct(F.char_length("rule"), F.transform(F.split("rule", ""), lambda c: -F.ascii(c)))
+    best = tried.join(table, ["h", "p"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias("b"))
+    return rows.join(best.select("host", "path", "b.rule", "b.rule_verdict"), ["host", "path"], "left").select(*[c for c in rows.columns if c not in names[2:]], "rule", "rule_verdict")
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
@@ -129,13 +148,15 @@ class Trees:
         return self.start + sum((node(t, x) for t in self.trees), np.zeros(len(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, leaf: int = LEAF, bins: int = BINS) -> Trees:
-    """Trees for the log odds of y = 1 by Newton steps on histograms; both classes weigh the same in sum."""
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, leaf: int = LEAF, bins: int = BINS) -> Trees:
+    """Trees for the log odds of y = 1 by Newton steps on histograms; a row counts ``times``, and both classes weigh the same in sum."""
     model = Trees()
     if not len(y) or y.min() == y.max():
         model.start = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return model
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    weight = np.ones(len(y)) if times is None else times.astype(float)
+    for c in (0, 1):
+        weight[y == c] *= 0.5 * len(y) / weight[y == c].sum()
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(q, c, side="left") for q, c in zip(cuts, x.T)], 1)
     margin = np.zeros(len(y))
@@ -165,14 +186,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
     return model
 
 
-def judge(rows: DataFrame, labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE, seed_column: str | None = None) -> DataFrame:
+def judge(rows: DataFrame, labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE) -> DataFrame:
     """``rows`` with ``score``: how likely label 1 is, by trees fitted on ``labelled`` (url, label 0 or 1).
 
     The suffixes' statistics cover all labelled URLs; the trees' sample is bounded by ``sample``.
     """
-    known = features(labelled.where(F.col(label).isin(0, 1)).select(F.col(url), F.col(label).cast("int").alias("y")).withColumn("host", host(url)).withColumn("path", path(url)), url)
-    stats = known.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
-    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("k")).first()
+    once = labelled.where(F.col(label).isin(0, 1)).groupBy(F.col(url), F.col(label).cast("int").alias("y")).agg(F.count("*").alias("times"))
+    known = features(once.withColumn("host", host(url)).withColumn("path", path(url)), url)
+    stats = known.groupBy("suffix").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("y")).alias("bad"), F.count("*").alias("urls"))
+    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("urls"), F.lit(0)).alias("urls"), F.count("*").alias("k")).first()
     prior = (total["bad"] + 0.5) / (total["n"] + 1)
     rate = stats.select("suffix", ((F.col("bad") + 5 * prior) / (F.col("n") + 5)).alias("rate"), (F.col("n") / max(1, total["n"])).alias("share"))
     if total["k"] <= SUFFIXES:
@@ -183,9 +205,9 @@ def judge(rows: DataFrame, labelled: DataFrame, url: str = "url", label: str = "
         return f.join(rate, "suffix", "left").withColumn(f"f{count}", F.coalesce("rate", F.lit(prior))).withColumn(f"f{count + 1}", F.coalesce("share", F.lit(0.0))).drop("suffix", "rate", "share")
 
     names = [f"f{i}" for i in range(count + 2)]
-    part = min(1.0, sample / max(1, total["n"]))
-    chosen = complete(known).where(F.pmod(F.xxhash64(F.col(url)), F.lit(1 << 24)) < F.lit(part * (1 << 24))).select(*names, "y").toPandas()
-    model = fit(chosen[names].to_numpy(float), chosen["y"].to_numpy(int))
+    part = min(1.0, sample / max(1, total["urls"]))
+    chosen = complete(known.where(F.pmod(F.xxhash64(F.col(url)), F.lit(1 << 24)) < F.lit(part * (1 << 24)))).select(*names, "y", "times").toPandas()
+    model = fit(chosen[names].to_numpy(float), chosen["y"].to_numpy(int), chosen["times"].to_numpy(float))
     margin = model.margin(names)
     return complete(features(rows, url)).withColumn("score", 1 / (1 + F.exp(-margin))).drop(*names)
 

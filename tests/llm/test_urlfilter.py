@@ -40,6 +40,18 @@ def test_rules_against_brute_force(spark):
         assert r["verdict"] in ("allow", "block") and (verdict is None or r["verdict"] == verdict) and 0 <= r["score"] <= 1
 
 
+def test_many_rules_are_joined(spark):
+    rows = spark.createDataFrame(list(enumerate(URLS)), SCHEMA).withColumn("host", U.host("url")).withColumn("path", U.path("url"))
+    a, b = (sorted(map(str, U.matched(rows, RULES, few).select("page_id", "rule", "rule_verdict").collect())) for few in (100, 0))
+    assert a == b
+
+
+def test_a_repeated_url_counts_as_often_as_it_occurs(spark):
+    urls = [("http://a.com/x", 1)] * 50 + [(f"http://a.com/y{i}", 0) for i in range(50)]
+    got = U.judge(spark.createDataFrame([("http://a.com/x",), ("http://a.com/y1",)], "url string").withColumn("host", U.host()).withColumn("path", U.path()), spark.createDataFrame(urls, "url string, label int"), sample=10_000)
+    assert got.count() == 2
+
+
 def test_whole_table(spark):
     from corvidex.llm.queries import op7_urls
 
