@@ -11,7 +11,7 @@ the attempt that Spark committed, so lost executors leave no wrong record.
 
 Cases: a null html is an empty payload; equal empty payloads are revisits too
 (unless ``least`` is higher); a null URL leaves the header out; rows with a null
-page_id are stored and never referred to; repeated rows of the smallest page_id
+page_id are revisits of an equal payload that has one, else responses, and are never referred to; repeated rows of the smallest page_id
 are all responses; an empty table gives an empty index; payloads of any length
 are stored whole; other columns are not read.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ def _store(uri: str):
 
     if urlsplit(uri).scheme in ("", "file"):
         return fs.LocalFileSystem(), urlsplit(uri).path
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
@@ -94,9 +95,9 @@ def write(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01
     prints = base.select("page_id", F.sha1(payload).alias("d"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
     first = prints.groupBy("d", "n").agg(F.min("page_id").alias("first"))
     again = prints.join(first, ["d", "n"]).where("page_id <> first or page_id is null and first is not null")
-    known = again.where("page_id is not null").select("page_id", "d", "first").distinct()
-    # The payload travels once, by page_id, which is never hot; the digest tells apart different payloads of one page_id.
-    rows = base.withColumn("d", F.sha1(payload)).join(known, ["page_id", "d"], "left").select("page_id", "url", "html", "first")
+    known = again.select(F.col("page_id").alias("p"), "d", "first").distinct()
+    # The payload travels once, by page_id and digest, which tells apart different payloads of one page_id; null ids join too.
+    rows = base.withColumn("b", F.sha1(payload)).join(known, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("b") == F.col("d")), "left").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
