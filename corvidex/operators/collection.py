@@ -6,6 +6,8 @@ Tables, all lazy until ``save``:
 * ``entries`` (ix, kind, key, doc_nr, freq, positions): one row a document, index and key
 * ``all_text`` (key, doc_nr, w): clamped weights over all indices
 * ``lexicon`` (ix, key, df) and ``doc_weights`` (doc_nr, wd)
+* ``sequences`` (doc_nr, seq_nr, seq), where records have any
+* ``info`` (kind, value): what is needed to open the collection again
 
 A document's keys are made from its row alone, and rows are dealt by doc_nr
 before they are split up, so frequencies, weights and norms need no further
@@ -14,15 +16,20 @@ shuffle; only document frequencies do, after partial aggregation.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 TEXT, WEIGHTED, VALUE, DATE, NUMBER = "text", "wtxt", "valu", "date", "nmbr"
 KINDS = (TEXT, WEIGHTED, VALUE, DATE, NUMBER)
+#: Stored entries are partitioned by index; a collection without any has no files to take the types from.
+ENTRIES = "kind string, key string, doc_nr bigint, freq bigint, positions array<int>, ix string"
 ALL_TEXT, MOST_INDICES, TOP_WEIGHT = "__ALL_TEXT__", 32, 31
 
 
@@ -32,13 +39,14 @@ class IndexError_(ValueError):
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """An index: its name, kind, the column it reads, and how text is split (``word`` takes the value as one key)."""
+    """An index: its name, kind, the column it reads, and how text is split (``word`` takes the value as one key; ``many``: the column is an array of values)."""
 
     name: str
     kind: str
     column: str
     numbers: bool = False
     word: bool = False
+    many: bool = False
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -48,8 +56,15 @@ class IndexSpec:
         """The document's keys in order of position; null elements are empty positions."""
         c = F.col(self.column)
         if self.kind in (TEXT, WEIGHTED) and not self.word:
-            return F.coalesce(T.index_tokens(c.cast("string"), self.numbers, stop if self.kind == TEXT else ()), F.array().cast("array<string>"))
-        value = F.date_format(c, "yyyy-MM-dd") if self.kind == DATE else T.ascii_lower(c.cast("string"))
+            whole = F.array_join(c, " ") if self.many else c.cast("string")
+            return F.coalesce(T.index_tokens(whole, self.numbers, stop if self.kind == TEXT else ()), F.array().cast("array<string>"))
+        if self.many:
+            return F.coalesce(F.flatten(F.transform(c, lambda v: self._single(v, stop))), F.array().cast("array<string>"))
+        return self._single(c, stop)
+
+    def _single(self, c: Column, stop: tuple[str, ...]) -> Column:
+        """One value as an array of one key, or of none if the kind rejects it."""
+        value = F.date_format(c, "yyyy-MM-dd") if self.kind == DATE and not self.many else T.ascii_lower(c.cast("string"))
         good = value.isNotNull() & (F.length(value) <= T.LONGEST)
         if self.kind == NUMBER:
             good = good & T.is_number(value)
@@ -70,6 +85,7 @@ class Collection:
     name: str = "collection"
     meta: tuple[str, ...] = ()
     stored: str | None = None
+    sequences: DataFrame | None = None
     _tables: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
@@ -105,7 +121,8 @@ class Collection:
 
     def table(self, name: str) -> DataFrame:
         if self.stored:
-            return self.spark.read.parquet(f"{self.stored}/{name}")
+            reader = self.spark.read.schema(ENTRIES) if name == "entries" else self.spark.read
+            return reader.parquet(f"{self.stored}/{name}")
         if name not in self._tables:
             self._tables[name] = getattr(self, f"_{name}")()
         return self._tables[name]
@@ -164,13 +181,47 @@ class Collection:
         fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
         self.docs.write.parquet(f"{stage}/docs")
         self.table("entries").repartitionByRange("ix", "key", "doc_nr").sortWithinPartitions("ix", "key", "doc_nr").write.partitionBy("ix").parquet(f"{stage}/entries")
+        if self.sequences is not None:
+            self.sequences.write.parquet(f"{stage}/sequences")
+        self.spark.createDataFrame(self._info(), "kind string, value string").coalesce(1).write.parquet(f"{stage}/info")
         half = Collection(self.spark.read.parquet(f"{stage}/docs"), self.indices, self.stop, self.name, self.meta, stage)
         half._all_text().repartitionByRange("key", "doc_nr").sortWithinPartitions("key", "doc_nr").write.parquet(f"{stage}/all_text")
         half._lexicon().repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{stage}/lexicon")
         half._doc_weights().write.parquet(f"{stage}/doc_weights")
         fs.delete(root, True)
         fs.rename(jvm.org.apache.hadoop.fs.Path(stage), root)
-        return Collection(self.spark.read.parquet(f"{path}/docs"), self.indices, self.stop, self.name, self.meta, path)
+        return Collection.open(self.spark, path)
+
+    def _info(self) -> list[tuple[str, str]]:
+        """The info records: one of each kind, and one for every index, meta field and stop word."""
+        one = [("name", self.name), ("uuid", uuid.uuid4().hex), ("version", "1"), ("sequences", str(self.sequences is not None).lower())]
+        return one + [("index", json.dumps(asdict(i))) for i in self.indices] + [("meta", m) for m in self.meta] + [("stop", w) for w in self.stop]
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Collection:
+        """A stored collection; only its few info records are read now."""
+        info: dict[str, list[str]] = {}
+        for r in spark.read.parquet(f"{path}/info").collect():
+            info.setdefault(r["kind"], []).append(r["value"])
+        indices = [IndexSpec(**json.loads(v)) for v in info.get("index", [])]
+        seqs = spark.read.parquet(f"{path}/sequences") if info["sequences"] == ["true"] else None
+        return cls(spark.read.parquet(f"{path}/docs"), indices, tuple(info.get("stop", ())), info["name"][0], tuple(info.get("meta", ())), path, seqs)
+
+    def information(self) -> DataFrame:
+        """(kind, value): name, uuid, version, indices, meta fields and stop words."""
+        if self.stored:
+            return self.spark.read.parquet(f"{self.stored}/info")
+        return self.spark.createDataFrame(self._info(), "kind string, value string")
+
+    def newer_than(self, path: str) -> bool:
+        """Whether the stored collection was written after the last change of the file or folder at ``path``."""
+        def changed(p: str) -> int:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            status = fs.getFileStatus(at)
+            return max([status.getModificationTime(), *(x.getModificationTime() for x in fs.listStatus(at))] if status.isDirectory() else [status.getModificationTime()])
+
+        return self.stored is not None and changed(f"{self.stored}/info") >= changed(path)
 
     # ---- statistics and lookups -----------------------------------------------------------------
 
@@ -195,6 +246,14 @@ class Collection:
         """The first meta field of each document."""
         return self.metadata(self.meta[0])
 
+    def sequence(self, doc_nr: int, seq_nr: int = 0) -> DataFrame:
+        """(seq): one sequence of a document."""
+        return self.sequences.where((F.col("doc_nr") == doc_nr) & (F.col("seq_nr") == seq_nr)).select("seq")
+
+    def sequence_counts(self) -> DataFrame:
+        """(doc_nr, n): how many sequences each document has, of those that have any."""
+        return self.sequences.groupBy("doc_nr").agg(F.count("*").alias("n"))
+
     def keys(self, index: str | None = None) -> DataFrame:
         """(key, df) of one index, or over all in key order; df counts documents."""
         if index is None:
@@ -219,16 +278,21 @@ class Collection:
 
 
 def number_documents(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """``df`` with dense document numbers in the order of the columns, without sorting all rows in one task."""
+    """``df`` with dense document numbers in the order of the columns, without sorting all rows in one task.
+
+    The ranges are drawn by sampling, so the numbered rows are kept by a checkpoint before their sizes are counted.
+    """
     spark = df.sparkSession
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    inner = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = sorted((r["_p"], r["n"]) for r in inner.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    # The built-in row numbers hold the partition in the bits from 33 on and the place within it below.
+    inner = cut(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = sorted((r["_p"], r["n"]) for r in inner.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
     total, starts = start, []
     for p, n in sizes:
         starts.append((p, total))
         total += n
-    return inner.join(F.broadcast(spark.createDataFrame(starts, "_p int, _s bigint")), "_p").withColumn("doc_nr", F.col("_s") + F.col("_n") - 1).drop("_p", "_n", "_s")
+    first = F.broadcast(spark.createDataFrame(starts, "_p bigint, _s bigint"))
+    return inner.withColumn("_p", part).join(first, "_p").withColumn("doc_nr", F.col("_s") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_id", "_s")
 
 
 def _agree(parts: list[Collection]) -> None:
@@ -246,13 +310,17 @@ def joined(parts: list[Collection], offset: int = 1 << 40) -> Collection:
     _agree(parts)
     shifted = [p.docs.withColumn("doc_nr", F.col("doc_nr") + F.lit(k * offset)).withColumn("part", F.lit(p.name)) for k, p in enumerate(parts)]
     every = {i.name: i for p in parts for i in p.indices}
-    return Collection(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shifted), list(every.values()), parts[0].stop, "+".join(p.name for p in parts), parts[0].meta)
+    seqs = [p.sequences.withColumn("doc_nr", F.col("doc_nr") + F.lit(k * offset)) for k, p in enumerate(parts) if p.sequences is not None]
+    return Collection(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shifted), list(every.values()), parts[0].stop, "+".join(p.name for p in parts), parts[0].meta, sequences=reduce(lambda a, b: a.unionByName(b), seqs) if seqs else None)
 
 
 def latest_wins(docs: DataFrame) -> DataFrame:
-    """``docs`` with is_valid false for all but the last document of each id."""
-    last = F.max("doc_nr").over(Window.partitionBy("doc_id"))
-    return docs.withColumn("is_valid", F.col("doc_nr") == last)
+    """``docs`` with is_valid false for all but the last document of each id; doc_nr must be unique.
+
+    The winners' numbers are joined, not the ids, so an id that very many documents share makes no large task.
+    """
+    last = docs.groupBy("doc_id").agg(F.max("doc_nr").alias("doc_nr")).select("doc_nr", F.lit(True).alias("_last"))
+    return docs.join(last, "doc_nr", "left").withColumn("is_valid", F.col("_last").isNotNull()).drop("_last").select(*docs.columns, *([] if "is_valid" in docs.columns else ["is_valid"]))
 
 
 def merged(parts: list[Collection], strict: bool = False) -> Collection:
@@ -260,9 +328,29 @@ def merged(parts: list[Collection], strict: bool = False) -> Collection:
     whole = joined(parts)
     if strict and not whole.docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         raise IndexError_("an id occurs in several documents")
-    return Collection(latest_wins(whole.docs), whole.indices, whole.stop, whole.name, whole.meta)
+    return Collection(latest_wins(whole.docs), whole.indices, whole.stop, whole.name, whole.meta, sequences=whole.sequences)
 
 
 def updated(base: Collection, newer: DataFrame) -> Collection:
     """An update: newer documents come after all others and hide older ones of the same id."""
     return merged([base, Collection(newer, base.indices, base.stop, f"{base.name}-update", base.meta)])
+
+
+def merged_in_parts(spark: SparkSession, folder: str, names: list[str] | None = None, prefix: str | None = None, count: int = 0, strict: bool = False) -> Collection:
+    """A merge of stored collections below ``folder``: those named, or ``prefix``-1 to ``prefix``-``count``."""
+    names = names or [f"{prefix}-{i}" for i in range(1, count + 1)]
+    return merged([Collection.open(spark, f"{folder}/{n}") for n in names], strict)
+
+
+def dealt_in_parts(docs: DataFrame, parts: int, weight: Column | None = None, by: str = "doc_nr") -> DataFrame:
+    """``docs`` with ``part`` (0 to parts - 1), in ranges of ``by`` of about equal weight (rows, or e.g. text lengths).
+
+    The weights are summed in 256 ranges of ``by``, so no task sees all rows and only 256 sums reach one.
+    """
+    w = F.lit(1) if weight is None else weight
+    spread = cut(docs.repartitionByRange(256, by).withColumn("_r", F.spark_partition_id()).withColumn("_w", w))
+    sums = spread.groupBy("_r").agg(F.sum("_w").alias("s"))
+    upto = sums.withColumn("_c", F.sum("s").over(Window.orderBy("_r")) - F.col("s") / 2)
+    total = sums.agg(F.sum("s")).scalar()
+    at = upto.select("_r", F.least(F.lit(parts - 1), F.floor(F.col("_c") * parts / total)).cast("int").alias("part"))
+    return spread.join(F.broadcast(at), "_r").drop("_r", "_w")

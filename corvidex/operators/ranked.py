@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
-from .collection import TOP_WEIGHT, Collection
+from .collection import TEXT, TOP_WEIGHT, WEIGHTED, Collection
 
 ALGORITHMS = ("vector", "dice", "jaccard")
 #: Query terms up to which their table is broadcast; longer queries are joined by a shuffle.
 MOST_TERMS = 50_000
+#: Query terms up to which the keys are pushed down to the scan of the postings.
+MOST_PUSHED = 500
 DEFAULT_RESULTS = 1000
 
 
@@ -87,7 +89,10 @@ class Ranked:
             raise ValueError(f"unknown algorithm {algorithm!r}")
         terms = self.weighted()
         small = self._terms is None and len(self.counts) <= MOST_TERMS
-        hits = self.c.table("all_text").join(F.broadcast(terms) if small else terms, "key")
+        postings = self.c.table("all_text")
+        if small and len(self.counts) <= MOST_PUSHED:  # reaches the scan, whose row groups are sorted by key
+            postings = postings.where(F.col("key").isin(*query_weights(self.counts)))
+        hits = postings.join(F.broadcast(terms) if small else terms, "key")
         df = hits.groupBy("key", "qw").agg(F.count("*").alias("df"), F.max("w").alias("top"))
         wq = df.select("key", (F.log(1 + self.c.size_column() / F.col("df")) * F.col("qw")).alias("wq"), F.log(1 + self.c.size_column() / F.col("df")).alias("idf"), "top")
         norm = wq.agg(F.sqrt(F.sum(F.pow("wq", F.lit(2))))).scalar()
@@ -121,9 +126,12 @@ class Ranked:
 
 
 def similar(c: Collection, doc_nr: int) -> Ranked:
-    """The words of a document as a query over the collection (its text indices; the document itself is found too)."""
-    own = c.frequencies().where((F.col("doc_nr") == doc_nr) & F.col("kind").isin("text", "wtxt"))
-    return Ranked(c, terms=own.groupBy("key").agg(F.sum("freq").alias("freq")))
+    """The words of a document as a query over the collection (its text indices; the document itself is found too).
+
+    They are taken from the document's own row; the postings are sorted by key, and finding a document there would read them all.
+    """
+    one = Collection(c.docs.where(F.col("doc_nr") == doc_nr), [i for i in c.indices if i.kind in (TEXT, WEIGHTED)], c.stop)
+    return Ranked(c, terms=one.tokens().groupBy("key").agg(F.count("*").alias("freq")))
 
 
 def similar_to_text(c: Collection, text: str) -> Ranked:

@@ -53,6 +53,48 @@ def blosum62() -> np.ndarray:
     return out
 
 
+#: Background frequencies of residues (per 100,000), in the order of _ORDER: the usual ones for protein searches.
+_BACKGROUND = (7805, 5129, 4487, 5364, 1925, 4264, 6295, 7377, 2199, 5142, 9019, 5744, 2243, 3856, 5203, 7120, 5841, 1330, 3216, 6441)
+
+
+def karlin(m: np.ndarray) -> tuple[float, float, float]:
+    """Ungapped lambda, K and H of a matrix for random proteins, from the distribution of the score of one pair."""
+    f = np.array(_BACKGROUND, float) / sum(_BACKGROUND)
+    letters = [ord(c) for c in _ORDER]
+    scores = m[np.ix_(letters, letters)]
+    low, high = int(scores.min()), int(scores.max())
+    p = np.bincount((scores - low).ravel(), np.outer(f, f).ravel(), high - low + 1)
+    values = np.arange(low, high + 1)
+    if high <= 0 or (p * values).sum() >= 0:
+        raise ValueError("a matrix needs a positive score and a negative mean")
+    a, b = 0.0, 10.0
+    for _ in range(200):
+        lam = (a + b) / 2
+        a, b = (lam, b) if (p * np.exp(lam * values)).sum() < 1 else (a, lam)
+    h = lam * (p * values * np.exp(lam * values)).sum()
+    sigma, walk = 0.0, np.array([1.0])
+    for k in range(1, 61):  # sums over the first k pairs of a random alignment
+        walk = np.convolve(walk, p)
+        at = np.arange(len(walk)) + k * low
+        sigma += (walk * np.where(at < 0, np.exp(lam * np.minimum(at, 0)), 1.0)).sum() / k
+    step = np.gcd.reduce(np.abs(values[p > 0]))
+    return lam, lam * step * math.exp(-2 * sigma) / (h * (1 - math.exp(-lam * step))), h
+
+
+#: Matrices by name: 256 x 256 scores and their statistics by gap costs.
+MATRICES: dict[str, tuple[np.ndarray, dict]] = {}
+
+
+def register_matrix(name: str, text: str, gapped: dict[tuple[int, int], tuple[float, ...]]) -> None:
+    """Adds a matrix (text in the usual layout) with its published gapped lambda, K, H, alpha and beta by gap costs; the ungapped ones are computed."""
+    m = matrix_from(text)
+    lam, k, h = karlin(m)
+    MATRICES[name.upper()] = (m, {(0, 0): (lam, k, h, lam / h, -0.5)} | gapped)
+
+
+MATRICES["BLOSUM62"] = (blosum62(), STATISTICS)
+
+
 @dataclass(frozen=True)
 class Parameters:
     program: str = "blastp"
@@ -70,11 +112,23 @@ class Parameters:
     def __post_init__(self):
         if self.program != "blastp":
             raise ValueError(f"unsupported program {self.program!r}")
-        if self.matrix != "BLOSUM62" or self.gapped and (self.gap_open, self.gap_extend) not in STATISTICS:
+        if self.matrix.upper() not in MATRICES or self.costs not in self.statistics:
             raise ValueError(f"unsupported combination of {self.matrix} and gap costs {self.gap_open}, {self.gap_extend}")
         if self.word not in (2, 3, 4):
             raise ValueError("words have 2 to 4 residues")
 
+    @property
+    def costs(self) -> tuple[int, int]:
+        return (self.gap_open, self.gap_extend) if self.gapped else (0, 0)
+
+    @property
+    def scores(self) -> np.ndarray:
+        return MATRICES[self.matrix.upper()][0]
+
+    @property
+    def statistics(self) -> dict:
+        return MATRICES[self.matrix.upper()][1]
+
 
 # ---- low complexity ------------------------------------------------------------------------------
 
@@ -85,6 +139,18 @@ def entropy(window: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in (window.count(c) for c in set(window)))
 
 
+def entropies(seq: Column, window: int) -> Column:
+    """Shannon bits of every window of a sequence, left to right, in the JVM; no windows if it is shorter."""
+    n = F.length(seq)
+
+    def one(i: Column) -> Column:
+        w = F.substring(seq, i, F.lit(window))
+        shares = F.transform(F.array_distinct(F.split(w, "")), lambda c: (F.lit(window) - F.length(F.replace(w, c, F.lit("")))) / F.lit(float(window)))
+        return F.aggregate(F.filter(shares, lambda p: (p > 0) & (p < 1)), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    return F.when(n >= window, F.transform(F.sequence(F.lit(1), n - window + 1), one)).when(seq.isNotNull(), F.array().cast("array<double>"))
+
+
 def _log_probabilities(counts: np.ndarray, size: int) -> np.ndarray:
     """ln of the chance of each row's composition: assignments of its counts to letters, times arrangements, over all strings."""
     alphabet = counts.shape[1]
@@ -184,7 +250,7 @@ def made_up(k: int, length: int = 80) -> str:
 
 def neighbours(query: str, p: Parameters) -> dict[str, list[int]]:
     """Words that score at least the threshold against a word of the query, and where."""
-    m, out = blosum62(), {}
+    m, out = p.scores, {}
     for i in range(len(query) - p.word + 1):
         words = [("", 0)]
         best = [int(m[ord(c), [ord(x) for x in _ORDER]].max()) for c in query[i : i + p.word]]
@@ -212,9 +278,8 @@ def length_adjustment(k: float, lam: float, alpha: float, beta: float, m: int, n
     return max(0, int(low))
 
 
-def _ungapped(q: np.ndarray, s: np.ndarray, i: int, j: int, word: int, drop: float) -> tuple[int, int, int]:
+def _ungapped(m: np.ndarray, q: np.ndarray, s: np.ndarray, i: int, j: int, word: int, drop: float) -> tuple[int, int, int]:
     """(score, start, end in the query) of the best extension of a hit along its diagonal."""
-    m = blosum62()
     score = int(m[q[i : i + word], s[j : j + word]].sum())
     best, start, end = score, i, i + word
     for step in (1, -1):
@@ -233,9 +298,9 @@ def _ungapped(q: np.ndarray, s: np.ndarray, i: int, j: int, word: int, drop: flo
     return best, start, end
 
 
-def _gapped(q: np.ndarray, s: np.ndarray, p: Parameters, drop: float) -> tuple[int, int, int, list[tuple[int, int]]]:
+def _gapped(m: np.ndarray, q: np.ndarray, s: np.ndarray, p: Parameters, drop: float) -> tuple[int, int, int, list[tuple[int, int]]]:
     """Best affine alignment from the start of both, by rows within the drop: score, ends, and steps (query, target) of the trace."""
-    m, first, extend = blosum62(), p.gap_open + p.gap_extend, p.gap_extend
+    first, extend = p.gap_open + p.gap_extend, p.gap_extend
     n = len(s)
     none = -(10**9)
     h = np.full(n + 1, none, np.int64)
@@ -272,9 +337,10 @@ def _gapped(q: np.ndarray, s: np.ndarray, p: Parameters, drop: float) -> tuple[i
     return best, at[0], at[1], steps[::-1]
 
 
-def hsps(query: str, masked: str, target: str, p: Parameters, words: dict[str, list[int]]) -> list[dict]:
-    """High-scoring pairs of a query and one target, best first, without overlaps."""
-    lam, k, *_ = STATISTICS[0, 0]
+def hsps(query: str, masked: str, target: str, p: Parameters, words: dict[str, list[int]], m: np.ndarray | None = None, statistics_: dict | None = None) -> list[dict]:
+    """High-scoring pairs of a query and one target, best first, without overlaps. The matrix and its statistics are sent along, as workers know only the built-in one."""
+    m, known = (p.scores, p.statistics) if m is None else (m, statistics_)
+    lam, k, *_ = known[0, 0]
     drop = math.ceil(math.log(2) * 7 / lam)
     trigger = (math.log(2) * 22 + math.log(k)) / lam
     q, mq, s = (np.frombuffer(x.encode("latin-1", "replace"), np.uint8) for x in (query, masked, target))
@@ -291,7 +357,7 @@ def hsps(query: str, masked: str, target: str, p: Parameters, words: dict[str, l
             if j - before < p.word:
                 continue
             last[d] = j
-            score, start, end = _ungapped(mq, s, i, j, p.word, drop)
+            score, start, end = _ungapped(m, mq, s, i, j, p.word, drop)
             done[d] = end + d
             if score >= trigger or not p.gapped and score > 0:
                 found.append((score, start, end, d))
@@ -301,9 +367,9 @@ def hsps(query: str, masked: str, target: str, p: Parameters, words: dict[str, l
         if any(h["q_from"] <= mid < h["q_to"] and h["s_from"] <= mid + d < h["s_to"] for h in out):
             continue
         if p.gapped:
-            x = 25 * math.log(2) / STATISTICS[p.gap_open, p.gap_extend][0]
-            right, a, b, fwd = _gapped(mq[mid:], s[mid + d :], p, x)
-            left, c, e, bwd = _gapped(mq[:mid][::-1], s[: mid + d][::-1], p, x)
+            x = 25 * math.log(2) / known[p.costs][0]
+            right, a, b, fwd = _gapped(m, mq[mid:], s[mid + d :], p, x)
+            left, c, e, bwd = _gapped(m, mq[:mid][::-1], s[: mid + d][::-1], p, x)
             score, qa, sa, steps = right + left, mid - c, mid + d - e, bwd[::-1] + fwd
             qb, sb = mid + a, mid + d + b
         else:
@@ -313,7 +379,7 @@ def hsps(query: str, masked: str, target: str, p: Parameters, words: dict[str, l
             x, y = query[i] if u else "-", target[j] if v else "-"
             rows[0] += x
             rows[2] += y
-            rows[1] += x if x == y else "+" if u and v and blosum62()[ord(x), ord(y)] > 0 else " "
+            rows[1] += x if x == y else "+" if u and v and m[ord(x), ord(y)] > 0 else " "
             i, j = i + u, j + v
         same = sum(a == b for a, b in zip(rows[0], rows[2]))
         hsp = {"score": int(score), "q_from": qa, "q_to": qb, "s_from": sa, "s_to": sb, "identity": same, "positive": same + rows[1].count("+"), "gaps": rows[0].count("-") + rows[2].count("-"), "q_line": rows[0], "midline": rows[1], "s_line": rows[2]}
@@ -333,14 +399,15 @@ def blast(seqs: DataFrame, query: str, p: Parameters, restrict: DataFrame | None
     masked = seg_text(query) if p.mask else query
     words = neighbours(masked, p)
     sizes = seqs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("t")).first()
-    lam, k, _, alpha, beta = STATISTICS[(p.gap_open, p.gap_extend) if p.gapped else (0, 0)]
+    lam, k, _, alpha, beta = p.statistics[p.costs]
+    m, known = p.scores, p.statistics
     ell = length_adjustment(k, lam, alpha, beta, len(query), max(1, sizes["t"]), sizes["n"])
     space = float(max(1, len(query) - ell) * max(1, sizes["t"] - sizes["n"] * ell))
     names = ["score", "q_from", "q_to", "s_from", "s_to", "identity", "positive", "gaps", "q_line", "midline", "s_line"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(nr, *[h[n] for n in names]) for nr, s in zip(f["doc_nr"], f["seq"]) if s for h in hsps(query, masked, s.upper(), p, words)]
+            rows = [(nr, *[h[n] for n in names]) for nr, s in zip(f["doc_nr"], f["seq"]) if s for h in hsps(query, masked, s.upper(), p, words, m, known)]
             yield pd.DataFrame(rows, columns=["doc_nr", *names])
 
     types = "doc_nr bigint, score int, q_from int, q_to int, s_from int, s_to int, identity int, positive int, gaps int, q_line string, midline string, s_line string"
@@ -351,6 +418,6 @@ def blast(seqs: DataFrame, query: str, p: Parameters, restrict: DataFrame | None
 
 
 def report_xml(hits: DataFrame) -> DataFrame:
-    """One XML element for each hit."""
+    """(value): one XML element for each HSP."""
     parts = [F.concat(F.lit(f"<Hsp_{c}>"), F.col(c).cast("string"), F.lit(f"</Hsp_{c}>")) for c in ("score", "bits", "expect", "q_from", "q_to", "s_from", "s_to", "identity", "positive", "gaps", "q_line", "midline", "s_line")]
     return hits.select(F.concat(F.lit("<Hit><Hit_id>"), F.col("doc_nr").cast("string"), F.lit("</Hit_id><Hsp>"), *parts, F.lit("</Hsp></Hit>")).alias("value"))

@@ -50,6 +50,7 @@ class Format:
     separator: str = "\t"
     sequence: str | None = None
     meta: tuple = ("title",)
+    id_record: str | None = None
 
 
 def iso_date(value: str) -> str | None:
@@ -122,6 +123,9 @@ def parse_record(spec: Format, record: str) -> dict | None:
             kind, ix = spec.fields.get(code, spec.default or (None, None))
             if kind and code != spec.id:
                 add(kind, ix or re.sub(r"\W", "", code.lower())[:15], value)
+    if doc_id is None and spec.id_record and (m := re.search(spec.id_record, record, re.M)):
+        doc_id = m[1]
+        add(VALUE, "id", doc_id)
     if title:
         meta["title"] = title
     return {"doc_id": doc_id, "text": record, "meta": meta, "entries": entries, "seqs": [s for s in seqs if s]}
@@ -170,7 +174,7 @@ FORMATS: dict[str, Format] = {
         Format("goa", columns=("db", "acc", "id", "qualifier", "goid", "db_reference", "evidence", "with", "aspect", "db_object_name", "synonym", "db_object_type", "taxon_id", "date", "assigned_by"), fields={"goid": (_w, "goid"), "date": (_d, "date"), "taxon_id": (_n, "taxon_id")}, id="id", title="db_object_name"),
         Format("hssp", "^HSSP ", r"^(\w+)\s+(.*)$", {"SEQLENGTH": (_m, "seqlength"), "NCHAIN": (_m, "nchain"), "NALIGN": (_m, "nalign")}, (_t, "text"), "PDBID", title="HEADER"),
         Format("hugo", columns=("id", "symbol", "name", "map", "mim", "pmid1", "pmid2", "refseq", "aliases", "withdrawn", "locuslink", "gdb", "swissprot"), default=(_n, None), id="id", title="name"),
-        Format("interpro", "^<interpro ", r"^\s*<(\w+)[^>]*>(.*?)(?:</\w+>)?$", {"type": (_t, "type"), "name": (_t, "name"), "db_xref": (_t, "xref"), "taxon_data": (_t, "taxon"), "classification": (_t, "class"), "abstract": (_t, "abstract"), "rel_ref": (_t, "rel")}, (_t, None), "interpro", r"id=\"(\w+)\"", "name"),
+        Format("interpro", "^<interpro ", r"^\s*<(\w+)[^>]*>(.*?)(?:</\w+>)?$", {"type": (_t, "type"), "name": (_t, "name"), "db_xref": (_t, "xref"), "taxon_data": (_t, "taxon"), "classification": (_t, "class"), "abstract": (_t, "abstract"), "rel_ref": (_t, "rel")}, (_t, None), "interpro", title="name", id_record=r"<interpro[^>]*?\sid=\"(\w+)\""),
         Format("ligand", "///", _WIDE, {"NAME": (_t, "name")}, (_t, None), "ENTRY", title="NAME"),
         Format("locuslink", "^>>", r"^(\w+):\s*(.*)$", {}, (_t, None), "LOCUSID", title="OFFICIAL_GENE_NAME"),
         Format("mimmap", columns=("id", "month", "day", "year", "location", "symbol", "status", "title", "", "mim", "method", "comments"), separator="|", fields={"mim": (_w, "mim")}, id="id", title="title"),
@@ -179,10 +183,10 @@ FORMATS: dict[str, Format] = {
         Format("pdb", "^HEADER", r"^([A-Z]{3,6})\d*\s+(.*)$", {"TITLE": (_t, "title"), "COMPND": (_t, "compnd"), "JRNL": (_t, "ref"), "REMARK": (_t, "remark"), "ATOM": (None, None), "HETATM": (None, None)}, (_t, "text"), "HEADER", r"(\S{4})\s*$", "TITLE"),
         Format("pdbfinder2", line=r"^\s*([\w-]+)\s*:\s*(.*)$", fields={"Date": (_d, "date"), "Resolution": (_m, "resolution"), "T-Nres-Prot": (_m, "tnresprot")}, title="Header"),
         Format("pfam", line=r"^#=GF (\w\w)\s+(.*)$", fields={"AC": (VALUE, "ac"), "SQ": (_m, "nseq"), "RT": (_t, "ref"), "RA": (_t, "ref"), "RL": (_t, "ref")}),
-        Format("pmc", "^<article", r"^\s*<([\w-]+)[^>]*>(.*?)(?:</[\w-]+>)?$", {"article-title": (_t, "title"), "subject": (_t, "subject"), "abstract": (_t, "abstract"), "body": (_t, "body"), "aff": (_t, "aff")}, (_t, "text"), "article-id", r"(\S+)", "article-title"),
+        Format("pmc", "^<article[ >]", r"^\s*<([\w-]+)[^>]*>(.*?)(?:</[\w-]+>)?$", {"article-title": (_t, "title"), "subject": (_t, "subject"), "abstract": (_t, "abstract"), "body": (_t, "body"), "aff": (_t, "aff")}, (_t, "text"), "article-id", r"(\S+)", "article-title"),
         Format("prints", "^gc; ", r"^(\w\w);\s*(.*)$", {}, (_t, None), "gc", title="gt"),
         Format("prosite", fields={"PA": (_t, "pa")}, title="DE"),
-        Format("prosite_doc", r"^\{PDOC", r"^\{(\w+?)(?:;\s*(.*))?\}$", {}, (_t, "text"), "PDOC", r"(\d+)", None),
+        Format("prosite_doc", r"^\{PDOC", r"^\{(\w+?)(?:;\s*(.*))?\}$", {}, (_t, "text"), "PDOC", title=None, id_record=r"^\{(PDOC\d+)\}"),
         Format("rebase", line=r"^(\w\w)   (.*)$", fields={"OS": (_n, "os"), "RN": (None, None), "RA": (_n, "ref"), "RL": (_n, "ref"), "CR": (_w, "com"), "RS": (_w, "target")}),
         Format("rebase_commdata", line=r"^(\w)\s+(.*)$", fields={"N": (_t, "com")}, id="N", title="N"),
         Format("taxonomy", columns=("id", "parent", "rank", "embl_code", "division"), separator="\t|\t", fields={"parent": (_n, "parent")}, id="id", title=None),
@@ -192,3 +196,34 @@ FORMATS: dict[str, Format] = {
         Format("uniuniq", "^>"),
     )
 }
+
+
+def collection(parsed: DataFrame, name: str, stop: tuple[str, ...] = (), numbers: tuple[str, ...] = ()):
+    """A collection of parsed records: an index for every name that occurs, of the kind it was given, and the sequences.
+
+    Documents are numbered in the order of their ids; a record without an id is named ``#n`` by its number.
+    """
+    from ..operators.collection import Collection, IndexSpec, number_documents
+
+    found = parsed.select(F.explode("entries").alias("e")).groupBy("e.ix").agg(F.collect_set("e.kind").alias("kinds")).collect()  # a row for each index
+    if twice := sorted(r["ix"] for r in found if len(r["kinds"]) > 1):
+        raise ValueError(f"indices with two kinds: {twice}")
+    kinds = {r["ix"]: r["kinds"][0] for r in found}
+    numbered = number_documents(parsed.withColumn("_id", F.coalesce("doc_id", F.lit(""))), ["_id", "text"]).drop("_id")
+    docs = numbered.withColumn("doc_id", F.coalesce("doc_id", F.concat(F.lit("#"), F.col("doc_nr").cast("string")))).withColumn("title", F.col("meta")["title"])
+
+    def values_of(name: str):
+        return F.transform(F.filter("entries", lambda e: e["ix"] == name), lambda e: e["token"]).alias(f"ix_{name}")
+
+    values = [values_of(n) for n in sorted(kinds)]
+    made = docs.select("doc_nr", "doc_id", "text", "title", *values)
+    specs = [IndexSpec(n, kinds[n], f"ix_{n}", numbers=n in numbers or not numbers, many=True) for n in sorted(kinds)]
+    seqs = docs.select("doc_nr", F.posexplode("seqs").alias("seq_nr", "seq"))
+    return Collection(made, specs, stop, name, ("title",), sequences=seqs)
+
+
+def to_fasta(parsed: DataFrame) -> DataFrame:
+    """(value): every sequence of flat-file records as a FASTA entry."""
+    from ..functions import text as T
+
+    return parsed.select("doc_id", F.col("meta")["title"].alias("title"), F.explode("seqs").alias("seq")).select(T.fasta("doc_id", "title", F.col("seq")).alias("value"))

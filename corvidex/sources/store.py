@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.collection import Collection, joined
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corvidex-checkpoints"
-    return f"{root.rstrip('/')}/collections-{uuid.uuid4().hex}"
-
-
 class Registry:
     """Names of collections, aliases for joined ones, and those that a search over all leaves out."""
 
@@ -43,8 +36,9 @@ class Registry:
     def all(self) -> list[Collection]:
         return [c for n, c in self._own.items() if n not in self._ignored]
 
-    def info(self):
-        """(db, n_docs, raw_bytes) of every collection."""
-        from pyspark.sql import functions as F
+    def names(self) -> list[str]:
+        return list(self._own)
 
+    def info(self) -> DataFrame:
+        """(db, n_docs, raw_bytes) of every collection."""
         return reduce(lambda a, b: a.union(b), [c.statistics().select(F.lit(n).alias("db"), "n_docs", "raw_bytes") for n, c in self._own.items()])
