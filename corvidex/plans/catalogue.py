@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import collection as C, ranked as R, sequence as S, spelling
-from ..sources import records, store, xml
+from ..operators.lineage import shared_folder
+from ..sources import plugins, records, xml
+from ..sources.store import Registry
+from ..streaming import updates
 from . import language as L
+from .service import Service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +55,7 @@ def saved(make: Callable[[SparkSession, str], C.Collection], spark: SparkSession
     """The collection with its tables stored, built once for each session and folder of tables."""
     key = (spark.sparkContext.applicationId, d, make.__name__)
     if key not in _SAVED:
-        _SAVED[key] = make(spark, d).save(store.shared_folder(spark))
+        _SAVED[key] = make(spark, d).save(shared_folder(spark))
     return _SAVED[key]
 
 
@@ -145,6 +149,12 @@ def rel_date_range(spark: SparkSession, d: str) -> DataFrame:
     return L.BooleanQuery(c, L.Range("date", "1996-01-01", "1996-12-31")).rows().select(F.col("doc_nr").alias("doc_id"))
 
 
+@query("rel_date_events", "SELECT event_id AS doc_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10' OR event_type = 'view'")
+def rel_date_events(spark: SparkSession, d: str) -> DataFrame:
+    c = C.Collection.of(_table(spark, d, "events"), "event_id", [C.IndexSpec("day", C.DATE, "ts"), C.IndexSpec("type", C.TEXT, "event_type", word=True)], name="events")
+    return L.find(c, "day>=2024-01-10 OR type:view").rows().select(F.col("doc_nr").alias("doc_id"))
+
+
 @query("match_relation", "SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey >= 100 AND CAST(o_orderdate AS DATE) < DATE '1997-05-01'")
 def match_relation(spark: SparkSession, d: str) -> DataFrame:
     c = orders(spark, d)
@@ -253,8 +263,8 @@ def _weights_of(table: str, key: str, p: str, extra: str = "") -> str:
 {p}_a AS (SELECT doc_id, key, least(31, sum(w)) AS w FROM (SELECT doc_id, key, greatest(1, freq * 31 // max(freq) OVER (PARTITION BY doc_id)) AS w FROM {p}_e) GROUP BY doc_id, key),
 {p}_i AS (SELECT key, ln(1 + (SELECT count(*) FROM {table}) / count(*)) AS idf FROM {p}_a GROUP BY key),
 {p}_d AS (SELECT doc_id, sqrt(sum((w * idf) ** 2)) AS wd FROM {p}_a JOIN {p}_i USING (key) GROUP BY doc_id),
-{p}_n AS (SELECT sqrt(sum((idf * 31) ** 2)) AS wq FROM {p}_i WHERE key IN ('with', 'that')),
-{p}_s AS (SELECT doc_id, sum(idf * w * idf * 31) AS a FROM {p}_a JOIN {p}_i USING (key) WHERE key IN ('with', 'that') GROUP BY doc_id),
+{p}_n AS (SELECT sqrt(sum((idf * qw) ** 2)) AS wq FROM {p}_i JOIN q USING (key)),
+{p}_s AS (SELECT doc_id, sum(idf * w * idf * qw) AS a FROM {p}_a JOIN {p}_i USING (key) JOIN q USING (key) GROUP BY doc_id),
 {p}_r AS (SELECT doc_id, round(a / (wd * wq) * 100, 6) AS score FROM {p}_s JOIN {p}_d USING (doc_id), {p}_n)"""
 
 
@@ -262,17 +272,46 @@ def _federated(spark: SparkSession, d: str) -> list[C.Collection]:
     return [saved(benchmark, spark, d), saved(documents, spark, d)]
 
 
-_ALL = f"""{_WEIGHTS}, {_weights_of('benchmark', 'item_id', 'b')},
-q(key, qw) AS (VALUES ('with', 31), ('that', 31)),
+def _all_sql(terms: dict[str, int]) -> str:
+    values = ", ".join(f"('{k}', {w})" for k, w in sorted(R.query_weights(terms).items()))
+    return f"""{_WEIGHTS}, q(key, qw) AS (VALUES {values}), {_weights_of('benchmark', 'item_id', 'b')},
 found AS (SELECT doc_id, sum(idf * w * idf * qw) AS a FROM all_text JOIN idf USING (key) JOIN q USING (key) GROUP BY doc_id),
 norm AS (SELECT sqrt(sum((idf * qw) ** 2)) AS wq FROM q JOIN idf USING (key)),
 hits AS (SELECT 'documents' AS db, doc_id, round(a / (wd * wq) * 100, 6) AS score FROM found JOIN doc_weights USING (doc_id), norm
   UNION ALL SELECT 'benchmark', doc_id, score FROM b_r)"""
-query("find_all", f"{_ALL} SELECT db, CAST(doc_id AS VARCHAR) AS doc_id, score, CAST(place AS INTEGER) AS place, total, best FROM (SELECT *, row_number() OVER (PARTITION BY db ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY db) AS total, max(score) OVER (PARTITION BY db) AS best FROM hits) WHERE place <= 5")(
-    lambda s, d: R.find_all(_federated(s, d), {"with": 1, "that": 1})
+
+
+_BEST_FIVE = "SELECT db, CAST(doc_id AS VARCHAR) AS doc_id, score, CAST(place AS INTEGER) AS place, total, best FROM (SELECT *, row_number() OVER (PARTITION BY db ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY db) AS total, max(score) OVER (PARTITION BY db) AS best FROM hits) WHERE place <= 5"
+_WITH_THAT = {"with": 1, "that": 1}
+_LIKE = R.terms_of("with the thing that was said in the end of the day")
+query("find_all", f"{_all_sql(_WITH_THAT)} {_BEST_FIVE}")(lambda s, d: R.find_all(_federated(s, d), _WITH_THAT))
+query("hits_per_collection", f"{_all_sql(_WITH_THAT)} SELECT db, count(*) AS total FROM hits GROUP BY db")(lambda s, d: R.hits_per_collection(_federated(s, d), _WITH_THAT))
+query("find_all_similar", f"{_all_sql(_LIKE)} {_BEST_FIVE}")(lambda s, d: R.find_all(_federated(s, d), _LIKE))
+
+
+def _service(spark: SparkSession, d: str) -> Service:
+    registry = Registry()
+    for c in (saved(documents, spark, d), saved(benchmark, spark, d)):
+        registry.add(c.name, c)
+    registry.add("conversations", saved(conversations, spark, d), ignore_in_all=True)
+    return Service(registry)
+
+
+@query("service_find", _ranked_sql({"with": 1, "that": 1}, "vector", "ORDER BY score DESC, doc_id LIMIT 15", "WHERE doc_id IN (SELECT doc_id FROM entries WHERE starts_with(key, 'the')) AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')", 2))
+def service_find(spark: SparkSession, d: str) -> DataFrame:
+    """Terms as a client gives them: one with a wildcard only filters, one with a hyphen is two."""
+    return _service(spark, d).find("documents", ["With-that", "the*"], filter="lang:en").select(_doc(), "score")
+
+
+query("service_indices", f"{_ENTRIES} SELECT ix, kind, ix AS name, count(*) AS n_keys, CAST(sum(df) AS BIGINT) AS n_postings FROM (SELECT ix, key, count(*) AS df FROM entries GROUP BY ix, key) JOIN (VALUES ('text', 'text'), ('lang', 'text'), ('source', 'text'), ('id', 'valu'), ('n_chars', 'nmbr')) k(ix, kind) USING (ix) GROUP BY ix, kind")(
+    lambda s, d: _service(s, d).indices("documents")
+)
+query("service_info", "SELECT 'documents' AS db, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS raw_bytes, 5 AS n_indices FROM documents UNION ALL SELECT 'benchmark', count(*), CAST(sum(octet_length(encode(text))) AS BIGINT), 1 FROM benchmark UNION ALL SELECT 'conversations', count(*), CAST(sum(octet_length(encode(text))) AS BIGINT), 2 FROM conversations")(
+    lambda s, d: _service(s, d).databank_info()
+)
+query("estimated_count", f"{_ENTRIES} SELECT least((SELECT count(*) FROM documents), (SELECT count(*) FROM entries WHERE ix = 'lang' AND key = 'en'), (SELECT count(*) FROM entries WHERE ix = 'text' AND key = 'with') + (SELECT count(*) FROM entries WHERE ix = 'lang' AND key = 'de')) AS n")(
+    lambda s, d: s.createDataFrame([(L.find(saved(documents, s, d), "text:with OR lang:de AND lang:en").estimate(),)], "n bigint")
 )
-query("hits_per_collection", f"{_ALL} SELECT db, count(*) AS total FROM hits GROUP BY db")(lambda s, d: R.hits_per_collection(_federated(s, d), {"with": 1, "that": 1}))
-query("find_all_similar")(lambda s, d: R.find_all(_federated(s, d), R.terms_of("with the thing that was said in the end of the day")))
 
 query(
     "cooccurrence",
@@ -356,6 +395,33 @@ def records_simple(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.expr("lower(filter(entries, e -> e.ix = 'brand')[0].token)").alias("brand"))
 
 
+@query("records_fasta", "SELECT '>' || p_partkey || ' ' || p_name || chr(10) || repeat('ACDEFGHIK', 3) || chr(10) AS value FROM part")
+def records_fasta(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as protein flat-file records, parsed, and written as FASTA entries."""
+    raw = _table(spark, d, "part").select(F.concat(F.lit("ID   "), "p_partkey", F.lit("; x.\nDE   "), "p_name", F.lit("\nSQ   SEQUENCE\n     "), F.expr("repeat('ACDEFGHIK ', 3)"), F.lit("\n//")).alias("value"))
+    return records.to_fasta(plugins.parser("uniprot").rows(raw))
+
+
+@query("records_collection", "SELECT p_partkey AS id, lower(p_brand) AS brand FROM part WHERE lower(p_brand) LIKE '%2%' AND p_size >= 10")
+def records_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed records as a collection that is queried by the indices their format declares."""
+    raw = _table(spark, d, "part").select(F.concat(F.lit("ID           : "), "p_partkey", F.lit("\nResolution   : "), "p_size", F.lit("\nBrand        : "), "p_brand", F.lit("\n//")).alias("value"))
+    c = records.collection(plugins.parser("pdbfinder2").rows(raw), "parts")
+    brand = F.lower(F.element_at("ix_brand", 1))
+    return L.find(c, "resolution>=10 brand:*2*").rows().select(F.col("doc_id").cast("bigint").alias("id"), brand.alias("brand"))
+
+
+@query("stream_latest", "SELECT CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream of versions of one document a user; the newest of each stays valid."""
+    schema = _table(spark, d, "events").schema
+    folder = shared_folder(spark, "stream")
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a stream takes a pattern, but no path of one file
+    made = rows.select(F.col("user_id").cast("string").alias("doc_id"), "event_id")
+    updates.keep(made, f"{folder}/docs", f"{folder}/checkpoint").awaitTermination()
+    return updates.current(spark, f"{folder}/docs", within="event_id").where("is_valid").select("doc_id", "event_id")
+
+
 @query("xpath_import", "SELECT o_orderkey AS doc_id, o_orderpriority AS priority, o_orderstatus || ' ' || o_orderpriority AS all_text FROM orders")
 def xpath_import(spark: SparkSession, d: str) -> DataFrame:
     """Orders as XML documents, indexed by XPath."""
@@ -364,9 +430,17 @@ def xpath_import(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("sequence_stats", "SELECT count(*) AS n_sequences, CAST(sum(60 + p_partkey % 50) AS BIGINT) AS total_length FROM part")(lambda s, d: S.statistics(_proteins(s, d)))
+query("entropy_windows", """WITH s AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS seq FROM part), w AS (SELECT p_partkey, i, substr(seq, CAST(i + 1 AS BIGINT), 12) AS w FROM (SELECT *, unnest(range(len(seq) - 11)) AS i FROM s WHERE len(seq) >= 12)),
+c AS (SELECT p_partkey, i, count(*) / 12 AS p FROM (SELECT p_partkey, i, unnest(string_split(w, '')) AS c FROM w) GROUP BY p_partkey, i, c),
+e AS (SELECT p_partkey, i, -sum(p * log2(p)) AS h FROM c GROUP BY p_partkey, i) SELECT p_partkey, count(*) AS n, round(min(h), 6) AS least, round(sum(h), 6) AS total FROM e GROUP BY p_partkey""")(
+    lambda s, d: _table(s, d, "part").select("p_partkey", S.entropies(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), 12).alias("h")).where(F.size("h") > 0)
+    .select("p_partkey", F.size("h").cast("bigint").alias("n"), F.round(F.array_min("h"), 6).alias("least"), F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+)
+query("sequence_fetch", "SELECT p_partkey AS doc_nr, 60 + p_partkey % 50 AS n FROM part WHERE p_partkey % 2 = 0")(lambda s, d: _proteins(s, d).where("doc_nr % 2 = 0").select("doc_nr", F.length("seq").cast("bigint").alias("n")))
 query("seg_mask")(lambda s, d: _proteins(s, d).select("doc_nr", S.seg(F.col("seq")).alias("masked")))
 query("dust_mask")(lambda s, d: _table(s, d, "part").select("p_partkey", S.dust(F.concat(F.expr("translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTACG')"), F.lit("A" * 50))).alias("masked")))
 query("blast_top")(lambda s, d: S.blast(_proteins(s, d), _proteins(s, d).where("doc_nr = 7").first()["seq"], S.Parameters()))
+query("blast_xml")(lambda s, d: S.report_xml(S.blast(_proteins(s, d), _proteins(s, d).where("doc_nr = 7").first()["seq"], S.Parameters())))
 query("blast_restricted")(lambda s, d: S.blast(_proteins(s, d), _proteins(s, d).where("doc_nr = 7").first()["seq"], S.Parameters(), _proteins(s, d).where("doc_nr % 2 = 1")))
 
 

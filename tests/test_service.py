@@ -1,0 +1,105 @@
+import pytest
+from pyspark.sql import functions as F
+
+from corvidex.operators import spelling
+from corvidex.operators.collection import Collection, IndexSpec
+from corvidex.plans import cli
+from corvidex.plans.service import Service
+from corvidex.sources.store import Registry
+from corvidex.streaming import updates
+from corvidex.sources import plugins
+
+
+def small(spark, name, rows):
+    docs = spark.createDataFrame([(i, f"{name}{i}", t, f"title {i}") for i, t in enumerate(rows)], "doc_nr long, doc_id string, text string, title string")
+    seqs = spark.createDataFrame([(0, 0, "ACDEFGHIK" * 10)], "doc_nr long, seq_nr int, seq string")
+    return Collection(docs, [IndexSpec("text", "text", "text"), IndexSpec("id", "valu", "doc_id")], meta=("title",), sequences=seqs)
+
+
+@pytest.fixture(scope="module")
+def service(spark, tmp_path_factory):
+    d, r = tmp_path_factory.mktemp("s"), Registry()
+    for name, rows in (("a", ["red fox jumps", "red hen", "brown fox and red fox", None]), ("b", ["red red red", "blue fish"]), ("c", ["red"])):
+        r.add(name, small(spark, name, rows).save(str(d / name)), ignore_in_all=name == "c")
+    r.alias("ab", ["a", "b"])
+    return Service(r)
+
+
+def test_find(service):
+    ids = lambda df: [r["doc_id"] for r in df.orderBy(F.desc("score"), "doc_nr").collect()]
+    assert set(ids(service.find("a", ["red", "fox"]))) == {"a0", "a2"}
+    assert set(ids(service.find("a", ["red", "fox"], all_terms=False))) == {"a0", "a1", "a2"}
+    assert ids(service.find("a", ["red", "fo*"])) == ids(service.find("a", ["red"], filter="fox"))
+    assert ids(service.find("a", ["jump*"])) == ["a0"]
+    assert service.find("a", ["red"], n=1, with_total=True).first()["total"] == 3
+    assert service.find("a", ["red"], n=1).first()["title"].startswith("title")
+    assert len(ids(service.find("a", ["red"], offset=2))) == 1
+    assert set(ids(service.find("a+b", ["red"]))) == {"a0", "a1", "a2", "b0"} == set(ids(service.find("ab", ["red"])))
+    with pytest.raises(KeyError):
+        service.find("nosuch", ["x"])
+
+
+def test_similar_and_all(service):
+    assert service.find_similar("a", "A0").orderBy(F.desc("score")).first()["doc_id"] == "a0"
+    rows = service.find_all(["red"]).collect()
+    assert {r["db"] for r in rows} == {"a", "b"} and [r["best"] for r in rows] == sorted((r["best"] for r in rows), reverse=True)
+    assert service.find_all_similar("b", "b1").first()["doc_id"] == "b1"
+    with pytest.raises(KeyError):
+        service.find_similar("a", "zzz")
+
+
+def test_entries_and_information(service):
+    value = lambda *a: service.entry(*a).first()["value"]
+    assert value("a", "a1") == "red hen" and value("a", "a1", "title") == "title 1" and value("a", "#1", "html") == "<pre>red hen</pre>"
+    assert value("a", "a0", "fasta") == f">a0 title 0\n{('ACDEFGHIK' * 10)[:72]}\n{('ACDEFGHIK' * 10)[72:]}\n"
+    with pytest.raises(ValueError):
+        service.entry("a", "a0", "pdf")
+    assert {tuple(r) for r in service.databank_info().select("db", "n_docs", "n_indices").collect()} == {("a", 4, 2), ("b", 2, 2), ("c", 1, 2)}
+    assert {(r["ix"], r["kind"], r["n_keys"]) for r in service.indices("b").collect()} == {("text", "text", 3), ("id", "valu", 2)}
+    assert service.count("a", "red AND NOT hen").first()["n"] == 2
+
+
+def test_words(service):
+    assert [r["key"] for r in service.cooccurrence("a", ["a0", "A2"]).collect()] == ["fox", "red"]
+    assert service.spell_check("a", "fux").first()["key"] == "fox"
+    assert spelling.score("thing", "thing") == 5 and spelling.score("thign", "thing") is not None and spelling.score("abc", "xyz") is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.txt").write_text("ID\tx1\nTITLE\tFirst\nREF\tred fox\n//\nID\tx2\nTITLE\tSecond\nREF\tred hen\n//\n")
+    (tmp_path / "stop.txt").write_text("the x\nof\n")
+    out = str(tmp_path / "db")
+
+    def run(*args):
+        cli.main([*args], spark)
+        return capsys.readouterr().out.splitlines()
+
+    run("create", "simple", str(tmp_path / "in"), out, "--stop-words", str(tmp_path / "stop.txt"))
+    assert run("query", out, "red AND NOT hen") == ["x1"]
+    assert [x.split("\t")[0] for x in run("query", out, "*", "--terms", "red", "hen")] == ["x2"]
+    assert "red fox" in "\n".join(run("entry", out, "x1")) and run("entry", out, "x1", "--format", "title") == ["First"]
+    assert run("dump_index", out, "ref") == ["fox\t1", "hen\t1", "red\t2"]
+    assert "fox" in run("dict", out) and run("spellcheck", out, "fux")[0].startswith("fox")
+    info = run("info", out)
+    assert "documents\t2" in info and "stop\tthe" in info and any(x.startswith("ref\ttext") for x in info)
+    assert run("version") == [cli.VERSION]
+    merged = str(tmp_path / "m")
+    run("merge", merged, out, out)
+    assert run("query", merged, "id=x1") == ["x1", "x1"]
+    assert len(run("query", merged, "*", "--terms", "fox")) == 1  # the older copy is hidden
+
+
+def test_stream_of_updates(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    parser = plugins.parser("simple")
+
+    def more(name, *records):
+        (d / name).write_text("".join(f"ID\t{i}\nREF\t{t}\n//\n" for i, t in records))
+        updates.keep(updates.read_stream(spark, str(d), parser), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        return updates.current(spark, str(tmp_path / "out"))
+
+    assert more("1.txt", ("a", "one"), ("b", "two")).where("is_valid").count() == 2
+    rows = more("2.txt", ("a", "three")).collect()
+    assert {(r["doc_id"], r["entries"][1]["token"], r["is_valid"]) for r in rows} == {("a", "one", False), ("b", "two", True), ("a", "three", True)}
