@@ -12,8 +12,8 @@ below five words, else its two halves, one of which is free of substitutions.
 
 Most windows have no test seed. They are dropped right where they are made, by a
 bitmap over the test seeds, before any row is built or moved. It has 16 bits a
-seed, and between 512 KB and 8 MB. The join after it is exact, so the bitmap only saves work. The test seeds are
-broadcast if their measured size allows, else both sides are shuffled by seed
+seed, and between 512 KB and 8 MB. The join after it is exact, so the bitmap only saves work. The test seeds, and the
+items' words after them, are each broadcast if their measured size allows, else both sides are shuffled
 and the test side is replicated over salts, so a passage that
 many documents hold is spread.
 
@@ -31,7 +31,7 @@ MASKS = ((0, 1, 2, 4), (0, 1, 4, 6), (0, 2, 5, 6))
 SHORT, SIMILAR, WINDOW = 10, 0.8, 20
 #: Words of 64 bits in the bitmap, at least and at most.
 BITMAPS = 1 << 16, 1 << 20
-#: Estimated bytes of test seeds up to which they are broadcast; and salts beyond it.
+#: Bytes of test seeds, or of items, up to which they are broadcast; and salts beyond it.
 BROADCAST, SALTS = 16 << 20, 16
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -60,12 +60,12 @@ def _run(n: Column) -> Column:
 
 
 def _test_seeds(items: DataFrame, runs: list[int]) -> DataFrame:
-    """(seed, item_id, at, n, words): each seed of each item and its position."""
+    """(seed, item, at, n): each seed of each item and its position, without the item's words."""
     at, h, n = F.col("at"), F.col("words"), F.col("n")
-    each = items.select("item_id", "words", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    each = items.select("item", "words", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     options = [F.when(n >= SHORT, _seed(h, at, m, k)) for k, m in enumerate(MASKS)]
     options += [F.when((_run(n) == r) & ((at == 0) | (at == n - r)), _seed(h, at, tuple(range(r)), 100 + r)) for r in runs]
-    return each.select("item_id", "words", "n", "at", F.explode(F.array(*options)).alias("seed")).where("seed is not null").distinct()
+    return each.select("item", "at", "n", F.explode(F.array(*options)).alias("seed")).where("seed is not null").distinct()
 
 
 def _bitmap(seeds: DataFrame, size: int) -> Column:
@@ -94,15 +94,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, ke
 
     Under the best alignment ``n_equal`` of the item's ``n_words`` words agree, and at most ``n_window`` of min(n_words, window) neighbouring ones.
     """
-    items = benchmark.select(F.col(item).alias("item_id"), hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct().withColumn("n", F.size("words"))
+    items = benchmark.select(F.col(item).alias("item_id"), hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct()
+    items = items.withColumn("n", F.size("words")).withColumn("item", F.xxhash64("item_id", "words"))
     runs = sorted(r["r"] for r in items.select(_run(F.col("n")).alias("r")).where("r is not null").distinct().collect())  # fewer than 10 rows
     seeds = _test_seeds(items, runs)
-    known = seeds.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.col("n") + 64), F.lit(0)).alias("bytes")).first()
-    size, least, most = known["bytes"], *BITMAPS
-    if not size:
+    known = seeds.agg(F.count("*").alias("n")).first()["n"]
+    item_bytes = items.agg(F.coalesce(F.sum(8 * F.col("n") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    least, most = BITMAPS
+    if not known:
         n = F.col("n")
         return items.select(F.lit(None).cast(docs.schema[key].dataType).alias("doc_id"), "item_id", n.alias("n_words"), n.alias("n_equal"), n.alias("n_window")).where(F.lit(False))
-    slots = max(least, min(most, 1 << (known["n"] * 16 // 64).bit_length()))
+    slots = max(least, min(most, 1 << (known * 16 // 64).bit_length()))
     bits = _bitmap(seeds, slots)
     h, at = F.col("h"), F.col("pos")
     rows = docs.select(F.col(key).alias("doc_id"), hashes(F.col(text)).alias("h"))
@@ -114,13 +116,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, ke
     longest = items.agg(F.max("n")).scalar()
     near = F.greatest(at - longest, F.lit(0))
     hits = found.select("doc_id", F.slice("h", near + 1, F.lit(2) * longest + 8).alias("h"), (at - near).alias("pos"), "seed")
-    if size <= broadcast:
-        joined = hits.join(F.broadcast(seeds), "seed")
-    else:
-        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
-    shift = F.col("pos") - F.col("at")
-    equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.get("h", j + shift) == F.get("words", j), F.lit(False)))
+    spread = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")
+
+    def meet(left: DataFrame, right: DataFrame, on: str, size: int) -> DataFrame:
+        """An equi-join with the smaller test side: broadcast if its measured bytes allow, else shuffled over salts."""
+        if size <= broadcast:
+            return left.join(F.broadcast(right), on)
+        salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return left.withColumn("salt", spread).join(salted, [on, "salt"]).drop("salt")
+
+    placed = meet(hits, seeds, "seed", 48 * known)
+    # From here on a hit carries the words under the item only: from where the item begins, or the document does.
+    begin = F.col("pos") - F.col("at")
+    first = F.greatest(begin, F.lit(0))
+    narrow = placed.select("doc_id", "pos", "item", F.slice("h", first + 1, F.col("n") - first + begin).alias("h"), (begin - first).alias("shift"))
+    joined = meet(narrow, items, "item", item_bytes)
+    equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.when(j + F.col("shift") >= 0, F.get("h", j + F.col("shift")) == F.get("words", j)), F.lit(False)))
     width = F.least(F.col("n"), F.lit(window))
     count = lambda some: F.size(F.filter(some, lambda e: e))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda i: count(F.slice("equal", i, width))))
