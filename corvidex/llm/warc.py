@@ -33,6 +33,8 @@ from ._common import bounded_batches
 
 #: Bytes between two records that are read over rather than sought, and the most bytes of one read.
 GAP, READ = 64 << 10, 8 << 20
+#: Bytes of archive that a reading task gets, about; the index alone says nothing of the work behind it.
+TASK = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SAFE = "".join(map(chr, range(33, 127)))
 
@@ -151,7 +153,8 @@ def read(index: DataFrame, folder: str, with_payload: bool = True, gap: int = GA
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], types[c]) for c in names], names)
 
     kinds = {"page_id": "bigint", "payload": "binary", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}
-    ordered = index.select("file", "offset", "length").repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    ordered = index.select("file", "offset", "length").repartitionByRange(total // TASK + 1, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
