@@ -270,6 +270,10 @@ class Collection:
         """n keys from the start-th on, in key order; ``start`` may come from stepping back."""
         return self.keys(index).orderBy("key").offset(max(0, start)).limit(n)
 
+    def before(self, index: str, key: str, n: int) -> DataFrame:
+        """The n keys that come before a key, in key order: a step back."""
+        return self.keys(index).where(F.col("key") < key).orderBy(F.desc("key")).limit(n).orderBy("key")
+
     def expand(self, index: str, pattern: str) -> DataFrame:
         return self.keys(index).where(T.glob_match("key", pattern)).select("key")
 

@@ -174,6 +174,15 @@ def index_boolean(spark: SparkSession, d: str) -> DataFrame:
     return L.documents(L.parse("lang:en with AND NOT source:src0"), saved(documents, spark, d)).select(F.col("doc_nr").alias("doc_id"))
 
 
+@query("prefetched", f"{_ENTRIES} SELECT DISTINCT doc_id FROM entries WHERE key = 'with' AND doc_id IN ({_has('de', 'lang')}) UNION SELECT DISTINCT doc_id FROM entries WHERE key = 'src3' AND doc_id IN ({_has('de', 'lang')})")
+def prefetched(spark: SparkSession, d: str) -> DataFrame:
+    """One boolean result, kept, that restricts two others."""
+    c = documents(spark, d)
+    german = L.find(c, "lang:de").prefetch().select("doc_nr")
+    both = [L.find(c, q).ids().join(german, "doc_nr", "left_semi") for q in ("with", "src3")]
+    return both[0].union(both[1]).select(_doc()).distinct()
+
+
 @query("index_phrase", f"WITH {_tok()} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.key = 'of' AND b.key = 'the'")
 def index_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Adjacent positions in stored postings."""
@@ -325,6 +334,7 @@ query("keys", f"{_ENTRIES} SELECT key, count(*) AS df FROM entries WHERE ix = 's
 query("key_union", f"{_ENTRIES} SELECT key, count(DISTINCT doc_id) AS df FROM entries GROUP BY key")(lambda s, d: saved(documents, s, d).keys())
 query("key_seek", f"{_ENTRIES} SELECT key, count(*) AS df FROM entries WHERE ix = 'text' AND key >= 'that' GROUP BY key ORDER BY key LIMIT 25")(lambda s, d: saved(documents, s, d).seek("text", "that", 25))
 query("key_page", f"{_ENTRIES} SELECT key, count(*) AS df FROM entries WHERE ix = 'text' GROUP BY key ORDER BY key LIMIT 20 OFFSET 100")(lambda s, d: saved(documents, s, d).page("text", 100, 20))
+query("key_before", f"{_ENTRIES} SELECT key, df FROM (SELECT key, count(*) AS df FROM entries WHERE ix = 'text' AND key < 'that' GROUP BY key ORDER BY key DESC LIMIT 25)")(lambda s, d: saved(documents, s, d).before("text", "that", 25))
 query("key_dump_df", f"{_ENTRIES} SELECT ix, key, count(*) AS df FROM entries GROUP BY ix, key")(lambda s, d: saved(documents, s, d).table("lexicon").select("ix", "key", "df"))
 query("glob_expand", f"{_ENTRIES} SELECT DISTINCT key FROM entries WHERE ix = 'text' AND regexp_full_match(key, 'an.*th')")(lambda s, d: saved(documents, s, d).expand("text", "an*th"))
 query("index_stats", f"{_ENTRIES} SELECT ix, count(*) AS n_keys, CAST(sum(df) AS BIGINT) AS n_postings FROM (SELECT ix, key, count(*) AS df FROM entries GROUP BY ix, key) GROUP BY ix")(lambda s, d: documents(s, d).index_statistics())

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators.collection import DATE, NUMBER, TEXT, WEIGHTED, Collection, IndexError_
+from ..operators.lineage import cut
 
 
 class QueryError(ValueError):
@@ -336,6 +337,10 @@ class BooleanQuery:
     def ids(self) -> DataFrame:
         return self.rows().select("doc_nr", "doc_id")
 
+    def prefetch(self) -> DataFrame:
+        """(doc_nr, doc_id) of the matching documents, worked out now and kept, for use in several plans."""
+        return cut(self.ids())
+
     def count(self) -> DataFrame:
         return self.rows().agg(F.count("*").alias("n"))
 
