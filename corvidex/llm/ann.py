@@ -73,27 +73,43 @@ def _beam(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray,
 
 
 def _prune(x: np.ndarray, nodes: np.ndarray, options: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """For each node the pruned list of its options (rows of node numbers, -1 for none)."""
+    """For each node the pruned list of its options (rows of node numbers, -1 for none).
+
+    Places that pruning leaves free go to the options with the largest inner products with
+    the node itself: where norms differ, those are what a query near the node asks for, and
+    few of them are near neighbours.
+    """
     out = np.full((len(nodes), degree), -1, np.int64)
     radius = 2 * float(np.einsum("d,d->", x[nodes[0]], x[nodes[0]]))  # all have the same norm
     for at in range(0, len(nodes), 256):
+        mine_x = x[nodes[at : at + 256]]
         o = np.sort(options[at : at + 256], 1)
         bad = (o < 0) | (o == nodes[at : at + 256, None])
         bad[:, 1:] |= o[:, 1:] == o[:, :-1]
         v = x[o]
-        mine = radius - 2 * np.matmul(v, x[nodes[at : at + 256]][:, :, None])[:, :, 0]
+        inner = np.matmul(v[:, :, :-1], mine_x[:, :-1, None])[:, :, 0]
+        mine = radius - 2 * (inner + v[:, :, -1] * mine_x[:, -1:])
         between = radius - 2 * np.matmul(v, v.transpose(0, 2, 1))
         mine[bad] = np.inf
         r = np.arange(len(o))
-        left = mine.copy()
+        left, taken = mine.copy(), bad.copy()
         for k in range(degree):
             pick = left.argmin(1)
             ok = np.isfinite(left[r, pick])
             if not ok.any():
                 break
             out[at : at + len(o)][ok, k] = o[r, pick][ok]
+            taken[r[ok], pick[ok]] = True
             left[alpha * between[r, pick] <= mine] = np.inf
             left[r, pick] = np.inf
+        inner[taken] = -np.inf
+        order = np.argsort(-inner, axis=1)[:, :degree]
+        rest = np.where(np.isneginf(np.take_along_axis(inner, order, 1)), -1, np.take_along_axis(o, order, 1))
+        free = out[at : at + len(o)] < 0
+        place = np.minimum(np.cumsum(free, 1) - 1, rest.shape[1] - 1)
+        out[at : at + len(o)] = np.where(free, np.take_along_axis(rest, np.maximum(place, 0), 1), out[at : at + len(o)])
+        if rest.shape[1] < degree:  # fewer options than places: none is listed twice
+            out[at : at + len(o)][free & (np.cumsum(free, 1) > rest.shape[1])] = -1
     return out
 
 
@@ -103,18 +119,23 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     n, rng = len(x), np.random.default_rng(7)
     slack = degree + degree // 2
     edges = np.full((n, slack), -1, np.int64)
-    entries = np.unique(np.concatenate(([int((x @ x.mean(0)).argmax())], rng.choice(n, min(n, ENTRIES - 1), replace=False))))
+    longest = np.argsort(x[:, -1], kind="stable")[: ENTRIES // 2]  # the last coordinate is the less, the longer a vector is
+    entries = np.unique(np.concatenate(([int((x @ x.mean(0)).argmax())], longest, rng.choice(n, min(n, ENTRIES - 1), replace=False))))
     if n <= degree + 1:
         edges[:, :n] = np.where(np.eye(n, dtype=bool), -1, np.arange(n))
         return edges[:, :degree], entries
     edges[:, : degree // 4] = rng.integers(0, n, (n, degree // 4))
+    flat = np.concatenate((x[:, :-1], np.zeros((n, 1), np.float32)), 1)
+    differ = bool(x[:, -1].max() > 0.05)
     order, at, size = rng.permutation(n), 0, 64
     while at < n:
         nodes = order[at : at + size]
         at, size = at + size, min(512, size * 2)
-        found, _ = _beam(x, edges, entries, x[nodes], beam)
+        found = [_beam(x, edges, entries, x[nodes], beam)[0], edges[nodes]]
+        if differ:  # what has the largest inner product is sought too
+            found.append(_beam(x, edges, entries, flat[nodes], beam)[0])
         edges[nodes] = -1
-        edges[nodes, :degree] = kept = _prune(x, nodes, np.concatenate((found, edges[nodes]), 1), degree, alpha)
+        edges[nodes, :degree] = kept = _prune(x, nodes, np.concatenate(found, 1), degree, alpha)
         src, dst = np.repeat(nodes, degree), kept.ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
         order_ = np.argsort(dst, kind="stable")
