@@ -233,6 +233,14 @@ def _test(key: Column, spec, op: str, value: str) -> Column:
 # ---- tree to predicate ---------------------------------------------------------------------------
 
 
+def _holds(spec, parts) -> Column:
+    """Whether the lower-cased text holds each part anywhere: true of every text with such keys, and far cheaper than splitting it."""
+    if spec.kind not in (TEXT, WEIGHTED) or spec.word or spec.many:
+        return F.lit(True)
+    low = F.coalesce(T.ascii_lower(F.col(spec.column).cast("string")), F.lit(""))
+    return reduce(lambda a, b: a & b, [F.contains(low, F.lit(p)) for p in dict.fromkeys(parts) if p], F.lit(True))
+
+
 def predicate(tree, c: Collection) -> Column:
     """The tree as a test of one row of ``c.keyed``."""
     one = lambda i: F.col(f"k_{i.name}")
@@ -254,12 +262,12 @@ def predicate(tree, c: Collection) -> Column:
     specs = c.indices if tree.index in (None, "*") else [c.index(tree.index)]
     if isinstance(tree, Term):
         if tree.glob:
-            tests = [F.exists(one(i), lambda k: F.coalesce(T.glob_match(k, tree.key), F.lit(False))) for i in specs]
+            tests = [_holds(i, [T.glob_prefix(tree.key)]) & F.exists(one(i), lambda k: F.coalesce(T.glob_match(k, tree.key), F.lit(False))) for i in specs]
         else:
-            tests = [F.coalesce(F.array_contains(one(i), tree.key), F.lit(False)) for i in specs]
+            tests = [_holds(i, [tree.key]) & F.coalesce(F.array_contains(one(i), tree.key), F.lit(False)) for i in specs]
     else:  # keys hold no spaces, so neighbouring keys are a substring of all keys joined by spaces
         wanted = F.lit(f" {' '.join(tree.words)} ")
-        tests = [F.contains(F.concat(F.lit(" "), F.array_join(one(i), " ", "\x01"), F.lit(" ")), wanted) for i in specs if i.kind == TEXT]
+        tests = [_holds(i, tree.words) & F.contains(F.concat(F.lit(" "), F.array_join(one(i), " ", "\x01"), F.lit(" ")), wanted) for i in specs if i.kind == TEXT]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
