@@ -241,6 +241,18 @@ def _holds(spec, parts) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(low, F.lit(p)) for p in dict.fromkeys(parts) if p], F.lit(True))
 
 
+def _splits(tree, c: Collection) -> int:
+    """How often a test of one row has to split a text."""
+    if isinstance(tree, (And, Or)):
+        return _splits(tree.a, c) + _splits(tree.b, c)
+    if isinstance(tree, Not):
+        return _splits(tree.a, c)
+    if not isinstance(tree, (Term, Phrase)):
+        return 0
+    specs = c.indices if tree.index in (None, "*") else [c.index(tree.index)]
+    return sum(i.kind in (TEXT, WEIGHTED) and not i.word for i in specs)
+
+
 def predicate(tree, c: Collection) -> Column:
     """The tree as a test of one row of ``c.keyed``."""
     one = lambda i: F.col(f"k_{i.name}")
@@ -248,10 +260,9 @@ def predicate(tree, c: Collection) -> Column:
         return F.lit(True)
     if isinstance(tree, Nothing):
         return F.lit(False)
-    if isinstance(tree, And):
-        return predicate(tree.a, c) & predicate(tree.b, c)
-    if isinstance(tree, Or):
-        return predicate(tree.a, c) | predicate(tree.b, c)
+    if isinstance(tree, (And, Or)):  # what is cheap is tested first, and often decides
+        a, b = (predicate(t, c) for t in sorted((tree.a, tree.b), key=lambda t: _splits(t, c)))
+        return a & b if isinstance(tree, And) else a | b
     if isinstance(tree, Not):
         return ~predicate(tree.a, c)
     if isinstance(tree, Rel):
