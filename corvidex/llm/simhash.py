@@ -21,7 +21,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +95,13 @@ def _near(x: np.ndarray, y: np.ndarray | np.uint64, radius: int) -> np.ndarray:
     return np.bitwise_count(x ^ y) <= radius
 
 
-def forest(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each of the distinct fingerprints, the index of its component's first one; every link counts.
+def spanning(n: int, near: Callable[[int], np.ndarray]) -> np.ndarray:
+    """For each of n things, the index of its component's first one; near(i) tells which ones are linked to thing i.
 
     Each pivot is compared with all; what it reaches needs no pivot of its own.
     Links between two reached fingerprints matter only across components: the
     reached ones of all components but the largest are compared with all others.
     """
-    n = len(x)
     cover, parent, pivot = np.full(n, -1), list(range(n)), np.zeros(n, bool)
 
     def root(i: int) -> int:
@@ -119,23 +118,28 @@ def forest(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     for p in range(n):
         if cover[p] >= 0:
             continue
-        near = np.flatnonzero(_near(x, x[p], radius))
+        reached = np.flatnonzero(near(p))
         pivot[p] = True
-        for c in np.unique(cover[near]).tolist():
+        for c in np.unique(cover[reached]).tolist():
             if c >= 0:
                 join(c, p)
-        near = near[cover[near] < 0]
-        cover[near] = p
+        reached = reached[cover[reached] < 0]
+        cover[reached] = p
     label = np.array([root(int(c)) for c in cover])
     if len(found := np.unique(label)) > 1 and not pivot.all():
         rest = np.flatnonzero((label != found[np.argmax(np.bincount(label)[found])]) & ~pivot)
         for i in rest.tolist():
-            for c in np.unique(label[_near(x, x[i], radius)]).tolist():
+            for c in np.unique(label[near(i)]).tolist():
                 join(c, int(label[i]))
         label = np.array([root(int(c)) for c in label])
     return label
 
 
+def forest(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The same for distinct fingerprints."""
+    return spanning(len(x), lambda i: _near(x, x[i], radius))
+
+
 def _links(t: np.ndarray, k: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of whole buckets that lie one after the other."""
     cuts = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]), [True])))
