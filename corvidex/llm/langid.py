@@ -179,6 +179,14 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_matcher": None, "_at": {}, "_rows": None}
 
+    def with_background(self) -> Model:
+        """The model and, as a further language ``und``, one in which every piece and every unknown letter is as likely as any other."""
+        if not self.langs:
+            return self
+        even = 1.0 / len(self.pieces)
+        prob = np.column_stack((self.prob, np.full(len(self.pieces), even)))
+        return Model([*self.langs, UNKNOWN], self.pieces, prob, np.append(self.rare, even))
+
     def words(self, words: list[str]) -> np.ndarray:
         """Log likelihoods (words x languages), each distinct word computed once."""
         if self._matcher is None:
@@ -292,6 +300,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text has a language of the model with at least this posterior; same columns."""
+    """The rows of ``docs`` whose text has a language of the model with at least this posterior; same columns.
+
+    The background takes part, so a text that no language explains better than it is rejected, however few were learned.
+    """
     names = [f"_lang_{i}" for i in range(2)]
-    return predict(docs, model, text, *names).where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)
+    return predict(docs, model.with_background(), text, *names).where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)

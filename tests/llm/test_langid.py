@@ -95,3 +95,17 @@ def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
     rows = [r for r in op3_langid(spark, d).collect() if r["held_out"]]
     assert len(rows) > 200 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) / len(rows) > 0.95
+
+
+def test_unlearned_languages_and_noise_are_rejected(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    two = L.fit(docs.where("lang in ('en', 'de')"))
+    rng = np.random.default_rng(0)
+    noise = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)), "en") for i in range(50)]
+    assert L.keep_known(spark.createDataFrame(noise, SCHEMA), two).count() == 0
+    known, other = docs.where("lang in ('en', 'de')"), docs.where("lang not in ('en', 'de')")
+    assert L.keep_known(known, two).count() == known.count()
+    assert L.keep_known(other, two).count() < 0.2 * other.count()
+    one = L.fit(docs.where("lang = 'de'"))
+    assert L.keep_known(spark.createDataFrame([(1, "Привет мир", "ru"), (2, "中文", "zh"), *noise], SCHEMA), one).count() == 0
