@@ -6,8 +6,9 @@ first passes a threshold that follows the page's own peak, and dives where it
 falls to nothing. The lines between are kept. Elements that by their name,
 class, id or role are menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or reader comments never become lines. Where the page
-marks its article (article, main, or an element so called), surge and dive move
-out to that element's borders, so that short first and last blocks stay.
+marks its article (article, main, or an element so called) and the peak lies in one,
+surge and dive move out to the borders of every such element that they touch, so that
+short first and last blocks stay, and text outside of such elements goes.
 
 Cases: a null or empty page, or one without text, gives an empty text; unclosed,
 unopened and cut-off tags are tolerated; a line break counts as white space; a cut-off character
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -147,9 +149,6 @@ def extract(page: str | None) -> str:
         return ""
     peak = sums.index(top)
     peak = max(range(peak, min(peak + WINDOW, len(rows))), key=lambda i: size[i])
-    article = rows[peak][2]
-    if article:  # the borders of the element are where its text surges and dives
-        return "\n\n".join(r[0] for r in rows if r[2] == article)
     least = min(THRESHOLD, top / 2)
     kept, inside = [], False
     for i, r in enumerate(rows):
@@ -158,8 +157,15 @@ def extract(page: str | None) -> str:
         elif inside and not sums[i]:
             inside = False
         if inside and size[i]:
-            kept.append(r[0])
-    return "\n\n".join(kept)
+            kept.append(i)
+    if rows[peak][2]:  # what is kept of marked elements stays, and where it is text enough it reaches to the element's borders
+        held = Counter()
+        for i in kept:
+            held[rows[i][2]] += size[i]
+        whole = {a for a, n in held.items() if n >= least} | {rows[peak][2]}
+        of, own = [r[2] for r in rows], set(kept)
+        kept = [i for i, a in enumerate(of) if a and (a in whole or i in own)]
+    return "\n\n".join(rows[i][0] for i in kept)
 
 
 def extract_column(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -57,3 +57,15 @@ def test_pages_of_the_tables(spark):
         inside = re.search(r"<article>(.*?)(</article>|$)", source[r["page_id"]], re.S)[1].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?p>|</?h1>", inside)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=entry-content><p>{LONG}</p></div><div class=ad>buy</div><div class=entry-content><p>{LONG * 2}</p><p>end</p></div>", [LONG, LONG * 2, "end"]),
+        (f"<main><p>{LONG}</p><article><p>{LONG * 2}</p></article></main>", [LONG, LONG * 2]),
+        (f"<main><p>lead</p><article><p>{LONG * 2}</p></article></main><p>{LONG}</p>", ["lead", LONG * 2]),
+    ],
+)
+def test_text_that_spans_containers(page, want):
+    assert H.extract(page) == "\n\n".join(x.strip() for x in want)
