@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, types as T
 from ._common import bounded_batches
 
 WINDOW, THRESHOLD = 3, 80
+#: The share of a page's text from which on a wrapper is not taken for boilerplate by its name.
+MOST = 0.8
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|</?[a-z][^<>]*(?:>|\Z)|<[a-z][^>]*\Z",
@@ -45,31 +47,49 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DROP_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead sidebar sidenav aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended trending comment comments commentlist reply replies disqus discussion widget toolbar pagination pager contentinfo complementary copyright skip".split()
 )
+_READERS = frozenset("comment comments commentlist reply replies disqus discussion".split())
 _KEEP_NAMES = frozenset("article main".split())
 _KEEP_CLASSES = re.compile(r"(?:article|post|entry|story|main|page)[-_ ]?(?:content|body|text)|^(?:article|content|story|post|entry|main)$", re.I)
 
 
-def _called(attrs: str) -> tuple[bool, bool]:
-    """Whether an element with these attributes is boilerplate, and whether it is the article."""
-    drop = keep = False
+def _called(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element with these attributes is boilerplate, whether it is the article, and whether it is so for sure: hidden, or readers' comments."""
+    drop = keep = sure = False
     for name, value in _ATTR.findall(attrs):
         value = value.strip("\"'")
         low = name.lower()
         if low == "hidden" or low == "aria-hidden" and value.lower() == "true":
-            drop = True
+            drop = sure = True
         elif low != "aria-hidden":
             for token in value.split():
                 if _KEEP_CLASSES.search(token):
                     keep = True
-                elif _DROP_NAMES.intersection(p.lower() for p in _NAME.findall(token)):
+                elif found := _DROP_NAMES.intersection(parts := [p.lower() for p in _NAME.findall(token)]):
                     drop = True
-    return drop and not keep, keep
+                    sure = sure or bool(found & _READERS) and "no" not in parts
+    return drop and not keep, keep, sure
 
 
 def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, article it lies in or 0) of every line that is no boilerplate, in page order."""
+    """(text, characters outside links, article it lies in or 0) of every line that is no boilerplate, in page order.
+
+    A wrapper that only its name makes boilerplate is none if it holds nearly all of the page's text and no article lies outside of it.
+    """
+    held: Counter[int] = Counter()
+    out = _lines(page, held, frozenset())
+    outside = sum(r[1] for r in out)
+    if held and not any(r[2] for r in out):
+        total = outside + held[-1]
+        opened = frozenset(k for k, n in held.items() if k >= 0 and n > MOST * total)
+        if opened:
+            return _lines(page, Counter(), opened)
+    return out
+
+
+def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[str, int, int]]:
+    """The lines; ``held`` gets the characters outside links of the wrappers that may be opened, by their place (-1: of all), ``opened`` has those that are."""
     out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # element, inside boilerplate, article
+    stack: list[tuple[str, bool, int, tuple[int, ...] | None]] = []  # element, inside boilerplate, article, wrappers that may be opened (None: inside one that may not)
     text: list[str] = []
     linked, links, articles, at = 0, 0, 0, 0
 
@@ -83,10 +103,14 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         linked = 0
 
     for m in _TAG.finditer(page):
-        if m.start() > at and not (stack and stack[-1][1]):
-            text.append(page[at : m.start()])
-            if links:
-                linked += m.start() - at
+        if m.start() > at:
+            if not (stack and stack[-1][1]):
+                text.append(page[at : m.start()])
+                if links:
+                    linked += m.start() - at
+            elif not links and stack[-1][3] and (n := len(page[at : m.start()].strip())):
+                for k in (-1, *stack[-1][3]):
+                    held[k] += n
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -98,9 +122,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             text.append(" ")
         if name not in _BLOCKS:
             if not closing and name not in _VOID and not m[4].endswith("/") and m[4].strip():
-                drop, _ = _called(m[4])
+                drop = _called(m[4])[0]
                 if drop and not (stack and stack[-1][1]):  # an inline element that is boilerplate
-                    stack.append((name, True, stack[-1][2] if stack else 0))
+                    stack.append((name, True, stack[-1][2] if stack else 0, None))
             elif closing and stack and stack[-1][0] == name:
                 stack.pop()
             continue
@@ -118,19 +142,29 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 stack.pop()
         if name in _VOID:
             continue
-        inside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        drop, keep = _called(m[4]) if m[4].strip() else (False, False)
+        inside, article, wraps = stack[-1][1:] if stack else (False, 0, ())
+        drop, keep, sure = _called(m[4]) if m[4].strip() else (False, False, False)
         if name in _KEEP_NAMES:
             drop, keep = drop and name != "main", True
+        if name == "main" and wraps is not None and not sure:  # a page has one
+            inside, wraps = False, ()
+        drop = drop and m.start() not in opened
         if keep and not drop and not inside:
             if not article or name == "article":
                 articles += 1
                 article = articles
         if name in ("body", "html"):
             drop = False
-        stack.append((name, inside or drop or name in _DROP or name == "header" and not article, article))
-    if at < len(page) and not (stack and stack[-1][1]):
-        text.append(page[at:])
+        drop = drop or (name in _DROP or name == "header" and not article) and m.start() not in opened
+        if drop and wraps is not None:
+            wraps = None if sure or name in _DROP and name != "form" else (*wraps, m.start())
+        stack.append((name, inside or drop, article, wraps))
+    if at < len(page):
+        if not (stack and stack[-1][1]):
+            text.append(page[at:])
+        elif not links and stack[-1][3]:
+            for k in (-1, *stack[-1][3]):
+                held[k] += len(page[at:].strip())
     flush()
     return out
 

@@ -69,3 +69,20 @@ def test_pages_of_the_tables(spark):
 )
 def test_text_that_spans_containers(page, want):
     assert H.extract(page) == "\n\n".join(x.strip() for x in want)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=content-sidebar-wrap><main><p>{LONG}</p></main><div class=sidebar>{LONG}</div></div>", LONG),
+        (f"<body class=with-sidebar><div class=with-sidebar><p>{LONG}</p></div></body>", LONG),
+        (f"<div class=with-sidebar>{LONG}", LONG),
+        (f"<h1>T</h1><article class=no-comments><p>{LONG}</p></article>", LONG),
+        (f"<body><form action=x><div class=with-sidebar><nav>m</nav><article><p>{LONG}</p></article></div></form></body>", LONG),
+        (f"<article><p>{LONG}</p></article><div class=comments><p>{LONG * 9}</p></div>", LONG),
+        (f"<p>{LONG}</p><div class=user-comments><p>{LONG * 9}</p></div>", LONG),
+        (f"<p>{LONG}</p><div hidden><main><p>{LONG * 9}</p></main></div>", LONG),
+    ],
+)
+def test_wrappers_of_the_text(page, want):
+    assert H.extract(page) == want.strip()
