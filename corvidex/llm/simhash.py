@@ -227,10 +227,26 @@ def hexadecimal(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but the smallest key of each group; rows with a null key stay.
+    """The rows of ``docs`` less all but one with the smallest key of each group; rows with a null key stay.
 
-    Rows that share a key count as one document: of those, one stays.
+    Rows that share key and text count as one document: of those, one stays. Rows that share
+    only the key are documents of their own groups.
     """
-    got = groups(docs, key, text)
-    kept = got.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+    some = docs.where(F.col(key).isNotNull())
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x) for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["key", "h", "fp"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = cut(some.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), text).mapInArrow(run, f"key {kind}, h bigint, fp bigint"))
+    # Null keys link others, as in groups.
+    null = fingerprints(docs.where(F.col(key).isNull()), key, text).select("fp")
+    roots = cut(components(links(cut(rows.select("fp").union(null).distinct()))))
+    first = rows.groupBy("fp").agg(F.min(F.struct("key", "h")).alias("least"))
+    joined = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = joined.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(key), F.col("least.h").alias("_text_hash"))
+    found = docs.withColumn("_text_hash", F.xxhash64(text)).join(kept, [key, "_text_hash"], "left_semi").dropDuplicates([key, "_text_hash"])
+    return found.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -109,6 +109,13 @@ def test_groups(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 20, 30, 40]
 
 
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, base), (2, base), (2, "a text of its own"), (2, "a text of its own"), (3, "one more text"), (3, "and one more again")]
+    kept = S.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, kept)) == sorted({rows[0], *rows[2:]})
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.groups(empty).collect() == [] and S.keep_one(empty).collect() == []
