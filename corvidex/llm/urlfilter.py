@@ -91,13 +91,14 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character, over the classes of letters, digits and each common sign."""
-    n = F.greatest(F.char_length(text), F.lit(1)).cast("double")
-    total = F.lit(0.0)
-    for p in ("[aeiou]", "[bcdfghjklm]", "[npqrstvwxyz]", "[A-Z]", "[0-4]", "[5-9]", r"[./]", "[-_]", "[?&=#%]"):
-        share = _count(text, p) / n
-        total = total - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
-    return total
+    """Bits per character, over the distinct characters; 0 for an empty text."""
+    n = F.char_length(text)
+
+    def add(total: Column, c: Column) -> Column:
+        share = (n - F.char_length(F.replace(text, c))) / n
+        return total - share * F.log2(share)
+
+    return F.aggregate(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), F.lit(0.0), add)
 
 
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "query_length", "hyphens", "fragment", "secure", "suffix_length", "suffix_rate", "suffix_share")

@@ -97,3 +97,14 @@ def test_held_out_urls(spark):
     test = spark.createDataFrame([(i, (bad if i % 2 else good)(10_000 + i)) for i in range(200)], SCHEMA)
     got = U.verdicts(test, [], train).collect()
     assert np.mean([(r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got]) > 0.97
+
+
+def test_entropy_is_that_of_the_characters(spark):
+    import math
+    from collections import Counter
+
+    texts = ["", "a", "aaaa", "aeio", "https://example.com/en/1?a=b&c=(d)", "é€é 😀😀x", "$1.*\\d[x]"]
+    got = spark.createDataFrame([(t,) for t in texts], "url string").select("url", U._entropy(F.col("url")).alias("e")).collect()
+    for r in got:
+        n = len(r["url"])
+        assert math.isclose(r["e"], -sum(k / n * math.log2(k / n) for k in Counter(r["url"]).values()), abs_tol=1e-9), r
