@@ -5,10 +5,11 @@ link text) are summed over a sliding window of lines; the text surges where the
 first passes a threshold that follows the page's own peak, and dives where it
 falls to nothing. The lines between are kept. Elements that by their name,
 class, id or role are menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or reader comments never become lines. Where the page
-marks its article (article, main, or an element so called) and the peak lies in one,
-surge and dive move out to the borders of every such element that they touch, so that
-short first and last blocks stay, and text outside of such elements goes.
+forms, scripts, styles or reader comments never become lines. Links count as text where
+the page marks its article (article, main, or an element so called). If the peak lies in one, or they hold half of the text,
+surge and dive move out to the borders of every such element that they touch, and of those
+beside it in the same main, so that short first and last blocks stay; text outside of such elements goes.
+Between surge and dive every line stays, also one that is nothing but a link.
 
 Cases: a null or empty page, or one without text, gives an empty text; unclosed,
 unopened and cut-off tags are tolerated; a line break counts as white space; a cut-off character
@@ -70,8 +71,8 @@ def _called(attrs: str) -> tuple[bool, bool, bool]:
     return drop and not keep, keep, sure
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, article it lies in or 0) of every line that is no boilerplate, in page order.
+def lines(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters that count, article it lies in or 0, main it lies in or 0) of every line that is no boilerplate, in page order.
 
     A wrapper that only its name makes boilerplate is none if it holds nearly all of the page's text and no article lies outside of it.
     """
@@ -86,10 +87,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[str, int, int]]:
+def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[str, int, int, int]]:
     """The lines; ``held`` gets the characters outside links of the wrappers that may be opened, by their place (-1: of all), ``opened`` has those that are."""
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...] | None]] = []  # element, inside boilerplate, article, wrappers that may be opened (None: inside one that may not)
+    out: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, bool, int, tuple[int, ...] | None, int]] = []  # element, inside boilerplate, article, wrappers that may be opened (None: inside one that may not), main
     text: list[str] = []
     linked, links, articles, at = 0, 0, 0, 0
 
@@ -98,7 +99,8 @@ def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[
         if text:
             line = " ".join(_html.unescape("".join(text)).split())
             if line:
-                out.append((line, max(0, len(line) - linked), stack[-1][2] if stack else 0))
+                article, main = (stack[-1][2], stack[-1][4]) if stack else (0, 0)
+                out.append((line, len(line) if article else max(0, len(line) - linked), article, main))
             text.clear()
         linked = 0
 
@@ -121,10 +123,11 @@ def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[
         if name == "br":
             text.append(" ")
         if name not in _BLOCKS:
-            if not closing and name not in _VOID and not m[4].endswith("/") and m[4].strip():
-                drop = _called(m[4])[0]
-                if drop and not (stack and stack[-1][1]):  # an inline element that is boilerplate
-                    stack.append((name, True, stack[-1][2] if stack else 0, None))
+            if not closing and name not in _VOID and not m[4].endswith("/"):
+                _, inside, article, _, main = stack[-1] if stack else ("", False, 0, None, 0)
+                # An inline element that is boilerplate, or one of its name in it, whose end must not be taken for its own.
+                if inside and stack[-1][0] == name or not inside and m[4].strip() and _called(m[4])[0]:
+                    stack.append((name, True, article, None, main))
             elif closing and stack and stack[-1][0] == name:
                 stack.pop()
             continue
@@ -135,14 +138,15 @@ def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[
                     del stack[i:]
                     break
             continue
-        if name in _CLOSED_BY_NEXT or name in _BLOCKS:
-            while stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in _CLOSED_BY_NEXT and stack and stack[-1][0] == name:
-                stack.pop()
+        for ended in ("p", name) if name in _CLOSED_BY_NEXT else ("p",):  # an open paragraph ends, with the inline elements in it; so does an open item
+            i = len(stack) - 1
+            while i >= 0 and stack[i][0] not in _BLOCKS:
+                i -= 1
+            if i >= 0 and stack[i][0] == ended:
+                del stack[i:]
         if name in _VOID:
             continue
-        inside, article, wraps = stack[-1][1:] if stack else (False, 0, ())
+        inside, article, wraps, main = stack[-1][1:] if stack else (False, 0, (), 0)
         drop, keep, sure = _called(m[4]) if m[4].strip() else (False, False, False)
         if name in _KEEP_NAMES:
             drop, keep = drop and name != "main", True
@@ -153,12 +157,13 @@ def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[
             if not article or name == "article":
                 articles += 1
                 article = articles
+                main = article if name == "main" else main
         if name in ("body", "html"):
             drop = False
         drop = drop or (name in _DROP or name == "header" and not article) and m.start() not in opened
         if drop and wraps is not None:
             wraps = None if sure or name in _DROP and name != "form" else (*wraps, m.start())
-        stack.append((name, inside or drop, article, wraps))
+        stack.append((name, inside or drop, article, wraps, main))
     if at < len(page):
         if not (stack and stack[-1][1]):
             text.append(page[at:])
@@ -183,22 +188,26 @@ def extract(page: str | None) -> str:
         return ""
     peak = sums.index(top)
     peak = max(range(peak, min(peak + WINDOW, len(rows))), key=lambda i: size[i])
+    marked = [i for i, r in enumerate(rows) if r[2]]
+    if marked and 2 * sum(size[i] for i in marked) >= sum(size):  # the elements that are called article hold most of the text
+        peak = max(marked, key=lambda i: (min(sums[i], size[i]), sums[i]))
     least = min(THRESHOLD, top / 2)
     kept, inside = [], False
-    for i, r in enumerate(rows):
+    for i in range(len(rows)):
         if not inside and sums[i] >= least and size[i]:
             inside = True
         elif inside and not sums[i]:
             inside = False
-        if inside and size[i]:
+        if inside:
             kept.append(i)
     if rows[peak][2]:  # what is kept of marked elements stays, and where it is text enough it reaches to the element's borders
         held = Counter()
         for i in kept:
             held[rows[i][2]] += size[i]
         whole = {a for a, n in held.items() if n >= least} | {rows[peak][2]}
-        of, own = [r[2] for r in rows], set(kept)
-        kept = [i for i, a in enumerate(of) if a and (a in whole or i in own)]
+        mains = {r[3] for r in rows if r[2] in whole} - {0}
+        own = set(kept)
+        kept = [i for i, r in enumerate(rows) if r[2] and (r[2] in whole or r[3] in mains or i in own)]
     return "\n\n".join(rows[i][0] for i in kept)
 
 

@@ -86,3 +86,41 @@ def test_text_that_spans_containers(page, want):
 )
 def test_wrappers_of_the_text(page, want):
     assert H.extract(page) == want.strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<p>{LONG}<span class="advert">BUY <span>now</span> CHEAP</span> end</p>', [LONG + "end"]),
+        (f'<p>{LONG}<span class="advert">BUY <b>now</b><p>{LONG}</p>', [LONG, LONG]),
+        (f'<ul><li>{LONG}<i class="ad">BUY<li>{LONG}</ul>', [LONG, LONG]),
+        (f"<p>{LONG}</p><p><a href=x>one link</a></p><p>{LONG}</p>", [LONG, "one link", LONG]),
+        (f"<p>{LONG}</p><p><a>1</a></p><p><a>2</a></p><p><a>3</a></p>", [LONG]),
+        (f"<main><article><p>{LONG}</p></article><article><p>{LONG * 2}</p></article></main>", [LONG, LONG * 2]),
+        (f"<main><article><p>{LONG}</p></article><div class=ad>buy</div><article><p><a>1</a></p><p><a>2</a></p><p><a>3</a></p><p>end</p></article></main><p>{LONG}</p>", [LONG, "1", "2", "3", "end"]),
+        ("<nav><a>m</a></nav><article><ul><li><a>one</a></li><li><a>two</a></li></ul></article><footer>f</footer>", ["one", "two"]),
+        ("<ul><li><a>one</a></li></ul>", []),
+    ],
+)
+def test_nothing_else_is_dropped(page, want):
+    assert H.extract(page) == "\n\n".join(x.strip() for x in want)
+
+
+def test_line_blocks_against_brute_force():
+    """Pages that mark no article: what surges and dives, from the definition, over blocks whose lengths are known."""
+    import random
+
+    draw = random.Random(5)
+    for _ in range(400):
+        blocks, page = [], []
+        for _ in range(draw.randint(1, 30)):
+            plain, link = draw.choice(((0, 9), (0, 40), (5, 0), (30, 6), (120, 0), (300, 12), (1, 1)))
+            words = "x" * plain + (" " if plain and link else "") + "y" * link
+            blocks.append((words, len(words) - link))
+            inner = "x" * plain + (" " if plain and link else "") + (f"<a href='/q'>{'y' * link}</a>" if link else "")
+            page.append(draw.choice(("<p>%s</p>", "<div>%s</div>", "<p>%s", "<h2>%s</h2>\n", "<ul><li>%s</li></ul>", "<div><div><p> %s\n</p></div></div>")) % inner)
+        window = [sum(n for _, n in blocks[i : i + H.WINDOW]) for i in range(len(blocks))]
+        least = min(H.THRESHOLD, max(window) / 2)
+        surges = [i for i in range(len(blocks)) if window[i] >= least and blocks[i][1] and max(window)]
+        want = [i for i in range(len(blocks)) if any(s <= i and all(window[s : i + 1]) for s in surges)]
+        assert H.extract("<html><body>" + "".join(page)) == "\n\n".join(blocks[i][0] for i in want)
