@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.lineage import cut, shared_folder
+
+__all__ = ["BPE_FILE", "PIECE_FILE", "TOKENIZERS", "bounded_batches", "cut", "remainder", "shared_dir", "table"]
+
 #: Where the public vocabulary files lie unless a caller says otherwise.
 TOKENIZERS = "/opt/tokenizers"
 BPE_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -17,36 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts must fit a Python worker: never more than ``rows`` rows."""
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 64 << 20) -> None:
+    """Arrow batches of whole texts must fit a Python worker: never more than ``rows`` rows, nor than ``size`` bytes and one row."""
+    conf = spark.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) not in range(1, rows + 1):
-        spark.conf.set(key, str(rows))
+    if int(conf.get(key)) not in range(1, rows + 1):
+        conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) not in range(1, size + 1):  # -1: no bound
+        conf.set(key, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors see.
-
-    The setting is read from the session. Only where it is unset (a local
-    session, as in tests) a local folder is used.
-    """
-    root = checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/corvidex-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/corvidex-checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root if ":" in root.split("/")[0] else "file://" + os.path.abspath(root)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint: it survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A new folder below spark.checkpoint.dir, which the driver and all executors see."""
+    return shared_folder(spark, "corvidex")
 
 
 def remainder(key: str, n: int) -> Column:
