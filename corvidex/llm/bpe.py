@@ -235,6 +235,22 @@ def decode_column(df: DataFrame, ids: str = "ids", text: str = "decoded", path:
     return df.mapInArrow(run, schema)
 
 
+def count_column(df: DataFrame, text: str = "text", n_tokens: str = "n_tokens", path: str = BPE_FILE) -> DataFrame:
+    """``df`` with the number of tokens of each whole text instead of the text."""
+    rest = [f for f in df.schema.fields if f.name != text]
+    _clash(df.drop(text), n_tokens)
+    bounded_batches(df.sparkSession)
+    schema = T.StructType([*rest, T.StructField(n_tokens, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for b in batches:
+            n = [len(model.encode(x)) for x in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.array(n, pa.int64())], [*(f.name for f in rest), n_tokens])
+
+    return df.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str = BPE_FILE, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, and the SHA-256 of its ids and of the text decoded from them; the ids too if asked for.
 

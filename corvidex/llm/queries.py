@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontam, htmltext, langid, quality, rollup, simhash, urlfilter, warc
+from . import ann, bpe, bpe_sql, decontam, htmltext, langid, quality, rollup, simhash, urlfilter, warc
 from ._common import cut, remainder, shared_dir, table
 
 
@@ -15,6 +15,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+#: The same result by merging pairs step by step.
+OP1_SQL = f"""
+WITH RECURSIVE {bpe_sql.encoded()}
+SELECT doc_id, n_tokens, sha256(ids) AS ids_sha256, sha256(from_hex(bytes)) AS decoded_sha256 FROM texts_ids
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that overlaps a benchmark item, with the item and the words that agree."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -114,15 +121,18 @@ def op9_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.of_corpus(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shared_dir(spark))
 
 
-OP9_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
-    len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) AS m
-  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+#: Repeated ids count once, by their latest change (here the largest); null ids can't be deleted or revised.
+OP9_SQL = f"""
+WITH RECURSIVE {bpe_sql.encoded()}, counts AS (
+  SELECT doc_id, source, lang, 'bpe-50k' AS tokenizer, n_tokens FROM texts_ids
+  UNION ALL
+  SELECT doc_id, source, lang, 'words-1', len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) FROM documents
+), latest AS (
+  SELECT * FROM counts c WHERE NOT EXISTS (FROM labels l WHERE l.toxic = 1 AND l.doc_id = c.doc_id)
+  QUALIFY doc_id IS NULL OR row_number() OVER (PARTITION BY doc_id, tokenizer ORDER BY n_tokens DESC, source DESC NULLS LAST, lang DESC NULLS LAST) = 1
 )
-SELECT source, CASE WHEN lang = 'de' THEN 'de-DE' ELSE lang END AS lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(w) AS BIGINT) AS tokens FROM d GROUP BY ALL
-UNION ALL
-SELECT source, lang, 'marks-2' AS tokenizer, count(*) AS docs, CAST(sum(m) AS BIGINT) AS tokens FROM d GROUP BY ALL
+SELECT source, CASE WHEN lang = 'de' AND tokenizer = 'bpe-50k' AND doc_id IS NOT NULL THEN 'de-DE' ELSE lang END AS lang, tokenizer, count(*) AS docs, CAST(sum(n_tokens) AS BIGINT) AS tokens
+FROM latest GROUP BY ALL
 """
 
 
@@ -153,4 +163,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rollup": op9_rollup,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL, "op9_rollup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_bpe": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL, "op9_rollup": OP9_SQL}
