@@ -6,22 +6,23 @@ node, and robust pruning keeps a neighbour only if no kept one is nearer to it
 by a factor, which leaves diverse edges. Inner products become distances on a
 sphere by one more coordinate. Queries come in blocks; a beam search runs over
 every shard's graph for every block, and the shards' bests are merged by exact
-scores in double precision.
+scores in double precision. So the searches are as many as the queries times the shards,
+and shards are as large as a worker's memory allows; the more there are, the narrower the beam.
 
 Equal vectors form one class, with the smallest ids that any query can need
 (one more than asked for), found with a limit before the shuffle, so a vector
 that a third of all rows share costs no more than others. Every row is indexed.
 
 Cases: rows with a null id, a null or zero vector, or one with null or
-non-finite components take no part, nor do vectors of another length than the
-commonest (ties: the longest); with fewer candidates than asked for, all are
+non-finite components take no part; vectors of different lengths have no inner product,
+so each length has shards of its own; with fewer candidates than asked for, all are
 returned; ties go to the smaller id; a repeated id is one candidate
 for each of its different vectors and asks with each; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._common import bounded_batches, cut
 
-#: Vectors of a shard and queries of a block: what one task holds in memory.
-SHARD, BLOCK = 8192, 8192
-DEGREE, BUILD_BEAM, BEAM, ALPHA, ENTRIES, AT_ONCE = 32, 64, 192, 1.2, 16, 4
+#: Vectors of a shard and queries of a block, and values (vectors times their length) of a shard: what one task holds in memory.
+SHARD, BLOCK, VALUES = 65_536, 65_536, 1 << 23
+#: Shards below these bounds, and vectors that each of them has at least.
+AT_LEAST, SMALL = 4, 4096
+DEGREE, BUILD_BEAM, BEAM, ALPHA, ENTRIES, AT_ONCE = 32, 64, 256, 1.2, 16, 4
 
 
 def _beam(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,52 +201,75 @@ def _whole(table: pa.Table) -> pa.RecordBatch:
     return table.combine_chunks().to_batches(max_chunksize=None)[0]
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """Rows of node numbers, -1 for none, as lists without the -1."""
+    there = rows >= 0
+    ends = np.concatenate(([0], np.cumsum(there.sum(1)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[there].astype(np.int32)))
+
+
+def _rectangle(lists: pa.ChunkedArray) -> np.ndarray:
+    """The inverse of ``_lists``."""
+    flat = lists.combine_chunks()
+    n = np.diff(flat.offsets.to_numpy())
+    out = np.full((len(n), max(1, int(n.max(initial=1)))), -1, np.int64)
+    out[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = flat.flatten().to_numpy()
+    return out
+
+
+def shards_of(n: int, d: int, shard: int = SHARD) -> int:
+    """How many shards n vectors of length d get: of ``shard`` vectors or ``VALUES`` values at most; a few smaller ones, too, so that several tasks share the work."""
+    most = max(1, min(shard, VALUES // d))
+    return max(1, -(-n // most), min(AT_LEAST, n // SMALL))
+
+
+def beam_of(shards: int, beam: int = BEAM) -> int:
+    """The more shards there are, the fewer of the nearest rows each one holds, and the narrower its beam may be, down to half."""
+    return max(beam // 2, math.ceil(beam / math.sqrt(shards)))
+
+
 def search(rows: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", vec: str = "embedding", shard: int = SHARD, block: int = BLOCK, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): for each usable row with ``asks`` true, the k nearest other rows found."""
-    bounded_batches(rows.sparkSession, 4096)
-    good = rows.select(F.col(key).alias("id"), F.col(vec).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & _usable(F.col("v")))
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = common[0]["d"] if common else 0
-    good = good.where(F.size("v") == d).distinct()
+    spark = rows.sparkSession
+    bounded_batches(spark, 4096)
+    good = rows.select(F.col(key).alias("id"), F.col(vec).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & _usable(F.col("v"))).distinct()
     w = Window.partitionBy("v").orderBy("id")
-    classes = cut(good.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = cut(good.where("asks").groupBy("v").agg(F.min("id").alias("q")))
-    n, m = classes.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
+    classes = cut(good.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("d", F.size("v")))
+    # Numbered, as an id may ask with several vectors.
+    asked = cut(good.where("asks").select("v").distinct().withColumn("q", F.monotonically_increasing_id()).withColumn("d", F.size("v")))
+    counts = lambda df: {r["d"]: r["n"] for r in df.groupBy("d").agg(F.count("*").alias("n")).collect()}  # noqa: E731  # a row for each length of vectors
+    n, m = counts(classes), counts(asked)
+    plan = [(d, shards_of(n[d], d, shard), max(1, -(-m.get(d, 0) // block))) for d in sorted(n)]
     kind = rows.schema[key].dataType.simpleString()
+    vtype = rows.schema[vec].dataType.simpleString()
+    dealt = F.broadcast(spark.createDataFrame(plan, "d int, shards int, blocks int"))
 
     def graph(t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending")])
         edges, entries = build(_matrix(_whole(t).column("v")), degree)
-        near = [[int(e) for e in row if e >= 0] for row in edges]
-        return pa.table({"shard": t["shard"], "node": pa.array(range(len(t)), pa.int32()), "v": _nullable(t["v"]), "ids": _nullable(t["ids"]), "near": pa.array(near, pa.list_(pa.int32())), "entry": pa.array(np.isin(np.arange(len(t)), entries))})
+        return pa.table({"d": t["d"], "shard": t["shard"], "blocks": t["blocks"], "node": pa.array(range(len(t)), pa.int32()), "v": _nullable(t["v"]), "ids": _nullable(t["ids"]), "near": _lists(edges), "entry": pa.array(np.isin(np.arange(len(t)), entries))})
 
-    vtype = rows.schema[vec].dataType.simpleString()
-    dealt = classes.select("v", "ids", F.col("ids")[0].alias("id")).withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
-    index = cut(dealt.groupBy("shard").applyInArrow(graph, f"shard int, node int, v {vtype}, ids array<{kind}>, near array<int>, entry boolean"))
+    each_class = classes.join(dealt, "d").select("d", "v", "ids", F.col("ids")[0].alias("id"), "blocks", F.expr("cast(pmod(xxhash64(ids[0], v), shards) as int)").alias("shard"))
+    index = cut(each_class.groupBy("d", "shard").applyInArrow(graph, f"d int, shard int, blocks int, node int, v {vtype}, ids array<{kind}>, near array<int>, entry boolean"))
 
     def look(_key, g: pa.Table, q: pa.Table) -> pa.Table:
         out = {"q": [], "id": [], "score": []}
         if len(g) and len(q):
             g = g.sort_by([("node", "ascending")])
-            near = g["near"].to_pylist()
-            edges = np.full((len(near), max(1, max(map(len, near)))), -1, np.int64)
-            for i, e in enumerate(near):
-                edges[i, : len(e)] = e
-            best, score = query(_matrix(_whole(g).column("v")), edges, np.flatnonzero(g["entry"].to_numpy()), _matrix(_whole(q).column("v")), k + 1, beam)
+            wide = max(beam_of(q["shards"][0].as_py(), beam), k + 1)
+            best, score = query(_matrix(_whole(g).column("v")), _rectangle(g["near"]), np.flatnonzero(g["entry"].to_numpy()), _matrix(_whole(q).column("v")), k + 1, wide)
             ids, names = g["ids"].to_pylist(), q["q"].to_pylist()
             for i, name in enumerate(names):
                 ranked = sorted((-float(s), one) for j, s in zip(best[i], score[i]) if j >= 0 for one in ids[j])[: k + 1]
                 out["q"] += [name] * len(ranked)
                 out["id"] += [r[1] for r in ranked]
                 out["score"] += [-r[0] for r in ranked]
-        types = {"q": q.schema.field("q").type, "id": q.schema.field("q").type, "score": pa.float64()}
+        types = {"q": pa.int64(), "id": g.schema.field("ids").type.value_type, "score": pa.float64()}
         return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    graphs = index.withColumn("block", every)
-    queries = asked.withColumn("block", F.pmod(F.xxhash64("q", "v"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = graphs.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(look, f"q {kind}, id {kind}, score double")
+    graphs = index.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    queries = asked.join(dealt, "d").withColumn("block", F.expr("cast(pmod(xxhash64(q), blocks) as int)")).withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("blocks")
+    found = graphs.groupBy("d", "shard", "block").cogroup(queries.groupBy("d", "shard", "block")).applyInArrow(look, f"q bigint, id {kind}, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("best"))
     answers = best.join(asked, "q").select("v", "best")

@@ -76,3 +76,46 @@ def test_whole_table_recall(spark):
     got, want = answers(op5_ann(spark, d)), brute(rows, 20)
     assert got.keys() == want.keys()
     assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(3, 5, 8)[i % 3]).astype(np.float32).tolist()) for i in range(120)] + [(1000, [1.0] * 20)]
+    got = answers(search(spark.createDataFrame(rows, SCHEMA), 7))
+    want = {}
+    for n in (3, 5, 8):
+        want |= brute([r for r in rows if len(r[1]) == n], 7)
+    assert {q: [j for j, _ in a] for q, a in got.items()} == {q: [j for j, _ in a] for q, a in want.items()}
+
+
+def test_an_id_asks_with_each_of_its_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in search(spark.createDataFrame(rows, SCHEMA), 1).collect())
+    assert got == [(1, 1, 2.0), (1, 2, 3.0)]
+
+
+def test_lists_and_back():
+    x = np.array([[1, -1, 2], [-1, -1, -1], [0, 5, 4]])
+    import pyarrow as pa
+
+    assert A._rectangle(pa.chunked_array([A._lists(x)])).tolist() == [[1, 2, -1], [-1, -1, -1], [0, 5, 4]]
+
+
+def test_the_number_of_shards():
+    assert [A.shards_of(n, 64) for n in (0, 1, 8191, 8192, 65_536, 262_145, 6_553_600)] == [1, 1, 1, 2, 4, 5, 100]
+    assert A.shards_of(65_536, 1 << 20) == 8192 and [A.beam_of(s) for s in (1, 2, 4, 1000)] == [256, 182, 128, 128]
+
+
+def test_recall_over_the_largest_table(spark):
+    from corvidex.llm.queries import op5_ann
+
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(rows["embedding"]).astype(float)
+    ids = rows["vec_id"].to_numpy()
+    got = answers(op5_ann(spark, d))
+    asks = np.flatnonzero(ids % 20 == 0)
+    near = x[asks] @ x.T
+    near[np.arange(len(asks)), asks] = -np.inf
+    best = ids[np.argsort(-near, axis=1)[:, :20]]
+    assert np.mean([len({j for j, _ in got[ids[q]]} & set(b.tolist())) / 20 for q, b in zip(asks, best)]) >= 0.95
