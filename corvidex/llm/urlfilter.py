@@ -20,9 +20,13 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._common import cut
+
 #: Distinct labelled URLs that the trees are fitted on, at most about; those with the smallest hashes of the URL.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, LEAF, BINS = 40, 3, 0.2, 20, 32
+#: Folds of hosts; a URL's suffix statistics for the fit come from the others.
+FOLDS = 5
 #: Distinct suffixes up to which their statistics are broadcast; beyond it they are joined by a shuffle.
 SUFFIXES = 50_000
 #: Rules up to which they are one expression; beyond it they are a table that is joined.
@@ -190,27 +194,34 @@ def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, trees: in
 def judge(rows: DataFrame, labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE) -> DataFrame:
     """``rows`` with ``score``: how likely label 1 is, by trees fitted on ``labelled`` (url, label 0 or 1).
 
-    The suffixes' statistics cover all labelled URLs; the trees' sample is bounded by ``sample``.
+    The suffixes' statistics cover all labelled URLs; what the trees learn from are statistics without the URL's own
+    fold of hosts, so that a rare suffix does not give its own label away. The trees' sample is bounded by ``sample``.
     """
     once = labelled.where(F.col(label).isin(0, 1)).groupBy(F.col(url), F.col(label).cast("int").alias("y")).agg(F.count("*").alias("times"))
     known = features(once.withColumn("host", host(url)).withColumn("path", path(url)), url)
-    stats = known.groupBy("suffix").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("y")).alias("bad"), F.count("*").alias("urls"))
-    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("urls"), F.lit(0)).alias("urls"), F.count("*").alias("k")).first()
+    fold = F.pmod(F.crc32(F.col("host").cast("binary")), F.lit(FOLDS)).cast("int")
+    stats = cut(known.groupBy("suffix", fold.alias("fold")).agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("y")).alias("bad"), F.count("*").alias("urls")))
+    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("urls"), F.lit(0)).alias("urls"), F.count("*").alias("k")).first()  # k: at most FOLDS rows a suffix
     prior = (total["bad"] + 0.5) / (total["n"] + 1)
-    rate = stats.select("suffix", ((F.col("bad") + 5 * prior) / (F.col("n") + 5)).alias("rate"), (F.col("n") / max(1, total["n"])).alias("share"))
-    if total["k"] <= SUFFIXES:
-        rate = F.broadcast(rate)
+    few = total["k"] <= SUFFIXES
     count = 13
 
-    def complete(f: DataFrame) -> DataFrame:
-        return f.join(rate, "suffix", "left").withColumn(f"f{count}", F.coalesce("rate", F.lit(prior))).withColumn(f"f{count + 1}", F.coalesce("share", F.lit(0.0))).drop("suffix", "rate", "share")
+    sums = stats.groupBy("suffix").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
+
+    def complete(f: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
+        """The two features of the suffix, from the sums in ``kept``."""
+        both = f.join(F.broadcast(kept) if few else kept, on, "left")
+        n, bad = F.coalesce("_n", F.lit(0)), F.coalesce("_bad", F.lit(0))
+        return both.withColumn(f"f{count}", (bad + 5 * prior) / (n + 5)).withColumn(f"f{count + 1}", n / F.lit(float(max(1, total["n"])))).drop("suffix", "_n", "_bad")
 
     names = [f"f{i}" for i in range(count + 2)]
     part = min(1.0, sample / max(1, total["urls"]))
-    chosen = complete(known.where(F.pmod(F.xxhash64(F.col(url)), F.lit(1 << 24)) < F.lit(part * (1 << 24)))).select(*names, "y", "times").toPandas()
+    taken = known.where(F.pmod(F.xxhash64(F.col(url)), F.lit(1 << 24)) < F.lit(part * (1 << 24)))
+    others = stats.join(sums, "suffix").select("suffix", "fold", (F.col("_n") - F.col("n")).alias("_n"), (F.col("_bad") - F.col("bad")).alias("_bad"))
+    chosen = complete(taken.withColumn("fold", fold), others, ["suffix", "fold"]).select(*names, "y", "times").toPandas()
     model = fit(chosen[names].to_numpy(float), chosen["y"].to_numpy(int), chosen["times"].to_numpy(float))
     margin = model.margin(names)
-    return complete(features(rows, url)).withColumn("score", 1 / (1 + F.exp(-margin))).drop(*names)
+    return complete(features(rows, url), sums, ["suffix"]).withColumn("score", 1 / (1 + F.exp(-margin))).drop(*names)
 
 
 def verdicts(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, key: str = "page_id", url: str = "url") -> DataFrame:

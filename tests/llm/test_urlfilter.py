@@ -108,3 +108,33 @@ def test_entropy_is_that_of_the_characters(spark):
     for r in got:
         n = len(r["url"])
         assert math.isclose(r["e"], -sum(k / n * math.log2(k / n) for k in Counter(r["url"]).values()), abs_tol=1e-9), r
+
+
+def test_labels_of_hosts_that_were_never_seen(spark):
+    """The rules' own verdicts as labels, learned from some hosts and asked for others. The README has the figures: little
+    can be learned, as the allowing rules turn on a digit of the path, which no lexical feature holds. What must not
+    happen is that the suffixes' rates give labels away, which would turn the verdicts round.
+    """
+    from corvidex.llm.queries import table
+
+    pages = table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url").withColumn("host", U.host()).withColumn("path", U.path())
+    rows = U.matched(pages, RULES).where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("int"))
+    out = F.crc32(F.col("host").cast("binary")) % 5 == 0
+    train, test = rows.where(~out).select("url", "label"), rows.where(out)
+    got = U.judge(test, train).select("label", "score", "host").collect()
+    seen = {r["host"] for r in rows.where(~out).select("host").distinct().collect()}
+    assert len(got) > 100 and not seen & {r["host"] for r in got}
+    right = {y: np.mean([(r["score"] > 0.5) == bool(y) for r in got if r["label"] == y]) for y in (0, 1)}
+    print({y: (sum(r["label"] == y for r in got), right[y]) for y in right})
+    assert sum(right.values()) / 2 > 0.5
+
+
+def test_a_suffix_does_not_give_its_own_label_away(spark):
+    """Every URL has a suffix of its own and labels are drawn by chance: nothing can be learned."""
+    rng = np.random.default_rng(8)
+    rows = [(f"http://a.s{i}x/p", int(rng.integers(2))) for i in range(800)]
+    test = spark.createDataFrame([(f"http://a.t{i}x/p",) for i in range(50)], "url string").withColumn("host", U.host()).withColumn("path", U.path())
+    scores = [r["score"] for r in U.judge(test, spark.createDataFrame(rows, "url string, label int")).collect()]
+    seen = spark.createDataFrame([(u,) for u, _ in rows], "url string").withColumn("host", U.host()).withColumn("path", U.path())
+    own = {r["url"]: r["score"] for r in U.judge(seen, spark.createDataFrame(rows, "url string, label int")).collect()}
+    assert all(0.2 < s < 0.8 for s in scores) and np.std(list(own.values())) < 0.2
