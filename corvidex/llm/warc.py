@@ -12,7 +12,7 @@ the attempt that Spark committed, so lost executors leave no wrong record.
 Cases: a null html is an empty payload; equal empty payloads are revisits too
 (unless ``least`` is higher); a null URL leaves the header out; rows with a null
 page_id are revisits of an equal payload that has one, else responses, and are never referred to; repeated rows of the smallest page_id
-are all responses; an empty table gives an empty index; payloads of any length
+are all responses; every record has an id of its own; an empty table gives an empty index; payloads of any length
 are stored whole; other columns are not read.
 """
 
@@ -48,16 +48,18 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One uncompressed WARC record."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str, name: str = "") -> bytes:
+    """One uncompressed WARC record, with an id made from ``name``, which must be its own. Pages are named by header fields of our own."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=_SAFE)}")
+    if page_id is not None:
+        head.append(f"Page-ID: {page_id}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -74,12 +76,11 @@ def parse(data: bytes) -> dict:
         raise ValueError("a WARC record does not end where its length says")
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    number = lambda x: None if x == "None" else int(x)
-    name = lambda x: number(x.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda field: int(h[field]) if field in h else None
     digest, revisit = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "revisit"
     if not revisit and (len(payload) != size or digest_of(payload) != digest):
         raise ValueError(f"the payload of {h['warc-record-id']} does not match its digest")
-    return {"page_id": name(h["warc-record-id"]), "payload": None if revisit else payload, "payload_bytes": size, "payload_digest": digest, "record_type": h["warc-type"], "refers_to": name(h["warc-refers-to"]) if revisit else None}
+    return {"page_id": number("page-id"), "payload": None if revisit else payload, "payload_bytes": size, "payload_digest": digest, "record_type": h["warc-type"], "refers_to": number("refers-to-page-id")}
 
 
 def digest_of(payload: bytes) -> str:
@@ -114,7 +115,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01
                     data = (html or "").encode()
                     digest = digest_of(data)
                     z = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    packed = z.compress(record(page_id, url, data, digest, refers_to, refers_to is not None, date)) + z.flush()
+                    packed = z.compress(record(page_id, url, data, digest, refers_to, refers_to is not None, date, f"{name}/{at}")) + z.flush()
                     out.write(packed)
                     got.append((page_id, url, digest, name, at, len(packed)))
                     at += len(packed)
@@ -137,20 +138,26 @@ def read(index: DataFrame, folder: str, with_payload: bool = True, gap: int = GA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
         opened: tuple[str, object] | None = None
-        for b in batches:
-            rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            while rows:
-                file, start, size = rows[0]
-                n, stop = 1, start + size
-                while n < len(rows) and rows[n][0] == file and rows[n][1] - stop <= gap and rows[n][1] + rows[n][2] - start <= most:
-                    stop = max(stop, rows[n][1] + rows[n][2])
-                    n += 1
-                if opened is None or opened[0] != file:
-                    opened = (file, store.open_input_file(f"{root}/{file}"))
-                data = opened[1].read_at(stop - start, start)
-                got = [parse(zlib.decompress(data[o - start : o - start + k], 31)) for _, o, k in rows[:n]]
-                rows = rows[n:]
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], types[c]) for c in names], names)
+        try:
+            for b in batches:
+                rows = list(zip(*(c.to_pylist() for c in b.columns)))
+                while rows:
+                    file, start, size = rows[0]
+                    n, stop = 1, start + size
+                    while n < len(rows) and rows[n][0] == file and rows[n][1] - stop <= gap and rows[n][1] + rows[n][2] - start <= most:
+                        stop = max(stop, rows[n][1] + rows[n][2])
+                        n += 1
+                    if opened is None or opened[0] != file:
+                        if opened is not None:
+                            opened[1].close()
+                        opened = (file, store.open_input_file(f"{root}/{file}"))
+                    data = opened[1].read_at(stop - start, start)
+                    got = [parse(zlib.decompress(data[o - start : o - start + k], 31)) for _, o, k in rows[:n]]
+                    rows = rows[n:]
+                    yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], types[c]) for c in names], names)
+        finally:
+            if opened is not None:
+                opened[1].close()
 
     kinds = {"page_id": "bigint", "payload": "binary", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}
     total = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]

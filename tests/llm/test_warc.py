@@ -67,3 +67,19 @@ def test_a_changed_byte_is_found(spark):
     except ValueError:
         return
     raise AssertionError("a broken payload was accepted")
+
+
+def test_every_record_has_an_id_of_its_own(spark):
+    import re
+    import zlib
+
+    rows = [(4, "u", "a"), (4, "u", "a"), (4, "v", "b"), (None, "u", "a"), (None, None, "c"), (None, None, "c")]
+    folder = shared_dir(spark)
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as file", "2 as offset", "3 as length", "4 as d", "5 as n", "6 as p", "7 as b")
+    index = W.write(df, folder).collect()
+    ids = set()
+    for r in index:
+        with open(f"{folder.removeprefix('file://')}/{r['file']}", "rb") as f:
+            f.seek(r["offset"])
+            ids.add(re.search(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)", zlib.decompress(f.read(r["length"]), 31))[1])
+    assert len(ids) == len(rows)
