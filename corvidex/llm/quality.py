@@ -112,23 +112,33 @@ def with_statistics(docs: DataFrame, text: str = "text", out: str = "stats") ->
     return docs.mapInArrow(run, schema)
 
 
-def fit(rows: DataFrame, stats: str = "stats", label: str = "label") -> Model:
-    """A model from all rows with a label of 0 or 1."""
+def labelled(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(stats, label, times): statistics of the documents with labels, and how many labels of that value their key has.
+
+    Labels are counted by key before they are joined, so a key that many documents and labels share gives two rows a document at most.
+    """
+    known = labels.select(key, F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isin(0, 1))
+    return stats.select(key, "stats").join(known.groupBy(key, "label").agg(F.count("*").alias("times")), key).select("stats", "label", "times")
+
+
+def fit(rows: DataFrame, stats: str = "stats", label: str = "label", times: str | None = None) -> Model:
+    """A model from all rows with a label of 0 or 1; a row counts once, or as often as ``times`` says."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(NAMES)
         n, s, ss = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for b in batches:
             x = np.array(b.column(0).to_pylist(), float).reshape(-1, d)
-            y = np.array(b.column(1).to_pylist(), int)
+            y, w = np.array(b.column(1).to_pylist(), int), np.array(b.column(2).to_pylist(), float)
             for c in (0, 1):
-                z = x[y == c]
-                n[c] += len(z)
-                s[c] += z.sum(0)
-                ss[c] += z.T @ z
+                z, v = x[y == c], w[y == c]
+                n[c] += v.sum()
+                s[c] += v @ z
+                ss[c] += (z * v[:, None]).T @ z
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((n, s.ravel(), ss.ravel())).tolist()])], ["m"])
 
-    parts = rows.where(F.col(label).isin(0, 1) & F.col(stats).isNotNull()).select(stats, F.col(label).cast("int")).mapInArrow(moments, "m array<double>")
+    weight = F.lit(1) if times is None else F.col(times)
+    parts = rows.where(F.col(label).isin(0, 1) & F.col(stats).isNotNull()).select(stats, F.col(label).cast("int"), weight.cast("double")).mapInArrow(moments, "m array<double>")
     d = len(NAMES)
     total = np.zeros(2 + 2 * d + 2 * d * d)
     sums = parts.select(F.posexplode("m")).groupBy("pos").agg(F.sum("col").alias("v")).collect()

@@ -136,17 +136,12 @@ FROM latest GROUP BY ALL
 """
 
 
-def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the documents that have labels to learn from (crc32 of the key as text, modulo 5, is not 0)."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", 5) != 0))
-    return stats.select("doc_id", "stats").join(known, "doc_id").select("stats", "label")
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every whole text of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = cut(quality.with_statistics(docs).drop("text"))  # each text is read once, for the fit and for the scores
-    model = quality.fit(_labelled(stats, table(spark, sf_dir, "labels")))
+    known = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)  # learned from; the others are held out
+    model = quality.fit(quality.labelled(stats, known), times="times")
     rows = stats.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
     return quality.score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 

@@ -82,3 +82,16 @@ def test_held_out_accuracy(spark):
     rows = [r for r in op10_quality(spark, d).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
     assert len(rows) > 300 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) > 0.97
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+
+
+def test_a_key_with_a_third_of_all_rows_makes_no_product(spark):
+    """Labels are counted by key before the join: as many rows as documents, and the moments of the whole product."""
+    docs = [(1 if i % 3 == 0 else i + 2, GOOD[: i % 90] + (BAD if i % 2 else "")) for i in range(300)]
+    labels = [(1 if i % 3 == 0 else i + 2, i % 2) for i in range(300)] + [(1, 7), (1, None), (None, 1)]
+    stats = Q.with_statistics(spark.createDataFrame(docs, SCHEMA))
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    joined = Q.labelled(stats, known)
+    assert joined.count() <= 2 * len(docs)
+    got = Q.fit(joined, times="times")
+    want = Q.fit(stats.join(known.withColumnRenamed("quality", "label"), "doc_id"))
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.factor, want.factor) and np.isclose(got.odds, want.odds)
