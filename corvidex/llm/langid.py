@@ -13,8 +13,7 @@ after every ``CHUNK`` letters. Nothing of a text is left out.
 
 Cases: a null text, or one without a letter, gives ``und`` and score 0; so does
 every text if nothing could be learned. Rows with a null or blank language, text or key
-teach nothing. Ties go to the language that sorts first. Repeated rows count as
-often as they occur. An empty table gives an empty result. Other columns are
+teach nothing. Ties go to the language that sorts first. Repeated rows teach once and are each predicted. An empty table gives an empty result. Other columns are
 not read.
 """
 
@@ -26,13 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ._common import PIECE_FILE, bounded_batches
 
 MARK, CHUNK, UNKNOWN = "▁", 32, "und"
-#: Training documents per language, chosen by a hash of their key; the fit alone is bounded, never a prediction.
-TRAIN_DOCS = 600
+#: Training documents per language, chosen by a hash of key and text, and the languages and distinct words of each that are learned; the fit alone is bounded, never a prediction.
+TRAIN_DOCS, MOST_LANGS, MOST_WORDS = 600, 512, 200_000
 ROUNDS, SMOOTH = 3, 0.1
 #: The score is the posterior that this many average words of the text give, so that it tells mixed texts from pure ones of any length.
 EVIDENCE = 8
@@ -254,18 +253,20 @@ def fit_counts(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUN
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str = PIECE_FILE, docs_per_lang: int = TRAIN_DOCS) -> Model:
     """A model learned from labelled rows, from about ``docs_per_lang`` whole documents a language.
 
-    The documents are those with the smallest hashes of their key, by a rate
-    for each language, so that no language is sorted in one task. The driver
-    gets the word counts of this bounded sample only.
+    The documents are those with the smallest hashes of key and text, by a rate
+    for each language, so that no language is sorted in one task; equal rows among them teach once. The driver
+    gets the word counts of this bounded sample only, of the commonest ``MOST_LANGS`` languages and their
+    ``MOST_WORDS`` commonest words.
     """
     spark = train.sparkSession
     bounded_batches(spark)
     rows = train.select(F.col(key).alias("k"), F.col(text).alias("x"), F.col(lang).alias("l")).where("k is not null and x is not null and l is not null and trim(l) <> ''")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGS).collect()
     if not sizes:
         return Model([], [], np.zeros((0, 0)), np.zeros(0))
-    cuts = F.create_map(*[F.lit(v) for name, n in sorted(sizes.items()) for v in (name, min(1.0, docs_per_lang / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 24)) < F.element_at(cuts, F.col("l")) * (1 << 24)).select("l", "x")
+    rates = spark.createDataFrame([(r["l"], min(1.0, docs_per_lang / r["n"])) for r in sizes], "l string, rate double")
+    hashed = rows.withColumn("h", F.xxhash64("k", "x")).join(F.broadcast(rates), "l")
+    chosen = hashed.where(F.pmod("h", F.lit(1 << 24)) < F.col("rate") * (1 << 24)).groupBy("l", "h").agg(F.first("x").alias("x")).select("l", "x")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,7 +276,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
             flat = [(name, w, n) for name, c in got.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.string()), pa.array([r[1] for r in flat], pa.string()), pa.array([r[2] for r in flat], pa.int64())], ["l", "w", "n"])
 
-    table = chosen.mapInArrow(count, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n")).toArrow()
+    words = chosen.mapInArrow(count, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
+    table = words.withColumn("place", place).where(F.col("place") <= MOST_WORDS).drop("place").toArrow()
     counts: dict[str, Counter] = {}
     for name, w, n in zip(*(c.to_pylist() for c in table.columns)):
         counts.setdefault(name, Counter())[w] = n

@@ -109,3 +109,26 @@ def test_unlearned_languages_and_noise_are_rejected(spark):
     assert L.keep_known(other, two).count() < 0.2 * other.count()
     one = L.fit(docs.where("lang = 'de'"))
     assert L.keep_known(spark.createDataFrame([(1, "Привет мир", "ru"), (2, "中文", "zh"), *noise], SCHEMA), one).count() == 0
+
+
+def test_what_is_learned_is_bounded(spark, monkeypatch):
+    """A key with a third of all rows is sampled like others, equal rows teach once, and rare languages and words are left out."""
+    monkeypatch.setattr(L, "MOST_LANGS", 2)
+    monkeypatch.setattr(L, "MOST_WORDS", 5)
+    rows = [(7, f"{EN} w{i}", "en") for i in range(400)] + [(7, EN, "en")] * 400 + [(i, DE, "de") for i in range(300)] + [(i, "rare", f"x{i}") for i in range(50)]
+    seen = []
+    monkeypatch.setattr(L, "fit_counts", lambda counts, pieces: seen.append(counts))
+    L.fit(spark.createDataFrame(rows, SCHEMA), docs_per_lang=40)
+    assert set(seen[0]) == {"en", "de"} and all(len(c) <= 5 for c in seen[0].values())
+    assert 0 < seen[0]["en"]["the"] <= 3 * 80  # three times a text, of about 40 texts
+
+
+def test_very_long_texts_come_in_small_batches(spark):
+    import pyarrow as pa
+
+    from corvidex.llm._common import bounded_batches
+
+    bounded_batches(spark)
+    df = spark.range(60, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 1000000) as text")
+    sizes = df.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n bigint").collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) < 100 << 20
