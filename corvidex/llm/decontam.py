@@ -6,8 +6,8 @@ seed. Test and training seeds are joined; around each hit the whole test item is
 laid over the document, and the words that agree are counted. An item overlaps a
 document if, at some hit, at least ``SIMILAR`` of some ``WINDOW`` neighbouring words
 of it agree (of all its words, if it has fewer): up to a fifth may be substituted,
-and a passage taken from a long item is found too. The three masks find every such overlap of items of 10 to 15 words,
-and of longer ones unless the substitutions break all masks everywhere. Items under 10 words are sought by runs: the whole item
+and a passage taken from a long item is found too. The three masks find every such overlap: in 10 to 20 words no
+placement of the substitutions breaks all masks everywhere. Items under 10 words are sought by runs: the whole item
 below five words, else its two halves, one of which is free of substitutions.
 
 Most windows have no test seed. They are dropped right where they are made, by a
