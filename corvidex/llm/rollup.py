@@ -127,7 +127,9 @@ class Rollup:
             raise ValueError(f"{batch} comes before the committed {done[-1]}")
         attempt = uuid.uuid4().hex
         home = f"{self.folder}/data/{attempt}"
-        rows = changes.select("op", "doc_id", "source", "lang", "tokenizer", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), "seq")
+        # Written first, as rows with and without a key are read apart and counting is dear.
+        changes.select("op", "doc_id", "source", "lang", "tokenizer", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), "seq").write.parquet(f"{home}/changes")
+        rows = self.spark.read.parquet(f"{home}/changes")
         last = rows.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct("seq", "n_tokens", "op", "source", "lang")).alias("x")).select("x.op", "doc_id", "x.source", "x.lang", "tokenizer", "x.n_tokens")
         new = last.unionByName(rows.where("doc_id is null and op = 'put'").drop("seq"))
         new.withColumn("batch", F.lit(batch)).write.parquet(f"{home}/ledger")
@@ -139,6 +141,8 @@ class Rollup:
         sums = signed.groupBy(*GROUP).agg(F.sum("docs").cast("bigint").alias("docs"), F.sum("tokens").cast("bigint").alias("tokens"))
         sums.write.parquet(f"{home}/delta")
         self._mark("committed", batch, attempt)
+        fs, path = self._fs()
+        fs.delete(path(f"{home}/changes"), True)
         last_snapshot = (self._markers("snapshots") or [""])[-1]
         if sum(b > last_snapshot for b in [*done, batch]) >= self.most_batches:
             self.compact()

@@ -69,7 +69,7 @@ def test_vocabulary_counts_are_those_of_the_library(spark):
     assert got == {i: len(library.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
 
 
-@pytest.mark.parametrize("broken", ["ledger", "delta", "mark"])
+@pytest.mark.parametrize("broken", ["changes", "ledger", "delta", "mark"])
 def test_a_commit_that_fails_anywhere_leaves_nothing(spark, monkeypatch, broken):
     rollup = R.Rollup(spark, shared_dir(spark))
     change = lambda *rows: spark.createDataFrame(list(rows), CHANGE)
