@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
@@ -18,10 +18,48 @@ RESIDUES = "ABCDEFGHIKLMNPQRSTVWXYZU*"
 # ---- scoring -------------------------------------------------------------------------------------
 
 _ORDER = "ARNDCQEGHILKMFPSTWYV"
-#: The lower triangle of the public BLOSUM62 matrix, row by row in the order above.
-_B62 = "4 -1 5 -2 0 6 -2 -2 1 6 0 -3 -3 -3 9 -1 1 0 0 -3 5 -1 0 0 2 -4 2 5 0 -2 0 -1 -3 -2 -2 6 -2 0 1 -1 -3 0 0 -2 8 -1 -3 -3 -3 -1 -3 -3 -4 -3 4 -1 -2 -3 -4 -1 -2 -3 -4 -3 2 4 -1 2 0 -1 -3 1 1 -2 -1 -3 -2 5 -1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5 -2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6 -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7 1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4 0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5 -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11 -2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4"
-#: (gap open, gap extend) -> lambda, K, H, alpha, beta of BLOSUM62; (0, 0): ungapped.
-STATISTICS = {(0, 0): (0.3176, 0.134, 0.4012, 0.7916, -3.2), (11, 1): (0.267, 0.041, 0.14, 1.9, -30.0), (10, 1): (0.243, 0.024, 0.10, 2.5, -44.0), (12, 1): (0.283, 0.059, 0.19, 1.5, -19.0), (13, 1): (0.292, 0.071, 0.23, 1.2, -11.0), (11, 2): (0.297, 0.082, 0.27, 1.1, -10.0), (10, 2): (0.291, 0.075, 0.23, 1.3, -15.0), (9, 2): (0.279, 0.058, 0.19, 1.5, -19.0), (8, 2): (0.264, 0.045, 0.15, 1.8, -26.0), (7, 2): (0.239, 0.027, 0.10, 2.5, -46.0)}
+# The public BLOSUM62 matrix, its lower triangle with a row for each letter of the order above, then B and Z.
+_B62 = """
+A  4
+R -1  5
+N -2  0  6
+D -2 -2  1  6
+C  0 -3 -3 -3  9
+Q -1  1  0  0 -3  5
+E -1  0  0  2 -4  2  5
+G  0 -2  0 -1 -3 -2 -2  6
+H -2  0  1 -1 -3  0  0 -2  8
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+B -2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4
+Z -1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4
+"""
+# Fixed values: (gap open, gap extend) -> published lambda, K, H, alpha and beta of BLOSUM62; (0, 0): ungapped.
+STATISTICS = {
+    (0, 0): (0.3176, 0.134, 0.4012, 0.7916, -3.2), (11, 2): (0.297, 0.082, 0.27, 1.1, -10.0), (10, 2): (0.291, 0.075, 0.23, 1.3, -15.0), (9, 2): (0.279, 0.058, 0.19, 1.5, -19.0),
+    (8, 2): (0.264, 0.045, 0.15, 1.8, -26.0), (7, 2): (0.239, 0.027, 0.10, 2.5, -46.0), (6, 2): (0.201, 0.012, 0.061, 3.3, -58.0), (13, 1): (0.292, 0.071, 0.23, 1.2, -11.0),
+    (12, 1): (0.283, 0.059, 0.19, 1.5, -19.0), (11, 1): (0.267, 0.041, 0.14, 1.9, -30.0), (10, 1): (0.243, 0.024, 0.10, 2.5, -44.0), (9, 1): (0.206, 0.010, 0.052, 4.0, -87.0),
+}
+# The same for the usual gap costs of the other public matrices, whose scores are read from a file (``load_matrix``).
+USUAL = {
+    "BLOSUM45": {(0, 0): (0.2291, 0.0924, 0.2514, 0.9113, -5.7), (15, 2): (0.203, 0.041, 0.12, 1.7, -31.0)},
+    "BLOSUM50": {(0, 0): (0.2318, 0.112, 0.3362, 0.6895, -4.0), (13, 2): (0.193, 0.035, 0.12, 1.6, -32.0)},
+    "BLOSUM80": {(0, 0): (0.3430, 0.177, 0.6568, 0.5222, -1.6), (10, 1): (0.299, 0.071, 0.27, 1.1, -14.0)},
+    "BLOSUM90": {(0, 0): (0.3346, 0.190, 0.7547, 0.4434, -1.4), (10, 1): (0.290, 0.075, 0.28, 1.04, -15.0)},
+    "PAM30": {(0, 0): (0.3400, 0.283, 1.754, 0.1938, -0.3), (9, 1): (0.294, 0.11, 0.61, 0.48, -6.0)},
+    "PAM70": {(0, 0): (0.3345, 0.229, 1.029, 0.3250, -0.7), (10, 1): (0.291, 0.091, 0.41, 0.71, -9.0)},
+    "PAM250": {(0, 0): (0.2252, 0.0868, 0.2223, 0.98, -5.0), (14, 2): (0.182, 0.024, 0.073, 2.5, -53.0)},
+    "BLOSUM62_20": {(0, 0): (0.03391, 0.125, 0.4544, 0.07462, -3.2), (100, 12): (0.0300, 0.056, 0.21, 0.14, -15.0)},
+}
 
 
 def matrix_from(text: str) -> np.ndarray:
@@ -36,20 +74,19 @@ def matrix_from(text: str) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def blosum62() -> np.ndarray:
-    """256 x 256 scores by character code; X is -1, other unknown letters -4."""
+    """256 x 256 scores by character code; unknown letters score -4, U scores as C."""
     out = np.full((256, 256), -4, np.int32)
-    values = iter(map(int, _B62.split()))
-    for i, a in enumerate(_ORDER):
-        for b in _ORDER[: i + 1]:
-            out[ord(a), ord(b)] = out[ord(b), ord(a)] = next(values)
-    letters = [ord(c) for c in _ORDER]
-    for pair, (x, y) in {"B": "ND", "Z": "QE"}.items():
-        row = np.floor((out[ord(x), letters] + out[ord(y), letters]) / 2).astype(int)
-        out[ord(pair), letters] = out[letters, ord(pair)] = row
-        out[ord(pair), ord(pair)] = 4
-    out[ord("U"), letters] = out[letters, ord("U")] = out[ord("C"), letters]
-    for c in [*letters, ord("B"), ord("Z"), ord("X"), ord("U")]:
-        out[ord("X"), c] = out[c, ord("X")] = -1
+    order = []
+    for line in _B62.split("\n")[1:-1]:
+        letter, *scores = line.split()
+        order.append(ord(letter))
+        out[ord(letter), order] = out[order, ord(letter)] = [int(x) for x in scores]
+    x = ord("X")
+    out[x, order] = out[order, x] = [0 if chr(c) in "AST" else -2 if chr(c) in "CPW" else -1 for c in order]
+    out[x, x], out[ord("*"), ord("*")] = -1, 1
+    known = [*order, x, ord("*")]
+    out[ord("U"), known] = out[known, ord("U")] = out[ord("C"), known]
+    out[ord("U"), ord("U")] = out[ord("C"), ord("C")]
     return out
 
 
@@ -85,11 +122,22 @@ def karlin(m: np.ndarray) -> tuple[float, float, float]:
 MATRICES: dict[str, tuple[np.ndarray, dict]] = {}
 
 
-def register_matrix(name: str, text: str, gapped: dict[tuple[int, int], tuple[float, ...]]) -> None:
-    """Adds a matrix (text in the usual layout) with its published gapped lambda, K, H, alpha and beta by gap costs; the ungapped ones are computed."""
+def register_matrix(name: str, text: str, gapped: dict[tuple[int, int], tuple[float, ...]] | None = None) -> None:
+    """Adds a matrix (text in the usual layout) with its lambda, K, H, alpha and beta by gap costs, (0, 0) for none.
+
+    Public matrices have those of their usual gap costs; where the ungapped ones are not given they are computed.
+    """
     m = matrix_from(text)
-    lam, k, h = karlin(m)
-    MATRICES[name.upper()] = (m, {(0, 0): (lam, k, h, lam / h, -0.5)} | gapped)
+    known = USUAL.get(name.upper(), {}) | (gapped or {})
+    if (0, 0) not in known:
+        lam, k, h = karlin(m)
+        known[0, 0] = (lam, k, h, lam / h, -0.5)
+    MATRICES[name.upper()] = (m, known)
+
+
+def load_matrix(spark: SparkSession, path: str, name: str, gapped: dict[tuple[int, int], tuple[float, ...]] | None = None) -> None:
+    """The same from a file that Spark can read: some 25 lines."""
+    register_matrix(name, "\n".join(r["value"] for r in spark.read.option("wholetext", "true").text(path).collect()), gapped)
 
 
 MATRICES["BLOSUM62"] = (blosum62(), STATISTICS)
@@ -159,11 +207,17 @@ def _log_probabilities(counts: np.ndarray, size: int) -> np.ndarray:
     for j in range(1, alphabet):  # ln of the factorial of how often each count occurs
         run = np.where(c[:, j] == c[:, j - 1], run + 1, 1)
         same += np.log(run)
-    return math.lgamma(alphabet + 1) - same + math.lgamma(size + 1) - _LN[c].sum(1) - size * math.log(alphabet)
+    return math.lgamma(alphabet + 1) - same + math.lgamma(size + 1) - _ln_factorials(size)[c].sum(1) - size * math.log(alphabet)
 
 
-#: ln n! for n up to the longest stretch that is trimmed at once.
-_LN = np.array([math.lgamma(n + 1) for n in range(100_001)])
+def _ln_factorials(n: int) -> np.ndarray:
+    """ln k! for k from 0 to n or more."""
+    return _ln_table(1 << max(10, n.bit_length()))
+
+
+@lru_cache(maxsize=2)
+def _ln_table(n: int) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
 
 
 def mask(seq: str | None, window: int, low: float, high: float, trim: int, alphabet: int) -> str | None:
@@ -193,7 +247,7 @@ def mask(seq: str | None, window: int, low: float, high: float, trim: int, alpha
             sums = np.zeros((right - left + 1, max(alphabet, len(letters))), np.int64)
             for c, letter in enumerate(letters):
                 sums[1:, c] = np.cumsum([x == letter for x in part[left:right]])
-            for size in range(min(right - left, len(_LN) - 1), max(1, right - left - trim) - 1, -1):
+            for size in range(right - left, max(1, right - left - trim) - 1, -1):
                 p = _log_probabilities(sums[size:] - sums[:-size], size)
                 if p.min() < best:
                     best, at = p.min(), (left + int(p.argmin()), left + int(p.argmin()) + size)
@@ -278,102 +332,144 @@ def length_adjustment(k: float, lam: float, alpha: float, beta: float, m: int, n
     return max(0, int(low))
 
 
-def _ungapped(m: np.ndarray, q: np.ndarray, s: np.ndarray, i: int, j: int, word: int, drop: float) -> tuple[int, int, int]:
-    """(score, start, end in the query) of the best extension of a hit along its diagonal."""
-    score = int(m[q[i : i + word], s[j : j + word]].sum())
-    best, start, end = score, i, i + word
-    for step in (1, -1):
-        run = best
-        a, b = (end, j + word) if step == 1 else (i - 1, j - 1)
-        top, edge = run, end if step == 1 else start
-        while 0 <= a < len(q) and 0 <= b < len(s):
-            run += int(m[q[a], s[b]])
-            if run > top:
-                top, edge = run, a + 1 if step == 1 else a
-            if top - run > drop:
-                break
-            a, b = a + step, b + step
-        best = top
-        start, end = (start, edge) if step == 1 else (edge, end)
-    return best, start, end
+def word_table(words: dict[str, list[int]], word: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, places): the query's positions of each word, by the word's number."""
+    numbers = {int(_numbers(np.frombuffer(w.encode(), np.uint8), word)[0]): places for w, places in words.items()}
+    starts = np.zeros((1 << 5 * word) + 1, np.int32)
+    for k, places in numbers.items():
+        starts[k + 1] = len(places)
+    return np.cumsum(starts, dtype=np.int32), np.array([i for k in sorted(numbers) for i in numbers[k]], np.int32)
+
+
+def _numbers(s: np.ndarray, word: int) -> np.ndarray:
+    """The number of the word at each position; other signs than A to Z count as one that no word has."""
+    c = np.where((s >= 65) & (s <= 90), s - 65, 31).astype(np.int64)
+    n = len(s) - word + 1
+    return sum(c[k : k + n] << 5 * (word - 1 - k) for k in range(word)) if n > 0 else np.zeros(0, np.int64)
+
+
+def _word_hits(s: np.ndarray, p: Parameters, table: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Positions in the query, in order, of the hits of each diagonal (first its number) that may have two near ones."""
+    starts, places = table
+    k = _numbers(s, p.word)
+    count = starts[k + 1] - starts[k]
+    j = np.repeat(np.arange(len(k)), count)
+    i = places[np.repeat(starts[k] - (np.cumsum(count) - count), count) + np.arange(len(j))].astype(np.int64)
+    d = j - i
+    order = np.lexsort((i, d))
+    i, d = i[order], d[order]
+    cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True]))) if len(d) else np.zeros(1, np.int64)
+    first, last = cuts[:-1], cuts[1:] - 1
+    return [np.concatenate((d[a : a + 1], i[a : b + 1])) for a, b in zip(first, last) if i[b] - i[a] >= p.word]
+
+
+def _extended(row: np.ndarray, drop: float) -> tuple[int, int]:
+    """(gain, cells) of the best prefix of a row of scores, which ends where the sum falls by more than ``drop`` below its best."""
+    if not len(row):
+        return 0, 0
+    run = np.cumsum(row)
+    best = np.maximum(np.maximum.accumulate(run), 0)
+    low = np.flatnonzero(best - run > drop)
+    stop = int(low[0]) if len(low) else len(run)
+    if not stop or run[:stop].max() <= 0:
+        return 0, 0
+    at = int(run[:stop].argmax())
+    return int(run[at]), at + 1
+
+
+def _ungapped(m: np.ndarray, q: np.ndarray, s: np.ndarray, start: int, end: int, d: int, drop: float) -> tuple[int, int, int]:
+    """(score, start, end in the query) of the best extension of a stretch along its diagonal."""
+    right = m[q[end : len(s) - d], s[end + d : len(q) + d]] if end + d < len(s) else np.zeros(0, np.int64)
+    n = min(start, start + d)
+    left = m[q[start - n : start], s[start + d - n : start + d]][::-1]
+    more, ahead = _extended(right, drop)
+    again, back = _extended(left, drop)
+    return int(m[q[start:end], s[start + d : end + d]].sum()) + more + again, start - back, end + ahead
 
 
 def _gapped(m: np.ndarray, q: np.ndarray, s: np.ndarray, p: Parameters, drop: float) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """Best affine alignment from the start of both, by rows within the drop: score, ends, and steps (query, target) of the trace."""
+    """Best affine alignment from the start of both, by rows within the drop: score, ends, and steps (query, target) of the trace.
+
+    A row holds the cells from the first to the last that the row before keeps alive, and as many more as a gap can reach.
+    """
     first, extend = p.gap_open + p.gap_extend, p.gap_extend
-    n = len(s)
-    none = -(10**9)
-    h = np.full(n + 1, none, np.int64)
-    h[0] = 0
-    h[1:] = -first - extend * np.arange(n)
-    f = np.full(n + 1, none, np.int64)
-    best, at, back = 0, (0, 0), [np.where(np.arange(n + 1) == 0, 0, 2).astype(np.int8)]
+    n, none, reach = len(s), -(10**9), int(drop // max(1, extend)) + 2
+    lo, hi = 0, min(n, reach)  # cells lo to hi of a row
+    h = np.concatenate(([0], -first - extend * np.arange(hi)))
     h[h < -drop] = none
+    f = np.full(hi + 1, none, np.int64)
+    best, at, back = 0, (0, 0), [(0, np.where(np.arange(hi + 1) == 0, 0, 2).astype(np.int8))]
     for i in range(1, len(q) + 1):
-        f = np.maximum(h - first, f - extend)
-        diag = np.full(n + 1, none, np.int64)
-        diag[1:] = np.where(h[:-1] > none // 2, h[:-1] + m[q[i - 1], s], none)
+        alive = np.flatnonzero(h > none // 2)
+        if not len(alive):
+            break
+        old, lo, hi = lo, lo + int(alive[0]), min(n, lo + int(alive[-1]) + 1 + reach)
+        width = hi - lo + 1
+        up, down = np.full(width, none, np.int64), np.full(width, none, np.int64)
+        kept = h[lo - old :][:width]
+        up[: len(kept)], down[: len(kept)] = kept, f[lo - old :][:width]
+        f = np.maximum(up - first, down - extend)
+        diag = np.full(width, none, np.int64)
+        diag[1:] = np.where(up[:-1] > none // 2, up[:-1] + m[q[i - 1], s[lo:hi]], none)
         open_ = np.maximum(diag, f)
-        k = np.arange(n + 1) * extend
-        e = np.full(n + 1, none, np.int64)
+        k = np.arange(width) * extend
+        e = np.full(width, none, np.int64)
         e[1:] = (np.maximum.accumulate(open_ + k) - first + extend)[:-1] - k[1:]
-        new = np.maximum(open_, e)
-        way = np.where(new == diag, 0, np.where(new == f, 1, 2)).astype(np.int8)
-        new[new < best - drop] = none
-        top = int(new.max())
-        back.append(way)
+        h = np.maximum(open_, e)
+        back.append((lo, np.where(h == diag, 0, np.where(h == f, 1, 2)).astype(np.int8)))
+        h[h < best - drop] = none
+        top = int(h.max())
         if top <= none // 2:
             break
         if top > best:
-            best, at = top, (i, int(new.argmax()))
-        h = new
+            best, at = top, (i, lo + int(h.argmax()))
     i, j = at
     steps = []
     while i or j:
-        w = back[i][j] if i and j else (1 if i else 2)
+        w = back[i][1][j - back[i][0]] if i and j else (1 if i else 2)
         a, b = (1, 1) if w == 0 else (1, 0) if w == 1 else (0, 1)
         steps.append((a, b))
         i, j = i - a, j - b
     return best, at[0], at[1], steps[::-1]
 
 
-def hsps(query: str, masked: str, target: str, p: Parameters, words: dict[str, list[int]], m: np.ndarray | None = None, statistics_: dict | None = None) -> list[dict]:
-    """High-scoring pairs of a query and one target, best first, without overlaps. The matrix and its statistics are sent along, as workers know only the built-in one."""
+def hsps(query: str, masked: str, target: str, p: Parameters, words: dict[str, list[int]] | tuple[np.ndarray, np.ndarray], m: np.ndarray | None = None, statistics_: dict | None = None) -> list[dict]:
+    """High-scoring pairs of a query and one target, best first, without overlaps.
+
+    Two word hits on a diagonal, at least a word and less than the window apart, are extended without gaps; what
+    passes the trigger is aligned with gaps from its middle, and keeps the better of both scores. The matrix
+    and its statistics are sent along, as workers know only the built-in one.
+    """
     m, known = (p.scores, p.statistics) if m is None else (m, statistics_)
+    table = word_table(words, p.word) if isinstance(words, dict) else words
     lam, k, *_ = known[0, 0]
     drop = math.ceil(math.log(2) * 7 / lam)
-    trigger = (math.log(2) * 22 + math.log(k)) / lam
+    trigger = int((math.log(2) * 22 + math.log(k)) / lam)
     q, mq, s = (np.frombuffer(x.encode("latin-1", "replace"), np.uint8) for x in (query, masked, target))
-    last, done, found = {}, {}, []
-    for j in range(len(target) - p.word + 1):
-        for i in words.get(target[j : j + p.word], ()):
-            d = j - i
-            if j < done.get(d, -1):
-                continue
-            before = last.get(d)
-            if before is None or j - before >= p.window:
-                last[d] = j
-                continue
-            if j - before < p.word:
-                continue
-            last[d] = j
-            score, start, end = _ungapped(m, mq, s, i, j, p.word, drop)
-            done[d] = end + d
-            if score >= trigger or not p.gapped and score > 0:
-                found.append((score, start, end, d))
+    found = []
+    for d, *places in map(np.ndarray.tolist, _word_hits(s, p, table)) if len(s) >= 2 * p.word else ():
+        held = None
+        for i in places:
+            if held is None or i - held >= p.window:
+                held = i
+            elif i - held >= p.word:
+                score, start, end = _ungapped(m, mq, s, held, i + p.word, d, drop)
+                held = end
+                if score >= trigger:
+                    found.append((score, start, end, d))
     out = []
     for score, start, end, d in sorted(found, reverse=True):
         mid = (start + end) // 2
         if any(h["q_from"] <= mid < h["q_to"] and h["s_from"] <= mid + d < h["s_to"] for h in out):
             continue
+        qa, qb, sa, sb, steps = start, end, start + d, end + d, [(1, 1)] * (end - start)
         if p.gapped:
-            x = 25 * math.log(2) / known[p.costs][0]
+            x = int(25 * math.log(2) / known[p.costs][0])
             right, a, b, fwd = _gapped(m, mq[mid:], s[mid + d :], p, x)
             left, c, e, bwd = _gapped(m, mq[:mid][::-1], s[: mid + d][::-1], p, x)
-            score, qa, sa, steps = right + left, mid - c, mid + d - e, bwd[::-1] + fwd
-            qb, sb = mid + a, mid + d + b
-        else:
-            qa, qb, sa, sb, steps = start, end, start + d, end + d, [(1, 1)] * (end - start)
+            if right + left >= score:
+                score, qa, sa, steps = right + left, mid - c, mid + d - e, bwd[::-1] + fwd
+                qb, sb = mid + a, mid + d + b
         rows, i, j = ["", "", ""], qa, sa
         for u, v in steps:
             x, y = query[i] if u else "-", target[j] if v else "-"
@@ -392,12 +488,14 @@ def blast(seqs: DataFrame, query: str, p: Parameters, restrict: DataFrame | None
     """Hits of a protein in sequences (doc_nr, seq), one row an HSP: score, bits, expect, positions and alignment lines.
 
     The table of neighbouring words goes to every task; sequences are only scanned. ``restrict`` (doc_nr) limits the search.
+    A sequence is a hit if its best HSP is expected often enough; the ``limit`` best hits are returned with all
+    their HSPs, by the best one's score, then document number.
     """
     query = query.upper()
     if restrict is not None:
         seqs = seqs.join(restrict.select("doc_nr"), "doc_nr", "left_semi")
     masked = seg_text(query) if p.mask else query
-    words = neighbours(masked, p)
+    table = word_table(neighbours(masked, p), p.word)
     sizes = seqs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("t")).first()
     lam, k, _, alpha, beta = p.statistics[p.costs]
     m, known = p.scores, p.statistics
@@ -405,16 +503,24 @@ def blast(seqs: DataFrame, query: str, p: Parameters, restrict: DataFrame | None
     space = float(max(1, len(query) - ell) * max(1, sizes["t"] - sizes["n"] * ell))
     names = ["score", "q_from", "q_to", "s_from", "s_to", "identity", "positive", "gaps", "q_line", "midline", "s_line"]
 
+    def bits(score: int) -> int:
+        return math.floor((score * lam - math.log(k)) / math.log(2))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(nr, *[h[n] for n in names]) for nr, s in zip(f["doc_nr"], f["seq"]) if s for h in hsps(query, masked, s.upper(), p, words, m, known)]
-            yield pd.DataFrame(rows, columns=["doc_nr", *names])
-
-    types = "doc_nr bigint, score int, q_from int, q_to int, s_from int, s_to int, identity int, positive int, gaps int, q_line string, midline string, s_line string"
-    found = seqs.select("doc_nr", "seq").mapInPandas(run, types)
-    bits = F.floor((F.col("score") * lam - math.log(k)) / math.log(2))
-    hits = found.withColumn("bits", bits.cast("int")).withColumn("expect", F.lit(space) / F.pow(F.lit(2.0), F.col("bits").cast("double")))
-    return hits.where(F.col("expect") <= p.expect).orderBy(F.desc("score"), "doc_nr", "q_from", "s_from").limit(p.limit)
+            rows = []
+            for nr, s in zip(f["doc_nr"], f["seq"]):
+                found = hsps(query, masked, s.upper(), p, table, m, known) if s else []
+                if found and space / 2.0 ** bits(found[0]["score"]) <= p.expect:
+                    # The HSPs of a hit travel together, so that the best hits are found with a limit.
+                    rows.append((nr, found[0]["score"], [{"bits": bits(h["score"]), "expect": space / 2.0 ** bits(h["score"]), **h} for h in found]))
+            yield pd.DataFrame(rows, columns=["doc_nr", "top", "hsps"])
+
+    types = "score int, q_from int, q_to int, s_from int, s_to int, identity int, positive int, gaps int, q_line string, midline string, s_line string, bits int, expect double"
+    hits = seqs.select("doc_nr", "seq").mapInPandas(run, f"doc_nr bigint, top int, hsps array<struct<{types}>>")
+    best = hits.orderBy(F.desc("top"), "doc_nr").limit(p.limit)
+    each = best.select("doc_nr", "top", F.explode("hsps").alias("h")).select("doc_nr", "top", *[F.col(f"h.{c}").alias(c) for c in (*names, "bits", "expect")])
+    return each.orderBy(F.desc("top"), "doc_nr", F.desc("score"), "q_from", "s_from").drop("top")
 
 
 def report_xml(hits: DataFrame) -> DataFrame:

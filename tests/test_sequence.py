@@ -110,3 +110,97 @@ def test_queue(targets, query):
     with pytest.raises(RuntimeError):
         q.result(bad, 120)
     assert q.status(bad) == jobs.ERROR and q.submit("nosuch", query) != bad
+
+
+def test_published_scores_of_ambiguous_residues():
+    m = S.blosum62()
+    at = lambda a, b: int(m[ord(a), ord(b)])
+    assert (m == m.T).all()
+    assert [at("X", c) for c in "ASTCPWRX*"] == [0, 0, 0, -2, -2, -2, -1, -1, -4]
+    assert [at("B", c) for c in "NDBZX"] == [3, 4, 4, 1, -1] and [at("Z", c) for c in "QEZBX"] == [3, 4, 4, 1, -1]
+    assert at("*", "*") == 1 and at("*", "A") == -4 and at("U", "C") == 9
+
+
+def test_public_matrices_from_files(spark, tmp_path):
+    letters = "ARNDCQEGHILKMFPSTWYVBZX*"
+    text = "# made up\n   " + "  ".join(letters) + "\n" + "\n".join(a + " " + " ".join(str(7 if a == b else -3) for b in letters) for a in letters)
+    (tmp_path / "PAM30").write_text(text)
+    S.load_matrix(spark, str(tmp_path / "PAM30"), "PAM30")
+    p = S.Parameters(matrix="pam30", gap_open=9)
+    assert p.scores[ord("W"), ord("W")] == 7 and p.statistics[p.costs][:3] == (0.294, 0.11, 0.61) and p.statistics[0, 0][0] == 0.34
+    with pytest.raises(ValueError):
+        S.Parameters(matrix="PAM30")
+
+
+def test_extensions_against_loops(query):
+    """Ungapped extension residue by residue, and gapped extension by the whole table, as no drop cuts it off."""
+    import numpy as np
+
+    m, rng = S.blosum62(), random.Random(3)
+    code = lambda x: np.frombuffer(x.encode(), np.uint8)
+    p = S.Parameters()
+    for _ in range(150):
+        a = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.randint(8, 60)))
+        b = "".join(x if rng.random() < 0.7 else rng.choice("ACDEFGHIKLMNPQRSTVWY") for x in a)[rng.randint(0, 5) :] + "".join(rng.choice("ACDE") for _ in range(rng.randint(0, 9)))
+        i = rng.randint(0, len(a) - 4)
+        d = rng.randint(-3, 3)
+        if i + d < 0 or i + d + 4 > len(b):
+            continue
+        score, start, end = sum(int(m[ord(a[x]), ord(b[x + d])]) for x in range(i, i + 4)), i, i + 4
+        run = score
+        for x in range(i + 4, min(len(a), len(b) - d)):
+            run += int(m[ord(a[x]), ord(b[x + d])])
+            if run > score:
+                score, end = run, x + 1
+            if score - run > 16:
+                break
+        run = score
+        for x in range(i - 1, max(0, -d) - 1, -1):
+            run += int(m[ord(a[x]), ord(b[x + d])])
+            if run > score:
+                score, start = run, x
+            if score - run > 16:
+                break
+        assert S._ungapped(m, code(a), code(b), i, i + 4, d, 16) == (score, start, end)
+
+        low = -(10**9)
+        h = [[low] * (len(b) + 1) for _ in range(len(a) + 1)]
+        e, f = [r[:] for r in h], [r[:] for r in h]
+        best = 0
+        for x in range(len(a) + 1):
+            for y in range(len(b) + 1):
+                e[x][y] = max(h[x][y - 1] - 12, e[x][y - 1] - 1) if y else low
+                f[x][y] = max(h[x - 1][y] - 12, f[x - 1][y] - 1) if x else low
+                h[x][y] = 0 if x == y == 0 else max(e[x][y], f[x][y], h[x - 1][y - 1] + int(m[ord(a[x - 1]), ord(b[y - 1])]) if x and y else low)
+                best = max(best, h[x][y])
+        got = S._gapped(m, code(a), code(b), p, 10**6)
+        assert got[0] == best and (sum(u for u, _ in got[3]), sum(v for _, v in got[3])) == got[1:3]
+        assert S._gapped(m, code(a), code(b), p, 64)[0] <= best
+
+
+def test_word_hits_against_lookups(query):
+    p = S.Parameters()
+    words = S.neighbours(query, p)
+    target = query[:50] + "*x" + S.made_up(8, 200)
+    want = {}
+    for j in range(len(target) - 2):
+        for i in words.get(target[j : j + 3], ()):
+            want.setdefault(j - i, []).append(i)
+    import numpy as np
+
+    got = {int(r[0]): r[1:].tolist() for r in S._word_hits(np.frombuffer(target.encode(), np.uint8), p, S.word_table(words, 3))}
+    assert got == {d: sorted(i) for d, i in want.items() if max(i) - min(i) >= 3} and len(got) > 3
+
+
+def test_the_limit_counts_hits(spark, query):
+    """A hit with two HSPs is one; both are returned."""
+    twice = query[:50] + S.made_up(77, 60) + query[70:]
+    rows = spark.createDataFrame([(1, query), (2, twice), (3, S.made_up(5, 90))], "doc_nr long, seq string")
+    one, two = (S.blast(rows, query, S.Parameters(mask=False, gapped=False, limit=n)).collect() for n in (1, 2))
+    assert {r["doc_nr"] for r in one} == {1} and [r["doc_nr"] for r in two if r["doc_nr"] == 2] == [2, 2]
+    assert [r["doc_nr"] for r in two] == sorted(r["doc_nr"] for r in two)
+
+
+def test_long_segments_are_trimmed_whole():
+    got = S.seg_text(S.made_up(3, 40) + "Q" * 120_000 + S.made_up(4, 40))
+    assert "X" * 119_990 in got
