@@ -172,24 +172,48 @@ class Collection:
         """The number of documents as a scalar of the plan, not a driver value."""
         return self.docs.agg(F.count("*").alias("n")).scalar()
 
+    def _weighted(self) -> DataFrame:
+        """The entries with ``w_all``: the document's weight of the key over all indices, on one row for each document and key.
+
+        The entries are still dealt by document, so the windows need no shuffle.
+        """
+        top = F.max("freq").over(Window.partitionBy("doc_nr"))
+        weight = F.greatest(F.lit(1), F.floor(F.col("freq") * TOP_WEIGHT / top)).cast("int")
+        key = Window.partitionBy("doc_nr", "key")
+        first = F.row_number().over(key.orderBy("ix")) == 1
+        both = F.least(F.lit(TOP_WEIGHT), F.sum("w").over(key)).cast("int")
+        return self.table("entries").withColumn("w", weight).withColumn("w_all", F.when(first, both)).drop("w")
+
     def save(self, path: str) -> Collection:
-        """Writes all tables, entries by index and sorted by key, under a staging name that is renamed when whole."""
+        """Writes all tables, entries by index and sorted by key, under a staging name, which takes the place of what was there when whole.
+
+        Until then, and if that breaks off, the former collection stays: beside the new name, where ``open`` finds it. A collection may be saved in its own place.
+        """
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
+        at = jvm.org.apache.hadoop.fs.Path
+        root = at(path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        stage = f"{path}.staging"
-        fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
+        stage, former = f"{path}.staging", f"{path}.former"
+        if not fs.exists(root) and fs.exists(at(former)):  # a former attempt broke off between its two renames
+            fs.rename(at(former), root)
+        fs.delete(at(stage), True)
         self.docs.write.parquet(f"{stage}/docs")
-        self.table("entries").repartitionByRange("ix", "key", "doc_nr").sortWithinPartitions("ix", "key", "doc_nr").write.partitionBy("ix").parquet(f"{stage}/entries")
+        # Texts are split up once; sorting samples its input first, and the weights are worked out here, where rows lie by document.
+        self._weighted().write.parquet(f"{stage}/unsorted")
+        rows = self.spark.read.parquet(f"{stage}/unsorted")
+        rows.drop("w_all").repartitionByRange("ix", "key", "doc_nr").sortWithinPartitions("ix", "key", "doc_nr").write.partitionBy("ix").parquet(f"{stage}/entries")
+        rows.where("w_all is not null").select("key", "doc_nr", F.col("w_all").alias("w")).repartitionByRange("key", "doc_nr").sortWithinPartitions("key", "doc_nr").write.parquet(f"{stage}/all_text")
+        rows.groupBy("ix", "key").agg(F.count("*").alias("df")).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{stage}/lexicon")
         if self.sequences is not None:
             self.sequences.write.parquet(f"{stage}/sequences")
         self.spark.createDataFrame(self._info(), "kind string, value string").coalesce(1).write.parquet(f"{stage}/info")
         half = Collection(self.spark.read.parquet(f"{stage}/docs"), self.indices, self.stop, self.name, self.meta, stage)
-        half._all_text().repartitionByRange("key", "doc_nr").sortWithinPartitions("key", "doc_nr").write.parquet(f"{stage}/all_text")
-        half._lexicon().repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{stage}/lexicon")
         half._doc_weights().write.parquet(f"{stage}/doc_weights")
-        fs.delete(root, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(stage), root)
+        fs.delete(at(f"{stage}/unsorted"), True)
+        fs.delete(at(former), True)
+        if fs.exists(root) and not fs.rename(root, at(former)) or not fs.rename(at(stage), root):
+            raise OSError(f"can't put {stage} in the place of {path}")
+        fs.delete(at(former), True)
         return Collection.open(self.spark, path)
 
     def _info(self) -> list[tuple[str, str]]:
@@ -199,7 +223,11 @@ class Collection:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Collection:
-        """A stored collection; only its few info records are read now."""
+        """A stored collection; only its few info records are read now. If replacing it broke off half way, the former one is put back."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at(path)) and fs.exists(at(f"{path}.former")):
+            fs.rename(at(f"{path}.former"), at(path))
         info: dict[str, list[str]] = {}
         for r in spark.read.parquet(f"{path}/info").collect():
             info.setdefault(r["kind"], []).append(r["value"])

@@ -16,6 +16,8 @@ MOST_TERMS = 50_000
 #: Query terms up to which the keys are pushed down to the scan of the postings.
 MOST_PUSHED = 500
 DEFAULT_RESULTS = 1000
+#: The usual shares of the best contribution for pruning.
+PRUNE = (0.007, 0.12)
 
 
 def query_weights(counts: dict[str, int]) -> dict[str, int]:
@@ -78,12 +80,13 @@ class Ranked:
         rows = sorted(query_weights(self.counts).items())
         return self.c.spark.createDataFrame(rows, "key string, qw int")
 
-    def scores(self, algorithm: str = "vector", all_terms: bool = False, meta: DataFrame | None = None, valid_only: bool = True, prune: float | None = None) -> DataFrame:
+    def scores(self, algorithm: str = "vector", all_terms: bool = False, meta: DataFrame | None = None, valid_only: bool = True, prune: float | tuple[float, float] | None = None) -> DataFrame:
         """(doc_nr, rank) of every document with a term (or all terms), unordered; rank is 0 to 1 before scaling.
 
         ``meta`` (doc_nr) restricts the documents. A required term that is missing everywhere empties the
-        result unless it is a stop word. ``prune`` leaves out postings whose share of the best
-        possible score is below it; the result is then approximate. By default it is exact.
+        result unless it is a stop word. ``prune`` (add, insert; as one number: both; ``PRUNE`` has the usual ones)
+        makes the result approximate: postings below the first share of the best contribution are left out, and those
+        below the second count only for documents that have one above it. By default the result is exact.
         """
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm!r}")
@@ -96,11 +99,15 @@ class Ranked:
         df = hits.groupBy("key", "qw").agg(F.count("*").alias("df"), F.max("w").alias("top"))
         wq = df.select("key", (F.log(1 + self.c.size_column() / F.col("df")) * F.col("qw")).alias("wq"), F.log(1 + self.c.size_column() / F.col("df")).alias("idf"), "top")
         norm = wq.agg(F.sqrt(F.sum(F.pow("wq", F.lit(2))))).scalar()
-        parts = hits.join(F.broadcast(wq) if small else wq, "key").select("doc_nr", "key", (F.col("idf") * F.col("w") * F.col("wq")).alias("sd"))
+        parts = hits.join(F.broadcast(wq) if small else wq, "key").select("doc_nr", "key", "wq", (F.col("idf") * F.col("w") * F.col("wq")).alias("sd"))
+        found = parts.groupBy("doc_nr")
         if prune:
+            add, insert = prune if isinstance(prune, tuple) else (prune, prune)
             best = wq.agg(F.max(F.col("idf") * F.col("wq") * F.col("top"))).scalar()
-            parts = parts.where(F.col("sd") >= best * prune)
-        found = parts.groupBy("doc_nr").agg(F.sum("sd").alias("a"), F.count("*").alias("n"))
+            reach = F.col("sd") * F.col("wq")
+            found = parts.where(reach >= best * add).groupBy("doc_nr").agg(F.sum("sd").alias("a"), F.count("*").alias("n"), F.max(reach >= best * insert).alias("in")).where("in").drop("in")
+        else:
+            found = found.agg(F.sum("sd").alias("a"), F.count("*").alias("n"))
         if all_terms:
             if self._terms is None:
                 needed = F.lit(sum(k not in self.c.stop for k in query_weights(self.counts)))
@@ -122,7 +129,8 @@ class Ranked:
         if with_total:
             cols.append(got.agg(F.count("*")).scalar().alias("total"))
         best = got.orderBy(F.desc(F.round(F.col("rank") * 100, 6)), "doc_nr").offset(offset).limit(n)
-        return best.join(self.c.docs.select("doc_nr", "doc_id"), "doc_nr").select("doc_nr", "doc_id", *cols)
+        # The join deals the rows out anew, so the few that are left are sorted again.
+        return best.join(self.c.docs.select("doc_nr", "doc_id"), "doc_nr").select("doc_nr", "doc_id", *cols).orderBy(F.desc("score"), "doc_nr")
 
 
 def similar(c: Collection, doc_nr: int) -> Ranked:
@@ -139,7 +147,7 @@ def similar_to_text(c: Collection, text: str) -> Ranked:
 
 
 def find_all(cs: list[Collection], query: Ranked | dict[str, int], n: int = 5, ignore: tuple[str, ...] = (), **options) -> DataFrame:
-    """(db, doc_id, score, place, total, best): the best n of each collection with its number of hits; order by ``best`` descending, then place."""
+    """(db, doc_id, score, place, total, best): the best n of each collection with its number of hits, by ``best``, collection and place."""
     counts = query.counts if isinstance(query, Ranked) else query
     each = []
     for c in cs:
@@ -150,7 +158,7 @@ def find_all(cs: list[Collection], query: Ranked | dict[str, int], n: int = 5, i
     place = F.row_number().over(Window.partitionBy("db").orderBy(F.desc("score"), "doc_nr"))
     ranked = rows.withColumn("place", place).where(F.col("place") <= n)
     sums = rows.groupBy("db").agg(F.count("*").alias("total"), F.max("score").alias("best"))
-    return ranked.join(sums, "db").select("db", "doc_id", "score", "place", "total", "best")
+    return ranked.join(sums, "db").select("db", "doc_id", "score", "place", "total", "best").orderBy(F.desc("best"), "db", "place")
 
 
 def hits_per_collection(cs: list[Collection], query: dict[str, int]) -> DataFrame:

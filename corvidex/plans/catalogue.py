@@ -120,6 +120,12 @@ query("tokenize_documents", f"WITH {_tok()} SELECT doc_id, key, CAST(pos AS INTE
 query("token_classes", f"WITH t AS (SELECT unnest({_toks('text')}) AS key FROM documents) SELECT CASE WHEN regexp_full_match(key, '[0-9]+') THEN 'number' ELSE 'word' END AS class, count(*) AS n FROM t GROUP BY ALL")(
     lambda s, d: _table(s, d, "documents").select(F.explode(T.tokens("text")).alias("key")).groupBy(T.token_class("key").alias("class")).agg(F.count("*").alias("n"))
 )
+query("page_in_order", f"{_ENTRIES} SELECT doc_id FROM entries WHERE ix = 'text' AND key = 'the' ORDER BY doc_id LIMIT 40 OFFSET 5")(
+    lambda s, d: L.find(documents(s, d), "text:the").page(5, 40).select(F.col("doc_nr").alias("doc_id"))
+)
+query("estimated_not", f"{_ENTRIES} SELECT least((SELECT count(*) FROM entries WHERE ix = 'text' AND key = 'with'), (SELECT count(*) FROM documents) - (SELECT count(*) FROM entries WHERE ix = 'lang' AND key = 'en')) AS n")(
+    lambda s, d: s.createDataFrame([(L.find(saved(documents, s, d), "text:with AND NOT lang:en").estimate(),)], "n bigint")
+)
 _boolean("match_all", "*", "SELECT doc_id FROM documents")
 _boolean("term_any", "The", _has("the"))
 _boolean("term_qualified", "lang:EN", _has("en", "lang"))
@@ -339,8 +345,30 @@ query("key_dump_df", f"{_ENTRIES} SELECT ix, key, count(*) AS df FROM entries GR
 query("glob_expand", f"{_ENTRIES} SELECT DISTINCT key FROM entries WHERE ix = 'text' AND regexp_full_match(key, 'an.*th')")(lambda s, d: saved(documents, s, d).expand("text", "an*th"))
 query("index_stats", f"{_ENTRIES} SELECT ix, count(*) AS n_keys, CAST(sum(df) AS BIGINT) AS n_postings FROM (SELECT ix, key, count(*) AS df FROM entries GROUP BY ix, key) GROUP BY ix")(lambda s, d: documents(s, d).index_statistics())
 query("databank_stats", "SELECT count(*) AS n_docs, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS raw_bytes FROM documents")(lambda s, d: documents(s, d).statistics())
-query("spell_suggest")(lambda s, d: spelling.suggest(saved(documents, s, d), "thign"))
-query("spell_with_hits")(lambda s, d: spelling.suggest_with_hits(saved(documents, s, d), "wiht"))
+
+
+def _spell_sql(word: str, n: int = 20) -> str:
+    """Every walk through every key of the dictionary, step by step; the columns are (key, score)."""
+    letter = f"CASE swap WHEN 1 THEN substr('{word}', i + 2, 1) ELSE substr('{word}', i + 1, 1) END"
+    i, swap = "CASE swap WHEN 1 THEN i WHEN 2 THEN i + 2 ELSE i + 1 END", "CASE swap WHEN 1 THEN 2 ELSE 0 END"
+    edit = "total >= 0 AND edits < 2 AND j < len(key)"
+    return f"""{_ENTRIES.replace("WITH ", "WITH RECURSIVE ", 1)}, dictionary AS (SELECT DISTINCT key FROM entries WHERE len(key) >= 2 AND NOT regexp_full_match(key, '[0-9.]+') AND key <> '{word}'),
+walk(key, i, j, edits, swap, total, ends) AS (
+  SELECT key, 0, 0, 0, 0, 0, false FROM dictionary
+  UNION SELECT key, x.i, x.j, x.edits, x.swap, x.total, x.ends FROM (SELECT key, unnest([
+    CASE WHEN j < len(key) AND {letter} = substr(key, j + 1, 1) THEN {{'i': {i}, 'j': j + 1, 'edits': edits, 'swap': {swap}, 'total': total + 1, 'ends': edits <= 1}} END,
+    CASE WHEN {edit} THEN {{'i': i, 'j': j + 1, 'edits': edits + 1, 'swap': swap, 'total': total - 1, 'ends': true}} END,
+    CASE WHEN {edit} AND {letter} <> '' THEN {{'i': {i}, 'j': j, 'edits': edits + 1, 'swap': {swap}, 'total': total - 4, 'ends': false}} END,
+    CASE WHEN {edit} AND {letter} <> '' THEN {{'i': {i}, 'j': j + 1, 'edits': edits + 1, 'swap': {swap}, 'total': total - 2, 'ends': true}} END,
+    CASE WHEN {edit} AND swap = 0 AND i + 1 < {len(word)} THEN {{'i': i, 'j': j, 'edits': edits + 1, 'swap': 1, 'total': total - 2, 'ends': false}} END
+  ]) AS x FROM walk) WHERE x IS NOT NULL
+), suggested AS (SELECT key, CAST(max(total) AS BIGINT) AS score FROM walk WHERE ends AND j = len(key) GROUP BY key ORDER BY score DESC, key LIMIT {n})"""
+
+
+query("spell_suggest", f"{_spell_sql('thign')} SELECT key, score FROM suggested")(lambda s, d: spelling.suggest(saved(documents, s, d), "thign"))
+query("spell_with_hits", f"{_spell_sql('wiht')} SELECT key, score, count(DISTINCT doc_id) AS hits FROM suggested JOIN entries USING (key) GROUP BY key, score")(
+    lambda s, d: spelling.suggest_with_hits(saved(documents, s, d), "wiht")
+)
 query("spell_dictionary", f"{_ENTRIES} SELECT DISTINCT key FROM (SELECT ix, key, count(*) AS df FROM entries GROUP BY ix, key) WHERE ix = 'text' AND df >= 3 AND len(key) >= 4 AND NOT regexp_full_match(key, '[0-9.]+')")(
     lambda s, d: spelling.dictionary(saved(documents, s, d), ["text"], 4, 3)
 )
@@ -446,7 +474,7 @@ e AS (SELECT p_partkey, i, -sum(p * log2(p)) AS h FROM c GROUP BY p_partkey, i)
     lambda s, d: _table(s, d, "part").select("p_partkey", S.entropies(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), 12).alias("h")).where(F.size("h") > 0)
     .select("p_partkey", F.size("h").cast("bigint").alias("n"), F.round(F.array_min("h"), 6).alias("least"), F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 )
-query("sequence_fetch", "SELECT p_partkey AS doc_nr, 60 + p_partkey % 50 AS n FROM part WHERE p_partkey % 2 = 0")(lambda s, d: _proteins(s, d).where("doc_nr % 2 = 0").select("doc_nr", F.length("seq").cast("bigint").alias("n")))
+query("sequence_fetch", "SELECT p_partkey AS doc_nr, 60 + p_partkey % 50 AS n FROM part")(lambda s, d: _proteins(s, d).select("doc_nr", F.length("seq").cast("bigint").alias("n")))
 query("seg_mask")(lambda s, d: _proteins(s, d).select("doc_nr", S.seg(F.col("seq")).alias("masked")))
 query("dust_mask")(lambda s, d: _table(s, d, "part").select("p_partkey", S.dust(F.concat(F.expr("translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTACG')"), F.lit("A" * 50))).alias("masked")))
 query("blast_top")(lambda s, d: S.blast(_proteins(s, d), _proteins(s, d).where("doc_nr = 7").first()["seq"], S.Parameters()))

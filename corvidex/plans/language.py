@@ -345,13 +345,20 @@ class BooleanQuery:
     def __invert__(self):
         return BooleanQuery(self.c, Not(self.tree))
 
-    def rows(self, valid_only: bool = False) -> DataFrame:
-        """The matching documents with all their columns."""
+    def rows(self, valid_only: bool = False, ordered: bool = False) -> DataFrame:
+        """The matching documents with all their columns, in the order of their numbers if asked for: that sorts the whole result."""
         if self.c.stored:
             got = self.c.docs.join(documents(self.tree, self.c), "doc_nr", "left_semi")
         else:
             got = self.c.keyed.where(predicate(self.tree, self.c)).select(*self.c.docs.columns)
-        return got.where("is_valid") if valid_only else got
+        got = got.where("is_valid") if valid_only else got
+        return got.orderBy("doc_nr") if ordered else got
+
+    def page(self, offset: int = 0, n: int = 1000, valid_only: bool = False) -> DataFrame:
+        """The n matching documents after ``offset`` in the order of their numbers, found with a limit."""
+        if offset < 0:
+            raise ValueError("can't skip backwards")
+        return self.rows(valid_only, ordered=True).offset(offset).limit(n)
 
     def ids(self) -> DataFrame:
         return self.rows().select("doc_nr", "doc_id")
@@ -364,33 +371,53 @@ class BooleanQuery:
         return self.rows().agg(F.count("*").alias("n"))
 
     def estimate(self) -> int:
-        """An upper bound of the count, from document frequencies alone: unions add, intersections take the least."""
-        n = self.c.docs.count()
-        lexicon = self.c.table("lexicon")
+        """About the count, from document frequencies alone: unions add, intersections take the least, NOT takes the rest. One job for the whole query."""
+        lexicon, leaves = self.c.table("lexicon"), []
 
-        def of(t) -> int:
-            if isinstance(t, And):
-                return min(of(t.a), of(t.b))
-            if isinstance(t, Or):
-                return min(n, of(t.a) + of(t.b))
-            if isinstance(t, (Not, All)):
-                return n
-            if isinstance(t, Nothing):
-                return 0
-            if isinstance(t, Phrase):
-                return min(of(Term(w, t.index)) for w in t.words)
+        def leaf(t) -> int:
             if isinstance(t, (Rel, Range)):
                 spec = self.c.index(t.index)
                 rels = [t] if isinstance(t, Rel) else [Rel(">=", t.index, t.low), Rel("<=", t.index, t.high)]
-                keys = lexicon.where(F.col("ix") == spec.name)
-                for r in rels:
-                    keys = keys.where(_test(F.col("key"), spec, r.op, r.value))
+                test = reduce(lambda a, b: a & b, [_test(F.col("key"), spec, r.op, r.value) for r in rels], F.col("ix") == spec.name)
             else:
-                keys = lexicon if t.index in (None, "*") else lexicon.where(F.col("ix") == self.c.index(t.index).name)
-                keys = keys.where(T.glob_match("key", t.key) if t.glob else F.col("key") == t.key)
-            return min(n, keys.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
+                test = T.glob_match("key", t.key) if t.glob else F.col("key") == t.key
+                if t.index not in (None, "*"):
+                    test = (F.col("ix") == self.c.index(t.index).name) & test
+            leaves.append(F.coalesce(test, F.lit(False)))
+            return len(leaves) - 1
+
+        def places(t):
+            """The tree with its leaves' places."""
+            if isinstance(t, (And, Or)):
+                return (type(t), places(t.a), places(t.b))
+            if isinstance(t, Not):
+                return (Not, places(t.a))
+            if isinstance(t, (All, Nothing)):
+                return (type(t),)
+            if isinstance(t, Phrase):
+                return reduce(lambda a, b: (And, a, b), [(Term, leaf(Term(w, t.index))) for w in t.words])
+            return (Term, leaf(t))
+
+        tree = places(self.tree)
+        total = self.c.size_column()
+        sums: list[int] = []
+        if leaves:
+            of_leaves = lexicon.where(reduce(lambda a, b: a | b, leaves)).agg(*[F.coalesce(F.sum(F.when(p, F.col("df"))), F.lit(0)) for p in leaves], total)
+            *sums, n = of_leaves.first()
+        else:
+            n = self.c.docs.count()
 
-        return of(self.tree)
+        def of(t) -> int:
+            kind, *rest = t
+            if kind is And:
+                return min(of(rest[0]), of(rest[1]))
+            if kind is Or:
+                return min(n, of(rest[0]) + of(rest[1]))
+            if kind is Not:
+                return n - of(rest[0])
+            return n if kind is All else 0 if kind is Nothing else min(n, sums[rest[0]])
+
+        return of(tree)
 
 
 def find(c: Collection, query: str, wildcard: bool = False) -> BooleanQuery:

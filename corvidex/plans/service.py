@@ -69,7 +69,7 @@ class Service:
             extra = [rows.agg(F.count("*")).scalar().alias("total")] if with_total else []
             return rows.orderBy("doc_nr").offset(offset).limit(n).select("doc_nr", "doc_id", F.lit(1.0).alias("score"), *extra, title)
         got = R.Ranked(c, counts).top(n, offset, with_total, algorithm=algorithm, all_terms=all_terms, meta=only)
-        return got.join(docs, "doc_nr")
+        return got.join(docs, "doc_nr").orderBy(F.desc("score"), "doc_nr")
 
     def find_similar(self, db: str, doc_id: str, algorithm: str = "vector", offset: int = 0, n: int = PAGE) -> DataFrame:
         """(doc_nr, doc_id, score): documents like one of the collection."""

@@ -122,7 +122,7 @@ def parse_record(spec: Format, record: str) -> dict | None:
                 title = re.sub(r"\s+", " ", value).strip()
             kind, ix = spec.fields.get(code, spec.default or (None, None))
             if kind and code != spec.id:
-                add(kind, ix or re.sub(r"\W", "", code.lower())[:15], value)
+                add(kind, ix or re.sub(r"\W", "", code.lower()), value)
     if doc_id is None and spec.id_record and (m := re.search(spec.id_record, record, re.M)):
         doc_id = m[1]
         add(VALUE, "id", doc_id)
