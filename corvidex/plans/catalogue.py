@@ -440,6 +440,45 @@ def records_fasta(spark: SparkSession, d: str) -> DataFrame:
     return records.to_fasta(plugins.parser("uniprot").rows(raw))
 
 
+def _records(name: str, parts: str, want: dict[str, str], where: str = "") -> None:
+    """Parts written as records of a format (``parts``: a SQL expression of both dialects), parsed: every entry, against ``want`` by index."""
+    each = " UNION ALL ".join(f"SELECT CAST(p_partkey AS VARCHAR) AS doc_id, '{ix}' AS ix, {token} AS token FROM part" for ix, token in want.items())
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        got = plugins.parser(name).rows(_table(spark, d, "part").select(F.expr(parts).alias("value")))
+        return got.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.ix", "e.token")
+
+    QUERIES[f"records_{name}"], ORACLES[f"records_{name}"] = run, each
+
+
+_KEY = "CAST(p_partkey AS VARCHAR)"
+_records(
+    "uniprot",
+    "concat('ID   ', p_partkey, ' Reviewed; 5 AA.\nAC   P', p_partkey, ';\nDT   21-JUL-1986, integrated.\nDT   0', 1 + p_size % 9, '-FEB-2001, version 2.\nDE   ', p_name, '\nRN   [', p_size, ']\nRA   ', p_brand, '\nCC   -!- ', p_type, '\nCC   -----------\nSQ   SEQUENCE   ', p_size, ' AA;  ', p_size * 110, ' MW;  0123456789ABCDEF CRC64;\n     MKVLA\n//')".replace("\n", "\\n"),
+    {"id": _KEY, "ac": f"'P' || {_KEY} || ';'", "dt": "unnest(['1986-07-21', '2001-02-0' || CAST(1 + p_size % 9 AS VARCHAR)])", "de": "p_name", "ref": "unnest(['[' || CAST(p_size AS VARCHAR) || ']', p_brand])", "cc": "'-!- ' || p_type", "length": "CAST(p_size AS VARCHAR)", "mw": "CAST(p_size * 110 AS VARCHAR)", "crc64": "'0123456789ABCDEF'"},
+)
+_records(
+    "embl",
+    "concat('ID   ', p_partkey, '; SV ', p_size, '; linear; mRNA; STD; PLN; ', p_size * 3, ' BP.\nDT   12-SEP-1991 (Rel. 29, Created)\nDT   25-NOV-2005 (Rel. 85, Last updated)\nDE   ', p_name, '\nKW   ', p_type, '\nRL   ', p_brand, '\nFT   CDS  1..9\nFT        /gene=\"', p_brand, '\"\nFT        /translation=\"MKV\nFT        LAA\"\nXX\nSQ   Sequence\n     aaa\n//')".replace("\n", "\\n"),
+    {"id": _KEY, "sv": "CAST(p_size AS VARCHAR)", "topology": "'linear'", "dc": "'std'", "td": "'pln'", "length": "CAST(p_size * 3 AS VARCHAR)", "cd_date": "'1991-09-12'", "up_date": "'2005-11-25'", "de": "p_name", "kw": "p_type", "ref": "p_brand", "ft": "p_brand"},
+)
+_records(
+    "genbank",
+    "concat('LOCUS       L1  4 aa  linear\nDEFINITION  ', p_name, '\nACCESSION   ', p_partkey, ' X9\nVERSION     v  GI:', p_size, '\nPROJECT     GenomeProject:', p_size, '\nREFERENCE   1  (bases)\n  AUTHORS   ', p_brand, '\nFEATURES             Location\n     /product=\"', p_type, '\"\n     /translation=\"MKV\"\nORIGIN\n   1 mkvl\n//')".replace("\n", "\\n"),
+    {"id": _KEY, "locus": "'4 aa  linear'", "definition": "p_name", "accession": f"{_KEY} || ' X9'", "gi": "CAST(p_size AS VARCHAR)", "project": "CAST(p_size AS VARCHAR)", "reference": "unnest(['1  (bases)', p_brand])", "features": "p_type"},
+)
+_records(
+    "omim",
+    "concat('*RECORD*\n*FIELD* NO\n', p_partkey, '\n*FIELD* TI\n*', 100000 + p_partkey, ' ', p_name, '; X\n*FIELD* TX\n', p_type, '\n*FIELD* CD\nA: ', 1 + p_size % 12, '/4/1986')".replace("\n", "\\n"),
+    {"id": _KEY, "ti": "'*' || CAST(100000 + p_partkey AS VARCHAR) || ' ' || p_name || '; X'", "tx": "p_type", "cd": "'A: ' || CAST(1 + p_size % 12 AS VARCHAR) || '/4/1986'", "cd_date": "'1986-' || lpad(CAST(1 + p_size % 12 AS VARCHAR), 2, '0') || '-04'"},
+)
+_records(
+    "taxonomy",
+    "concat('ID : ', p_partkey, '\nPARENT ID : ', p_size, '\nSCIENTIFIC NAME : ', p_name, '\nRANK : ', p_type, '\n//')".replace("\n", "\\n"),
+    {"id": _KEY, "parent": "CAST(p_size AS VARCHAR)", "scientific_name": "p_name", "rank": "p_type", "text": "unnest([p_name, p_type])"},
+)
+
+
 @query("records_collection", "SELECT p_partkey AS id, lower(p_brand) AS brand FROM part WHERE lower(p_brand) LIKE '%2%' AND p_size >= 10")
 def records_collection(spark: SparkSession, d: str) -> DataFrame:
     """Parsed records as a collection that is queried by the indices their format declares."""

@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .rules import DATE, NUMBER, NUMS, RULES, TEXT, VALUE, WORD, Row, dates
+
 SCHEMA = "doc_id string, text string, meta map<string,string>, entries array<struct<ix:string,kind:string,token:string,pos:int>>, seqs array<string>"
-TEXT, NUMS, WORD, VALUE, DATE, NUMBER = "text", "text+n", "word", "valu", "date", "nmbr"
-_MONTHS = {m: i for i, m in enumerate("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split(), 1)}
 
 
 def read_lines(spark: SparkSession, path: str, name_pattern: str | None = None, name_regex: str | None = None) -> DataFrame:
@@ -55,13 +55,7 @@ class Format:
 
 def iso_date(value: str) -> str | None:
     """dd-MON-yyyy, yyyymmdd, yyyy/mm/dd or yyyy-mm-dd as yyyy-mm-dd."""
-    if m := re.search(r"\b(\d{1,2})-([A-Z]{3})-(\d{4})\b", value.upper()):
-        if m[2] in _MONTHS:
-            return f"{m[3]}-{_MONTHS[m[2]]:02d}-{int(m[1]):02d}"
-    if m := re.search(r"\b(\d{4})[-/]?(\d{2})[-/]?(\d{2})\b", value):
-        if 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 31:
-            return f"{m[1]}-{m[2]}-{m[3]}"
-    return None
+    return next(iter(dates(value)), None)
 
 
 def _fields(spec: Format, record: str) -> Iterator[tuple[str, str]]:
@@ -87,48 +81,35 @@ def parse_record(spec: Format, record: str) -> dict | None:
     record = record.strip("\n")
     if not record.strip():
         return None
-    doc_id, meta, entries, seqs, title = None, {}, [], [], None
-
-    def add(kind: str, ix: str, value: str) -> None:
-        values = [value]
-        if kind == DATE:
-            values = [v for v in [iso_date(value)] if v]
-        elif kind == NUMBER:
-            values = re.findall(r"\d+", value)[:1]
-        elif kind == WORD:
-            values = value.split()
-        for v in values:
-            if v.strip():
-                entries.append({"ix": ix, "kind": {NUMS: "text", WORD: "text"}.get(kind, kind), "token": v.strip(), "pos": len(entries) + 1})
-
+    row, rule = Row(), RULES.get(spec.name)
     if spec.name in ("fasta", "uniuniq", "uniseq"):
         head, *rest = record.lstrip(">").split("\n")
-        name, _, title = head.partition(" ")
-        doc_id = re.split(r"[|]", name)[-1] or name
-        add(VALUE, "id", doc_id)
-        add(TEXT, "title" if spec.name == "fasta" else "text", title)
-        seqs.append(re.sub(r"[\s*]", "", "".join(rest)).upper())
+        name, _, row.title = head.partition(" ")
+        row.doc_id = re.split(r"[|]", name)[-1] or name
+        row.add(VALUE, "id", row.doc_id)
+        row.add(TEXT, "title" if spec.name == "fasta" else "text", row.title)
+        row.seqs.append(re.sub(r"[\s*]", "", "".join(rest)).upper())
     else:
         for code, value in _fields(spec, record):
+            if rule and rule(code, value, row):
+                continue
             if code == spec.sequence:
-                seqs.append(re.sub(r"[^A-Za-z]", "", value.partition("\n")[2] if "\n" in value else value).upper())
+                row.seqs.append(re.sub(r"[^A-Za-z]", "", value.partition("\n")[2] if "\n" in value else value).upper())
                 continue
-            if code == spec.id and doc_id is None and (m := re.search(spec.id_pattern, value)):
-                doc_id = m[1]
-                add(VALUE, "id", doc_id)
+            if code == spec.id and row.doc_id is None and (m := re.search(spec.id_pattern, value)):
+                row.doc_id = m[1]
+                row.add(VALUE, "id", row.doc_id)
                 if spec.columns:
                     continue
-            if code == spec.title and title is None:
-                title = re.sub(r"\s+", " ", value).strip()
+            if code == spec.title and row.title is None:
+                row.title = re.sub(r"\s+", " ", value).strip()
             kind, ix = spec.fields.get(code, spec.default or (None, None))
             if kind and code != spec.id:
-                add(kind, ix or re.sub(r"\W", "", code.lower()), value)
-    if doc_id is None and spec.id_record and (m := re.search(spec.id_record, record, re.M)):
-        doc_id = m[1]
-        add(VALUE, "id", doc_id)
-    if title:
-        meta["title"] = title
-    return {"doc_id": doc_id, "text": record, "meta": meta, "entries": entries, "seqs": [s for s in seqs if s]}
+                row.add(kind, ix or re.sub(r"\W", "", code.lower()), value)
+    if row.doc_id is None and spec.id_record and (m := re.search(spec.id_record, record, re.M)):
+        row.doc_id = m[1]
+        row.add(VALUE, "id", row.doc_id)
+    return {"doc_id": row.doc_id, "text": record, "meta": {"title": row.title} if row.title else {}, "entries": row.entries, "seqs": [s for s in row.seqs if s]}
 
 
 def parse(raw: DataFrame, spec: Format, column: str = "value") -> DataFrame:
@@ -165,10 +146,10 @@ FORMATS: dict[str, Format] = {
         Format("simple", line=r"^([^\t]+)\t(.*)$", title="TITLE"),
         Format("dbest", "||", _COLON, {"GenBank gi": (_n, "genbank_gi"), "GenBank Acc": (_n, "genbank_acc"), "Clone Id": (_t, "clone"), "Source": (_n, "source"), "Organism": (_t, "organism"), "Lib Name": (_n, "lib_name"), "dbEST lib id": (_n, "lib_id"), "DNA type": (_t, "dna_type"), "Map": (_n, "chr"), "GDB Id": (_n, "gdb"), "EST name": (_n, "source_est")}, (_t, "text"), "dbEST Id", title="EST name"),
         Format("dssp", "^==== ", _WIDE, {"REFERENCE": (_t, "ref")}, (_t, "text"), "HEADER", r"(\S+)\s*\.?\s*$", "COMPND"),
-        Format("embl", fields={"DE": (_t, "de"), "DT": (_d, "cd_date"), "PR": (_w, "pr"), "FT": (_t, "ft"), "RT": (_t, "ref"), "RA": (_t, "ref"), "RL": (_t, "ref"), "RN": (None, None), "XX": (None, None)}, sequence="SQ"),
+        Format("embl", fields={"DE": (_t, "de")}),
         Format("enzyme", fields={"DE": (_t, "de")}),
         Format("fasta", "^>"),
-        Format("genbank", line=_WIDE, fields={"REFERENCE": (_t, "reference"), "FEATURES": (_t, "features"), "ACCESSION": (_t, "accession"), "PROJECT": (_w, "project"), "GI": (_w, "gi")}, id="LOCUS", title="DEFINITION", sequence="ORIGIN"),
+        Format("genbank", line=r"^ {0,2}([A-Z][A-Z_]{1,11})(?:\s+(.*))?$", id="ACCESSION", title="DEFINITION", sequence="ORIGIN"),
         Format("gene", "^Entrezgene", _COLON, {"create-date": (_d, "created"), "update-date": (_d, "updated")}, (_t, "text"), "geneid", title="desc"),
         Format("go", r"^\[Term\]", r"^(\w+):\s*(.*)$", {"is_a": (_n, "is_a"), "name": (_n, "name"), "def": (_n, "def")}, (_n, None), "id", title="name"),
         Format("goa", columns=("db", "acc", "id", "qualifier", "goid", "db_reference", "evidence", "with", "aspect", "db_object_name", "synonym", "db_object_type", "taxon_id", "date", "assigned_by"), fields={"goid": (_w, "goid"), "date": (_d, "date"), "taxon_id": (_n, "taxon_id")}, id="id", title="db_object_name"),
@@ -178,20 +159,20 @@ FORMATS: dict[str, Format] = {
         Format("ligand", "///", _WIDE, {"NAME": (_t, "name")}, (_t, None), "ENTRY", title="NAME"),
         Format("locuslink", "^>>", r"^(\w+):\s*(.*)$", {}, (_t, None), "LOCUSID", title="OFFICIAL_GENE_NAME"),
         Format("mimmap", columns=("id", "month", "day", "year", "location", "symbol", "status", "title", "", "mim", "method", "comments"), separator="|", fields={"mim": (_w, "mim")}, id="id", title="title"),
-        Format("omim", r"^\*RECORD\*", r"^\*FIELD\*\s+(\w+)\s*(.*)$", {"CD": (_d, "cd_date"), "ED": (_d, "ed_date")}, (_t, None), "NO", r"(\d+)", "TI"),
+        Format("omim", r"^\*RECORD\*", r"^\*FIELD\*\s+(\w\w)\s*(.*)$", {}, (_t, None), "NO", r"(\d+)", None),
         Format("oxford", columns=("id", "llhid", "hsym", "loc", "acc", "llmid", "msym", "chr", "cm", "cb", "data"), fields={"llhid": (_t, "llhid"), "loc": (_n, "loc")}, default=(_n, None), id="id", title="hsym"),
-        Format("pdb", "^HEADER", r"^([A-Z]{3,6})\d*\s+(.*)$", {"TITLE": (_t, "title"), "COMPND": (_t, "compnd"), "JRNL": (_t, "ref"), "REMARK": (_t, "remark"), "ATOM": (None, None), "HETATM": (None, None)}, (_t, "text"), "HEADER", r"(\S{4})\s*$", "TITLE"),
+        Format("pdb", "^HEADER", r"^([A-Z]+\d?)(?:\s+(.*))?$", {}, None, "HEADER", title=None),
         Format("pdbfinder2", line=r"^\s*([\w-]+)\s*:\s*(.*)$", fields={"Date": (_d, "date"), "Resolution": (_m, "resolution"), "T-Nres-Prot": (_m, "tnresprot")}, title="Header"),
         Format("pfam", line=r"^#=GF (\w\w)\s+(.*)$", fields={"AC": (VALUE, "ac"), "SQ": (_m, "nseq"), "RT": (_t, "ref"), "RA": (_t, "ref"), "RL": (_t, "ref")}),
         Format("pmc", "^<article[ >]", r"^\s*<([\w-]+)[^>]*>(.*?)(?:</[\w-]+>)?$", {"article-title": (_t, "title"), "subject": (_t, "subject"), "abstract": (_t, "abstract"), "body": (_t, "body"), "aff": (_t, "aff")}, (_t, "text"), "article-id", r"(\S+)", "article-title"),
         Format("prints", "^gc; ", r"^(\w\w);\s*(.*)$", {}, (_t, None), "gc", title="gt"),
-        Format("prosite", fields={"PA": (_t, "pa")}, title="DE"),
+        Format("prosite", title="DE"),
         Format("prosite_doc", r"^\{PDOC", r"^\{(\w+?)(?:;\s*(.*))?\}$", {}, (_t, "text"), "PDOC", title=None, id_record=r"^\{(PDOC\d+)\}"),
-        Format("rebase", line=r"^(\w\w)   (.*)$", fields={"OS": (_n, "os"), "RN": (None, None), "RA": (_n, "ref"), "RL": (_n, "ref"), "CR": (_w, "com"), "RS": (_w, "target")}),
+        Format("rebase", line=r"^(\w\w)   (.*)$", fields={"OS": (_n, "os")}, title=None),
         Format("rebase_commdata", line=r"^(\w)\s+(.*)$", fields={"N": (_t, "com")}, id="N", title="N"),
-        Format("taxonomy", columns=("id", "parent", "rank", "embl_code", "division"), separator="\t|\t", fields={"parent": (_n, "parent")}, id="id", title=None),
+        Format("taxonomy", line=r"^(\S+(?:\s\S+)*)\s+:\s+(.+)$", id_pattern=r"^\s*(.*\S)", title=None),
         Format("unigene", line=r"^(\w+)\s+(.*)$", title="TITLE"),
-        Format("uniprot", fields={"DT": (_d, "dt"), "CC": (_n, "cc"), "DE": (_n, "de"), "OS": (_n, "os"), "RT": (_n, "ref"), "RA": (_n, "ref"), "RL": (_n, "ref"), "AC": (_n, "ac"), "GN": (_n, "gn"), "KW": (_n, "kw"), "DR": (_n, "dr"), "FT": (_n, "ft")}, default=(_n, None), sequence="SQ"),
+        Format("uniprot", default=(_n, None), sequence="SQ"),
         Format("uniseq", "^>"),
         Format("uniuniq", "^>"),
     )

@@ -13,9 +13,12 @@ DT   21-JUL-1986, integrated.
 DE   RecName: Full=Test protein 2;
 DE   AltName: Full=Other.
 OS   Homo sapiens (Human).
+RN   [1]
 CC   -!- FUNCTION: binds 3 things.
+CC   -----------------------------------------------------------------------
+CC   Copyrighted by the UniProt Consortium, see http://www.uniprot.org/terms
 KW   Kinase.
-SQ   SEQUENCE   12 AA;  1234 MW;  ABCDEF CRC64;
+SQ   SEQUENCE   12 AA;  1234 MW;  ABCDEF0123456789 CRC64;
      MKVLAAGIVA LS
 //
 ID   SECOND_MOUSE            Reviewed;           5 AA.
@@ -29,10 +32,10 @@ SAMPLES = {
     "simple": ("ID\tx1\nTITLE\tA title\nREF\tsome ref\n//\n", "x1", "A title", {"ref": "some ref"}, None),
     "dbest": ("dbEST Id: 33\nEST name: est33\nGenBank Acc: T00001\nOrganism: Homo sapiens\n||\n", "33", "est33", {"genbank_acc": "T00001", "organism": "Homo sapiens"}, None),
     "dssp": ("==== Secondary Structure ====\nREFERENCE W. KABSCH\nHEADER    HYDROLASE   01-JAN-90   1ABC .\nCOMPND    LYSOZYME\n", "1ABC", "LYSOZYME", {"ref": "W. KABSCH"}, None),
-    "embl": ("ID   X56734; SV 1; linear; mRNA.\nDT   12-SEP-1991 (created)\nDE   Trifolium repens mRNA\nFT   CDS 1..9\nSQ   Sequence 9 BP;\n     aaacccggg  9\n//\n", "X56734", "Trifolium repens mRNA", {"cd_date": "1991-09-12", "ft": "CDS 1..9"}, "AAACCCGGG"),
+    "embl": ("ID   X56734; SV 1; linear; mRNA; STD; PLN; 1859 BP.\nDT   12-SEP-1991 (Rel. 29, Created)\nDT   25-NOV-2005 (Rel. 85, Last updated, Version 11)\nPR   Project:17;\nDE   Trifolium repens mRNA\nRN   [1]\nRA   Oxtoby E.;\nFH   Key\nFT   CDS             1..9\nFT                   /gene=\"abc\"\nFT                   /translation=\"MKV\nFT                   LAA\"\nFT                   /note=\"two\nFT                   lines\"\nXX\nSQ   Sequence 9 BP;\n     aaacccggg  9\n//\n", "X56734", "Trifolium repens mRNA", {"sv": "1", "topology": "linear", "dc": "std", "td": "pln", "length": "1859", "cd_date": "1991-09-12", "up_date": "2005-11-25", "pr": "17", "ft": "abc two lines", "ref": "[1]", "fh": None, "sq": None}, None),
     "enzyme": ("ID   1.1.1.1\nDE   Alcohol dehydrogenase.\nCA   an alcohol.\n//\n", "1.1.1.1", "Alcohol dehydrogenase.", {"ca": "an alcohol."}, None),
     "fasta": (">sp|P1|ONE_X first protein\nMKVL\nAAG\n", "ONE_X", "first protein", {"title": "first protein"}, "MKVLAAG"),
-    "genbank": ("LOCUS       AB000001  9 bp\nDEFINITION  A clone\nACCESSION   AB000001\nFEATURES    source 1..9\nORIGIN\n        1 aaacccggg\n//\n", "AB000001", "A clone", {"accession": "AB000001"}, "AAACCCGGG"),
+    "genbank": ("LOCUS       AB1_LOCUS  4 aa  linear PLN 01-JAN-2000\nDEFINITION  A clone\nACCESSION   AB000001 AB000002\nVERSION     AB000001.1  GI:12345\nPROJECT     GenomeProject:77\nREFERENCE   1  (bases 1 to 9)\n  AUTHORS   Smith,J.\nFEATURES             Location/Qualifiers\n     CDS             1..9\n                     /codon_start=1\n                     /product=\"kinase\"\n                     /translation=\"MKVLA\"\nORIGIN\n        1 mkvl\n//\n", "AB000001", "A clone", {"accession": "AB000001 AB000002", "locus": "4 aa  linear PLN 01-JAN-2000", "gi": "12345", "project": "77", "features": "CDS             1..9\n/codon_start=1\n kinase", "reference": "1  (bases 1 to 9)"}, "MKVL"),
     "gene": ("Entrezgene\ngeneid: 17\ndesc: a gene\ncreate-date: 2001/02/03\n", "17", "a gene", {"created": "2001-02-03"}, None),
     "go": ("[Term]\nid: GO:0000001\nname: inheritance\nis_a: GO:0048308\n", "GO:0000001", "inheritance", {"is_a": "GO:0048308"}, None),
     "goa": ("UniProt\tP1\tID1\t\tGO:1\tref\tIEA\t\tF\tname one\tsyn\tprotein\ttaxon:9606\t20040102\tUP\n", "ID1", "name one", {"goid": "GO:1", "date": "2004-01-02", "taxon_id": "taxon:9606"}, None),
@@ -42,20 +45,20 @@ SAMPLES = {
     "ligand": ("ENTRY       C00001\nNAME        H2O\nFORMULA     H2O\n///\n", "C00001", "H2O", {"formula": "H2O"}, None),
     "locuslink": (">>1\nLOCUSID: 1\nOFFICIAL_GENE_NAME: alpha\nORGANISM: Homo\n", "1", "alpha", {"organism": "Homo"}, None),
     "mimmap": ("1.1|9|11|95|1p36|CCV|P|Cataract||115665|Fd|c\n", "1.1", "Cataract", {"mim": "115665", "symbol": "CCV"}, None),
-    "omim": ("*RECORD*\n*FIELD* NO\n100050\n*FIELD* TI\nAARSKOG\n*FIELD* TX\nsome text\n", "100050", "AARSKOG", {"TX".lower(): "some text"}, None),
+    "omim": ("*RECORD*\n*FIELD* NO\n100050\n*FIELD* TI\n#100050 AARSKOG SYNDROME; AAS\n;;OTHER\n*FIELD* TX\nsome text\n*FIELD* CD\nVictor McKusick: 6/4/1986\n", "100050", "aarskog syndrome", {"tx": "some text", "cd_date": "1986-06-04", "cd": "Victor McKusick: 6/4/1986"}, None),
     "oxford": ("H1\tL1\tSYM\t1p3\tACC\t5\tmSym\t2\t3.5\tq\tdata\n", "H1", "SYM", {"loc": "1p3", "llhid": "L1"}, None),
-    "pdb": ("HEADER    OXYGEN TRANSPORT        07-MAR-84   4HHB\nTITLE     HAEMOGLOBIN\nCOMPND    MOL_ID: 1\nATOM      1  N   VAL A   1\n", "4HHB", "HAEMOGLOBIN", {"compnd": "MOL_ID: 1"}, None),
+    "pdb": ("HEADER    OXYGEN TRANSPORT        07-MAR-84   4HHB\nTITLE     HAEMOGLOBIN\nCOMPND    MOL_ID: 1;\nCOMPND   2 MOLECULE: CHAIN A;\nAUTHOR    G.FERMI,M.F.PERUTZ\nREMARK   2 RESOLUTION.\nSEQRES   1 A    4  VAL LEU XYZ ALA\nSEQRES   1 B    3  GLY GLY SER\nATOM      1  N   VAL A   1\n", "4HHB", "chain a; (OXYGEN TRANSPORT ); haemoglobin", {"compnd": "MOL_ID: 1;\nMOLECULE: CHAIN A;", "text": "OXYGEN TRANSPORT", "ref": "G. FERMI,M. F. PERUTZ", "remark": "RESOLUTION."}, "VLXA"),
     "pdbfinder2": ("ID           : 1ABC\nHeader       : HYDROLASE\nDate         : 1990-01-02\nResolution   : 2 A\n//\n", "1ABC", "HYDROLASE", {"date": "1990-01-02", "resolution": "2"}, None),
     "pfam": ("#=GF ID   1-cys\n#=GF AC   PF10417\n#=GF DE   C-terminal\n#=GF SQ   55\n//\n", "1-cys", "C-terminal", {"ac": "PF10417", "nseq": "55"}, None),
     "pmc": ("<article>\n<article-id>123</article-id>\n<article-title>On X</article-title>\n<abstract>We show</abstract>\n", "123", "On X", {"abstract": "We show"}, None),
     "prints": ("gc; KRINGLE\ngt; Kringle domain\nga; x\n", "KRINGLE", "Kringle domain", {"ga": "x"}, None),
-    "prosite": ("ID   ASN_GLYCOSYLATION; PATTERN.\nDE   N-glycosylation site.\nPA   N-{P}.\n//\n", "ASN_GLYCOSYLATION", "N-glycosylation site.", {"pa": "N-{P}."}, None),
+    "prosite": ("ID   ASN_GLYCOSYLATION; PATTERN.\nAC   PS00001;\nDE   N-glycosylation site.\nPA   N-{P}.\n//\n", "ASN_GLYCOSYLATION", "N-glycosylation site.", {"type": "pattern", "ac": "PS00001;", "de": "N-glycosylation site.", "pa": None}, None),
     "prosite_doc": ("{PDOC00001}\n{PS00001; ASN}\n{BEGIN}\nsome words\n{END}\n", "PDOC00001", None, {}, None),
-    "rebase": ("ID   AaaI\nOS   Acetobacter 3\nRS   CGGCCG\nCR   N\n//\n", "AaaI", None, {"os": "Acetobacter 3", "target": "CGGCCG"}, None),
+    "rebase": ("ID   AaaI\nOS   Acetobacter 3\nRS   CGGCCG, 1; ACC, 2;\nCR   BN.\nRA   Smith 7\n//\n", "AaaI", "Acetobacter 3 target:CGGCCG, 1; ACC, 2;", {"os": "Acetobacter 3", "target": "cggccg", "targetlen": "6", "com": "b", "ref": "Smith 7"}, None),
     "rebase_commdata": ("N   New England Biolabs\n//\n", "New", "New England Biolabs", {}, None),
-    "taxonomy": ("9606\t|\t9605\t|\tspecies\t|\tHS\t|\t5\n", "9606", None, {"parent": "9605"}, None),
+    "taxonomy": ("ID                        : 9606\nPARENT ID                 : 9605\nRANK                      : species\nSCIENTIFIC NAME           : Homo sapiens\nCOMMON NAME               : man\n//\n", "9606", "Homo sapiens man", {"parent": "9605", "rank": "species", "scientific_name": "Homo sapiens", "text": "species"}, None),
     "unigene": ("ID          Hs.2\nTITLE       N-acetyltransferase\nGENE        NAT2\n//\n", "Hs.2", "N-acetyltransferase", {"gene": "NAT2"}, None),
-    "uniprot": (PROTEIN, "TEST_HUMAN", "RecName: Full=Test protein 2; AltName: Full=Other.", {"dt": "1986-07-21", "os": "Homo sapiens (Human)."}, "MKVLAAGIVALS"),
+    "uniprot": (PROTEIN, "TEST_HUMAN", "RecName: Full=Test protein 2; AltName: Full=Other.", {"dt": "1986-07-21", "os": "Homo sapiens (Human).", "length": "12", "mw": "1234", "crc64": "ABCDEF0123456789", "ref": "[1]", "cc": "-!- FUNCTION: binds 3 things."}, "MKVLAAGIVALS"),
     "uniseq": (">Hs#S1 clone words\nACGT\n", "Hs#S1", "clone words", {"text": "clone words"}, "ACGT"),
     "uniuniq": (">Hs#S2 other words\nACGT\n", "Hs#S2", "other words", {"text": "other words"}, "ACGT"),
 }
@@ -74,7 +77,7 @@ def test_formats(name):
         got.setdefault(e["ix"], e["token"])
     assert row["doc_id"] == doc_id and row["meta"].get("title") == title
     for ix, token in tokens.items():
-        assert got.get(ix) == token, got
+        assert got.get(ix) == token, (ix, got)
     assert (row["seqs"] or [None])[0] == seq
     assert got["id"] == doc_id
 
