@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import cached_property, reduce
 
@@ -120,13 +121,20 @@ class Collection:
         return self.docs.select("*", *[i.keys(self.stop).alias(f"k_{i.name}") for i in self.indices])
 
     def table(self, name: str) -> DataFrame:
-        if self.stored:
+        if self.stored and name not in self._tables:
             reader = self.spark.read.schema(ENTRIES) if name == "entries" else self.spark.read
             return reader.parquet(f"{self.stored}/{name}")
         if name not in self._tables:
-            self._tables[name] = getattr(self, f"_{name}")()
+            made = getattr(self, f"_{name}")()
+            # A ranked query reads the postings several times; without a stored collection each time would split all texts.
+            self._tables[name] = cut(made) if name == "all_text" else made
         return self._tables[name]
 
+    def prefetch_weights(self) -> DataFrame:
+        """The documents' norms, kept by the executors (on disk where memory is short) for the queries that follow; ``unpersist`` lets them go."""
+        self._tables["doc_weights"] = weights = (self.spark.read.parquet(f"{self.stored}/doc_weights") if self.stored else self._doc_weights()).persist()
+        return weights
+
     def tokens(self) -> DataFrame:
         """(doc_nr, ix, kind, key, pos): every indexed occurrence."""
         needed = list(dict.fromkeys(["doc_nr", *(i.column for i in self.indices)]))
@@ -184,11 +192,18 @@ class Collection:
         both = F.least(F.lit(TOP_WEIGHT), F.sum("w").over(key)).cast("int")
         return self.table("entries").withColumn("w", weight).withColumn("w_all", F.when(first, both)).drop("w")
 
-    def save(self, path: str) -> Collection:
+    def save(self, path: str, progress: Callable[[str, int, int], None] | None = None) -> Collection:
         """Writes all tables, entries by index and sorted by key, under a staging name, which takes the place of what was there when whole.
 
         Until then, and if that breaks off, the former collection stays: beside the new name, where ``open`` finds it. A collection may be saved in its own place.
+        ``progress`` is called with each table's name, how many tables are written, and how many there are.
         """
+        names = ("docs", "unsorted", "entries", "all_text", "lexicon", *(["sequences"] if self.sequences is not None else []), "info", "doc_weights")
+
+        def said(name: str) -> None:
+            if progress is not None:
+                progress(name, names.index(name) + 1, len(names))
+
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path
         root = at(path)
@@ -198,17 +213,25 @@ class Collection:
             fs.rename(at(former), root)
         fs.delete(at(stage), True)
         self.docs.write.parquet(f"{stage}/docs")
+        said("docs")
         # Texts are split up once; sorting samples its input first, and the weights are worked out here, where rows lie by document.
         self._weighted().write.parquet(f"{stage}/unsorted")
+        said("unsorted")
         rows = self.spark.read.parquet(f"{stage}/unsorted")
         rows.drop("w_all").repartitionByRange("ix", "key", "doc_nr").sortWithinPartitions("ix", "key", "doc_nr").write.partitionBy("ix").parquet(f"{stage}/entries")
+        said("entries")
         rows.where("w_all is not null").select("key", "doc_nr", F.col("w_all").alias("w")).repartitionByRange("key", "doc_nr").sortWithinPartitions("key", "doc_nr").write.parquet(f"{stage}/all_text")
+        said("all_text")
         rows.groupBy("ix", "key").agg(F.count("*").alias("df")).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{stage}/lexicon")
+        said("lexicon")
         if self.sequences is not None:
             self.sequences.write.parquet(f"{stage}/sequences")
+            said("sequences")
         self.spark.createDataFrame(self._info(), "kind string, value string").coalesce(1).write.parquet(f"{stage}/info")
+        said("info")
         half = Collection(self.spark.read.parquet(f"{stage}/docs"), self.indices, self.stop, self.name, self.meta, stage)
         half._doc_weights().write.parquet(f"{stage}/doc_weights")
+        said("doc_weights")
         fs.delete(at(f"{stage}/unsorted"), True)
         fs.delete(at(former), True)
         if fs.exists(root) and not fs.rename(root, at(former)) or not fs.rename(at(stage), root):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import ranked as R, spelling
 from ..operators.collection import Collection
-from ..sources.plugins import formatter
+from ..sources.plugins import formatter, parser
 from ..sources.store import Registry
 from . import language as L
 
@@ -33,6 +34,24 @@ class Service:
         each = [(c := self.registry.open(n)).statistics().select(F.lit(n).alias("db"), "n_docs", "raw_bytes", F.lit(len(c.indices)).alias("n_indices")) for n in names]
         return reduce(lambda a, b: a.union(b), each)
 
+    def status(self) -> DataFrame:
+        """(db, stored, built_at, searched_with_all) of every collection; built_at: when its info was written, null if it is not stored."""
+        rows = []
+        for n in self.registry.names():
+            c, built = self.registry.open(n), None
+            if c.stored:
+                at = c.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{c.stored}/info")
+                built = at.getFileSystem(c.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime() / 1000
+            rows.append((n, c.stored, built, n not in self.registry.left_out()))
+        spark = self.registry.open(rows[0][0]).spark
+        return spark.createDataFrame(rows, "db string, stored string, built double, searched_with_all boolean").select("db", "stored", F.col("built").cast("timestamp").alias("built_at"), "searched_with_all")
+
+    @staticmethod
+    def parser_text(name: str) -> str:
+        """What is declared of a record format, or the source of a parser of one's own."""
+        p = parser(name)
+        return repr(p.format) if p.format is not None else inspect.getsource(type(p))
+
     def indices(self, db: str) -> DataFrame:
         """(ix, kind, name, n_keys, n_postings) of every index; ``name`` is its display name."""
         c = self.registry.open(db)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,13 +105,10 @@ def formatter(name: str = "default") -> Formatter:
     return FORMATTERS.get(name, FORMATTERS["default"])
 
 
-#: What reads each file by its extension; Spark's text reader does all of these by itself.
-CODECS = {".gz": "gzip", ".bz2": "bzip2", ".deflate": "deflate", ".zst": "zstd", ".lz4": "lz4", ".snappy": "snappy"}
+#: What reads each file by its extension. Spark's text reader does all but the last by itself; that one is read by ``compress.read_lines``.
+CODECS = {".gz": "gzip", ".bz2": "bzip2", ".deflate": "deflate", ".zst": "zstd", ".lz4": "lz4", ".snappy": "snappy", ".Z": "compress"}
 
 
 def codec(path: str) -> str | None:
-    """The codec of a file by its extension; None for plain text. Unix compress (.Z) is refused."""
-    ext = os.path.splitext(path)[1]
-    if re.fullmatch(r"\.Z", ext):
-        raise ValueError(f"{path}: unix compress is not supported; recompress it with gzip")
-    return CODECS.get(ext)
+    """The codec of a file by its extension; None for plain text."""
+    return CODECS.get(os.path.splitext(path)[1])

@@ -36,6 +36,10 @@ class Registry:
     def all(self) -> list[Collection]:
         return [c for n, c in self._own.items() if n not in self._ignored]
 
+    def left_out(self) -> set[str]:
+        """Names that a search over all leaves out."""
+        return set(self._ignored)
+
     def names(self) -> list[str]:
         return list(self._own)
 

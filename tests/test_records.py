@@ -112,8 +112,7 @@ def test_reading(spark, tmp_path):
     assert sorted(r["value"].strip() for r in records.read_records(spark, str(tmp_path / "x1.txt")).collect()) == ["a", "b\nc"]
     assert {r["value"] for r in records.read_lines(spark, str(tmp_path), name_regex="^y").collect()} == {"no"}
     assert plugins.codec("a.gz") == "gzip" and plugins.codec("a.txt") is None
-    with pytest.raises(ValueError):
-        plugins.codec("a.Z")
+    assert plugins.codec("a.Z") == "compress"
 
 
 def test_dates():
@@ -148,3 +147,61 @@ def test_xml(spark):
     df = spark.createDataFrame([("<a><b>x</b><b> y <c>z</c></b></a>",), ("<a/>",)], "xml string")
     got = xml.by_xpath(df, "xml", {"b": "/a/b/text()", "c": "//c/text()"}).select("b", "c", xml.all_text("xml").alias("t")).collect()
     assert [(r["b"].split(), r["c"], r["t"]) for r in got] == [(["x", "y"], "z", "x y z"), ([], "", "")]
+
+
+def squeeze(data: bytes, most: int = 16) -> bytes:
+    """A compressor as the format defines it, with a clear code when the table is full."""
+    codes, width, bits, n, begun = {bytes([i]): i for i in range(256)}, 9, 0, 0, 0
+    size, word = 257, b""
+
+    def put(code):
+        nonlocal bits, n
+        bits |= code << n
+        n += width
+
+    def align():
+        nonlocal n, begun
+        n = begun + -(-(n - begun) // (8 * width)) * 8 * width
+        begun = n
+
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if word + c in codes:
+            word += c
+            continue
+        put(codes[word])
+        if size < 1 << most:
+            codes[word + c] = size
+            size += 1
+            if size > 1 << width and width < most:
+                align()
+                width += 1
+        else:
+            put(256)
+            align()
+            codes, width, size = {bytes([i]): i for i in range(256)}, 9, 257
+        word = c
+    if word:
+        put(codes[word])
+    return b"\x1f\x9d" + bytes([128 | most]) + bits.to_bytes((n + 7) // 8, "little")
+
+
+def test_compress_files(spark, tmp_path):
+    import random
+    import shutil
+    import subprocess
+
+    from corvidex.sources import compress
+
+    rng = random.Random(2)
+    for most in (10, 12, 16):
+        for text in (b"", b"a", b"aaaaaaaaaaaaaaaaaaa", b"abababab" * 99, bytes(rng.randrange(256) for _ in range(9000)), " ".join(rng.choice(["foo", "bar", "baz"]) for _ in range(30000)).encode()):
+            packed = squeeze(text, most)
+            assert compress.expand(packed) == text, (most, text[:20])
+            if shutil.which("gzip"):  # which reads these files, too
+                assert subprocess.run(["gzip", "-dc"], input=packed, capture_output=True).stdout == text
+    (tmp_path / "a.Z").write_bytes(squeeze("one\nzwei é\n".encode()))
+    (tmp_path / "b.txt").write_text("not this")
+    assert sorted(r["value"] for r in compress.read_lines(spark, str(tmp_path)).collect()) == ["one", "zwei é"]
+    with pytest.raises(ValueError):
+        compress.expand(b"plain")

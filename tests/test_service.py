@@ -103,3 +103,9 @@ def test_stream_of_updates(spark, tmp_path):
     assert more("1.txt", ("a", "one"), ("b", "two")).where("is_valid").count() == 2
     rows = more("2.txt", ("a", "three")).collect()
     assert {(r["doc_id"], r["entries"][1]["token"], r["is_valid"]) for r in rows} == {("a", "one", False), ("b", "two", True), ("a", "three", True)}
+
+
+def test_administration(service):
+    rows = {r["db"]: r for r in service.status().collect()}
+    assert set(rows) == set(service.registry.names()) and all((r["stored"] is None) == (r["built_at"] is None) for r in rows.values())
+    assert "uniprot" in service.parser_text("uniprot")
