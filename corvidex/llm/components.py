@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Nothing but counts reaches the driver. Each step is a partial aggregation and
-equi-joins, which Spark splits where one hub has most links, and is cut by a
-reliable checkpoint.
+equi-joins, and is cut by a reliable checkpoint. Where one hub has most links, AQE
+splits its partition of a join; it does so only if both sides come straight from
+a shuffle, so they are joined by another key than the one they are aggregated by.
 
 Cases: no links give an empty table; loops, repeated links and either direction
 of a link are alike; links with a null end are dropped.
@@ -15,16 +16,22 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import cut
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the m of their u."""
+    other = least.select(F.bitwise_not("u").alias("_k"), "m")
+    return edges.withColumn("_k", F.bitwise_not("u")).join(other, "_k").drop("_k")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
