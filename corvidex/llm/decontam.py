@@ -6,7 +6,7 @@ seed. Test and training seeds are joined; around each hit the whole test item is
 laid over the document, and the words that agree are counted. An item overlaps a
 document if, at some hit, at least ``SIMILAR`` of some ``WINDOW`` neighbouring words
 of it agree (of all its words, if it has fewer): up to a fifth may be substituted,
-and a passage taken from a long item is found too. The three masks find every such overlap: in 10 to 20 words no
+and a passage taken from a long item is found too; so is one of ``RUN`` words or more that is quoted without a change. The three masks find every such overlap: in 10 to 20 words no
 placement of the substitutions breaks all masks everywhere. Items under 10 words are sought by runs: the whole item
 below five words, else its two halves, one of which is free of substitutions.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 MASKS = ((0, 1, 2, 4), (0, 1, 4, 6), (0, 2, 5, 6))
-SHORT, SIMILAR, WINDOW = 10, 0.8, 20
+SHORT, SIMILAR, WINDOW, RUN = 10, 0.8, 20, 13
 #: Words of 64 bits in the bitmap, at least and at most.
 BITMAPS = 1 << 16, 1 << 20
 #: Bytes of test seeds, or of items, up to which they are broadcast; and salts beyond it.
@@ -89,10 +89,10 @@ def _marked(seed: Column, bits: Column, size: int) -> Column:
     return F.coalesce(tests[0] & tests[1], F.lit(False))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast: int = BROADCAST, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, n_words, n_equal, n_window): the best overlap of each document and test item that has enough equal words.
+def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast: int = BROADCAST, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """(doc_id, item_id, n_words, n_equal, n_window, n_run): the best overlap of each document and test item that has enough equal words.
 
-    Under the best alignment ``n_equal`` of the item's ``n_words`` words agree, and at most ``n_window`` of min(n_words, window) neighbouring ones.
+    Under the best alignment ``n_equal`` of the item's ``n_words`` words agree, at most ``n_window`` of min(n_words, window) neighbouring ones, and ``n_run`` in a row.
     """
     items = benchmark.select(F.col(item).alias("item_id"), hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct()
     items = items.withColumn("n", F.size("words")).withColumn("item", F.xxhash64("item_id", "words"))
@@ -103,7 +103,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, ke
     least, most = BITMAPS
     if not known:
         n = F.col("n")
-        return items.select(F.lit(None).cast(docs.schema[key].dataType).alias("doc_id"), "item_id", n.alias("n_words"), n.alias("n_equal"), n.alias("n_window")).where(F.lit(False))
+        return items.select(F.lit(None).cast(docs.schema[key].dataType).alias("doc_id"), "item_id", n.alias("n_words"), n.alias("n_equal"), n.alias("n_window"), n.alias("n_run")).where(F.lit(False))
     slots = max(least, min(most, 1 << (known * 16 // 64).bit_length()))
     bits = _bitmap(seeds, slots)
     h, at = F.col("h"), F.col("pos")
@@ -135,12 +135,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, ke
     width = F.least(F.col("n"), F.lit(window))
     count = lambda some: F.size(F.filter(some, lambda e: e))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda i: count(F.slice("equal", i, width))))
-    laid = joined.select("doc_id", "item_id", "n", equal.alias("equal")).select("doc_id", "item_id", "n", count(F.col("equal")).alias("n_equal"), best.alias("n_window"))
+    signs = F.array_join(F.transform("equal", lambda e: F.when(e, "=").otherwise(" ")), "")
+    in_a_row = F.array_max(F.transform(F.split(signs, " +"), F.length))
+    laid = joined.select("doc_id", "item_id", "n", equal.alias("equal")).select("doc_id", "item_id", "n", count(F.col("equal")).alias("n_equal"), best.alias("n_window"), in_a_row.alias("n_run"))
     return (
-        laid.where(F.col("n_window") >= F.ceil(width * F.lit(similar) - 1e-9))
+        laid.where((F.col("n_window") >= F.ceil(width * F.lit(similar) - 1e-9)) | (F.col("n_run") >= run))
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct(F.col("n_window") / width, F.col("n_equal") / F.col("n"), "n_equal", "n", "n_window")).alias("best"))
-        .select("doc_id", "item_id", F.col("best.n").alias("n_words"), F.col("best.n_equal").alias("n_equal"), F.col("best.n_window").alias("n_window"))
+        .agg(F.max(F.struct(F.col("n_window") / width, F.col("n_equal") / F.col("n"), "n_equal", "n", "n_window", "n_run")).alias("best"))
+        .select("doc_id", "item_id", F.col("best.n").alias("n_words"), *[F.col(f"best.{c}").alias(c) for c in ("n_equal", "n_window", "n_run")])
     )
 
 

@@ -47,12 +47,13 @@ item_seeds AS (
 ), compared AS (
   SELECT doc_id, item_id, n, least(n, 20) AS width, list_transform(range(n), lambda j: CASE WHEN j + shift >= 0 AND dw[j + shift + 1] = iw[j + 1] THEN 1 ELSE 0 END) AS same FROM laid
 ), counted AS (
-  SELECT doc_id, item_id, n, width, list_sum(same) AS n_equal, list_max(list_transform(range(n - width + 1), lambda i: list_sum(same[i + 1 : i + width]))) AS n_window FROM compared
+  SELECT doc_id, item_id, n, width, list_sum(same) AS n_equal, list_max(list_transform(range(n - width + 1), lambda i: list_sum(same[i + 1 : i + width]))) AS n_window,
+    list_max(list_transform(string_split(array_to_string(same, ''), '0'), lambda r: len(r))) AS n_run FROM compared
 ), best AS (
-  SELECT * FROM counted WHERE n_window >= ceil(0.8 * width - 1e-9)
-  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_window / width DESC, n_equal / n DESC, n_equal DESC, n DESC) = 1
+  SELECT * FROM counted WHERE n_window >= ceil(0.8 * width - 1e-9) OR n_run >= 13
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_window / width DESC, n_equal / n DESC, n_equal DESC, n DESC, n_run DESC) = 1
 )
-SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(n_equal AS INTEGER) AS n_equal, CAST(n_window AS INTEGER) AS n_window FROM best
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(n_equal AS INTEGER) AS n_equal, CAST(n_window AS INTEGER) AS n_window, CAST(n_run AS INTEGER) AS n_run FROM best
 """
 
 

@@ -21,7 +21,8 @@ def brute(docs, items, similar=0.8, window=20):
             for s in range(-len(v), len(w)):
                 same = [0 <= j + s < len(w) and w[j + s] == x for j, x in enumerate(v)]
                 most = max((sum(same[k : k + width]) for k in range(len(v) - width + 1)), default=0)
-                if v and most >= math.ceil(width * similar - 1e-9):
+                run = max(map(len, "".join(" ="[x] for x in same).split()), default=0)
+                if v and (most >= math.ceil(width * similar - 1e-9) or run >= 13):
                     out[d, i] = max(out.get((d, i), (0, 0, 0)), (most, sum(same), len(v)))
     return {(*k, n, equal, most) for k, (most, equal, n) in out.items()}
 
@@ -54,6 +55,14 @@ def test_against_brute_force(spark):
     assert result(D.overlaps(a, b, broadcast=0)) == want
 
 
+def test_short_quotations_of_long_items(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    quote = lambda a, n: "before " + " ".join(f"w{i}" for i in range(a, a + n)) + " after"
+    docs = [(k, quote(k, 13)) for k in range(28)] + [(100 + k, quote(k, 12)) for k in range(28)]
+    got = D.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, item)], ITEMS)).collect()
+    assert {(r["doc_id"], r["n_run"]) for r in got} == {(k, 13) for k in range(28)}
+
+
 def test_masks_find_every_overlap_of_10_to_20_words():
     for n in range(10, 21):
         for gone in itertools.combinations(range(n), n // 5):
