@@ -125,11 +125,14 @@ class Collection:
             reader = self.spark.read.schema(ENTRIES) if name == "entries" else self.spark.read
             return reader.parquet(f"{self.stored}/{name}")
         if name not in self._tables:
-            made = getattr(self, f"_{name}")()
-            # A ranked query reads the postings several times; without a stored collection each time would split all texts.
-            self._tables[name] = cut(made) if name == "all_text" else made
+            self._tables[name] = getattr(self, f"_{name}")()
         return self._tables[name]
 
+    def settle(self) -> None:
+        """For what reads the postings several times: without a stored collection they are written once, or each time would split all texts."""
+        if not self.stored and "settled" not in self._tables:
+            self._tables["settled"] = self._tables["all_text"] = cut(self._all_text())
+
     def prefetch_weights(self) -> DataFrame:
         """The documents' norms, kept by the executors (on disk where memory is short) for the queries that follow; ``unpersist`` lets them go."""
         self._tables["doc_weights"] = weights = (self.spark.read.parquet(f"{self.stored}/doc_weights") if self.stored else self._doc_weights()).persist()

@@ -92,6 +92,7 @@ class Ranked:
             raise ValueError(f"unknown algorithm {algorithm!r}")
         terms = self.weighted()
         small = self._terms is None and len(self.counts) <= MOST_TERMS
+        self.c.settle()
         postings = self.c.table("all_text")
         if small and len(self.counts) <= MOST_PUSHED:  # reaches the scan, whose row groups are sorted by key
             postings = postings.where(F.col("key").isin(*query_weights(self.counts)))
