@@ -34,13 +34,15 @@ WITH words AS (
 ), items AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
 ), masks(k, a, b, c) AS (VALUES (0, 1, 2, 4), (1, 1, 4, 6), (2, 2, 5, 6)),
-long_items AS (SELECT item_id, w, len(w) AS n FROM items WHERE len(w) >= 10),
+sized AS (SELECT item_id, w, len(w) AS n FROM items WHERE len(w) > 0),
 item_seeds AS (
   SELECT item_id, w, n, pos, k, w[pos + 1] || ' ' || w[pos + 1 + a] || ' ' || w[pos + 1 + b] || ' ' || w[pos + 1 + c] AS seed
-  FROM (SELECT *, unnest(range(n)) AS pos FROM long_items), masks WHERE pos + c < n
+  FROM (SELECT *, unnest(range(n)) AS pos FROM sized WHERE n >= 10), masks WHERE pos + c < n
+  UNION ALL SELECT item_id, w, n, pos, 9, w[pos + 1] FROM (SELECT *, unnest(range(n)) AS pos FROM sized WHERE n < 10) -- of short items every word
 ), doc_seeds AS (
   SELECT doc_id, w, pos, k, w[pos + 1] || ' ' || w[pos + 1 + a] || ' ' || w[pos + 1 + b] || ' ' || w[pos + 1 + c] AS seed
   FROM (SELECT *, unnest(range(len(w))) AS pos FROM words), masks WHERE pos + c < len(w)
+  UNION ALL SELECT doc_id, w, pos, 9, w[pos + 1] FROM (SELECT *, unnest(range(len(w))) AS pos FROM words) WHERE EXISTS (FROM sized WHERE n < 10)
 ), laid AS (
   SELECT DISTINCT d.doc_id, i.item_id, i.n, d.pos - i.pos AS shift, d.w AS dw, i.w AS iw
   FROM doc_seeds d JOIN item_seeds i ON d.k = i.k AND d.seed = i.seed

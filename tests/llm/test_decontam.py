@@ -96,3 +96,21 @@ def test_no_python_in_the_plan(spark, capsys):
     docs, items = made()
     D.remove(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_sql_agrees_on_short_items_and_odd_rows(spark):
+    import duckdb
+    import pandas as pd
+
+    from corvidex.llm.queries import OP2_SQL
+
+    docs, items = made(3)
+    docs = [*docs, (1000, None), (1001, ""), *docs[-3:]]
+    items = [*items, (1000, None), (1001, "?")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    names = "doc_id, item_id, n_words, n_equal, n_window, n_run"
+    got = D.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS))
+    want = con.sql(f"SELECT {names} FROM ({OP2_SQL})").fetchall()
+    assert sorted(tuple(r) for r in got.select(*names.split(", ")).collect()) == sorted(want) and any(r[2] < 10 for r in want)
