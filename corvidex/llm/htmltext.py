@@ -7,8 +7,8 @@ falls to nothing. The lines between are kept. Elements that by their name,
 class, id or role are menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or reader comments never become lines. Links count as text where
 the page marks its article (article, main, or an element so called). If the peak lies in one, or they hold half of the text,
-surge and dive move out to the borders of every such element that they touch, and of those
-beside it in the same main, so that short first and last blocks stay; text outside of such elements goes.
+surge and dive move out to the borders of every such element that they touch, and of the articles
+beside it in the same main (what else lies there stays between surge and dive, and its links do not count), so that short first and last blocks stay; text outside of such elements goes.
 Between surge and dive every line stays, also one that is nothing but a link.
 
 Cases: a null or empty page, or one without text, gives an empty text; unclosed,
@@ -72,7 +72,7 @@ def _called(attrs: str) -> tuple[bool, bool, bool]:
 
 
 def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, characters that count, article it lies in or 0, main it lies in or 0) of every line that is no boilerplate, in page order.
+    """(text, characters outside links, article it lies in or 0, main it lies in or 0) of every line that is no boilerplate, in page order.
 
     A wrapper that only its name makes boilerplate is none if it holds nearly all of the page's text and no article lies outside of it.
     """
@@ -100,7 +100,7 @@ def _lines(page: str, held: Counter[int], opened: frozenset[int]) -> list[tuple[
             line = " ".join(_html.unescape("".join(text)).split())
             if line:
                 article, main = (stack[-1][2], stack[-1][4]) if stack else (0, 0)
-                out.append((line, len(line) if article else max(0, len(line) - linked), article, main))
+                out.append((line, max(0, len(line) - linked), article, main))
             text.clear()
         linked = 0
 
@@ -181,7 +181,8 @@ def extract(page: str | None) -> str:
     rows = lines(page)
     if not rows:
         return ""
-    size = [r[1] for r in rows]
+    split = {r[3] for r in rows if r[3] and r[2] != r[3]}  # mains that hold articles: links beside those are no text
+    size = [len(r[0]) if r[2] and not (r[2] == r[3] and r[3] in split) else r[1] for r in rows]
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     top = max(sums)
     if not top:
@@ -207,7 +208,7 @@ def extract(page: str | None) -> str:
         whole = {a for a, n in held.items() if n >= least} | {rows[peak][2]}
         mains = {r[3] for r in rows if r[2] in whole} - {0}
         own = set(kept)
-        kept = [i for i, r in enumerate(rows) if r[2] and (r[2] in whole or r[3] in mains or i in own)]
+        kept = [i for i, r in enumerate(rows) if r[2] and (r[2] in whole or r[2] != r[3] and r[3] in mains or i in own)]
     return "\n\n".join(rows[i][0] for i in kept)
 
 

@@ -100,6 +100,8 @@ def test_wrappers_of_the_text(page, want):
         (f"<main><article><p>{LONG}</p></article><div class=ad>buy</div><article><p><a>1</a></p><p><a>2</a></p><p><a>3</a></p><p>end</p></article></main><p>{LONG}</p>", [LONG, "1", "2", "3", "end"]),
         ("<nav><a>m</a></nav><article><ul><li><a>one</a></li><li><a>two</a></li></ul></article><footer>f</footer>", ["one", "two"]),
         ("<ul><li><a>one</a></li></ul>", []),
+        ("<main><ul><li><a>one</a></li><li><a>two</a></li></ul></main>", ["one", "two"]),
+        (f"<main><p>lead</p><article><p>{LONG}</p></article><ul>{'<li><a>other</a></li>' * 5}</ul><article><p>more</p></article></main>", ["lead", LONG, "more"]),
     ],
 )
 def test_nothing_else_is_dropped(page, want):
