@@ -67,6 +67,25 @@ def test_groups_against_brute_force(spark):
         assert sorted(r["doc_id"] for r in N.keep_one(df, most=most).collect()) == want
 
 
+def test_a_large_bucket_costs_no_square(spark):
+    n, most = 2048, 64
+    sets = spark.range(n).selectExpr("xxhash64(id) AS fp", "array(7L) AS bands")
+    got = N.blocks(sets, most).cache()
+    assert got.count() <= 4 * n
+    large = got.where("large").select("block", "fp")
+    one = sets.selectExpr("fp AS node", "-1L AS root")
+    assert N.rest(large, one, most).count() == 0  # all are linked already
+    apart = N.rest(large, one.limit(n - 20), most)  # 20 sets are held against all others, no others among themselves
+    assert apart.where("mine").select("fp").distinct().count() == 20
+    met = {}
+    for r in apart.collect():
+        met.setdefault(r["block"], [set(), set()])[0].add(r["fp"])
+        if r["mine"]:
+            met[r["block"]][1].add(r["fp"])
+    assert len({(i, j) for every, mine in met.values() for i in mine for j in every}) == 20 * n
+    assert apart.count() <= 3 * n
+
+
 def test_links_of_sets():
     sets = [N.shingles(t) for _, t in near_copies(40, seed=3)]
     label = N.alike(sets)
