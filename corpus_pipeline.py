@@ -32,7 +32,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group that five-word shingles link at a similarity of 0.8 or more.
 
-    Operator 6's own fingerprints, three bits apart at most, find a tenth of such pairs only, so candidates come from min-hashes.
+    Candidates are what operator 6's covering masks bring together, with fingerprints over these shingles. Most similar
+    pairs differ in more than its three bits, so min-hashes give the other candidates; all are compared exactly.
     """
     return neardup.keep_one(docs)
 

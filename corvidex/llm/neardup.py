@@ -1,7 +1,10 @@
 """Near-duplicate documents by the Jaccard similarity of their five-word shingles.
 
 Two texts are linked if their sets of shingles have a similarity of 0.8 or more;
-one document of each linked group stays. Candidates come from min-hashes: 40 bands
+one document of each linked group stays. Candidates come from operator 6's
+fingerprints and covering masks, here over the sets: every pair that differs in three bits at most
+shares the key of some mask. Most similar pairs differ in more bits (at 0.8 in about ten), so
+min-hashes give the rest: 40 bands
 of five, so a pair of similarity 0.8 shares a band but for 1.3e-7, and a more
 similar pair still more surely. Every candidate is then held against the sets
 themselves, so nothing below 0.8 is linked.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import bounded_batches, cut
 from .components import components
-from .simhash import SEED, spanning
+from .simhash import SEED, masks, spanning
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
@@ -45,6 +48,7 @@ BITS = 64 << 20
 FEW_IDS = 100_000
 
 _RANDOM = np.random.default_rng(SEED)
+_MASKS = np.array(masks(list(range(64))), np.uint64)
 _FLIP = _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -83,6 +87,27 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, the bits that over half of its hashes have."""
+    size = np.array([len(s) for s in sets])
+    bits = np.unpackbits(np.concatenate(sets).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def covers(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, a key for each mask; two sets whose fingerprints differ in three bits at most share one."""
+    key = (fingerprints(sets)[:, None] & _MASKS) ^ (np.arange(1, len(_MASKS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for _ in range(2):  # bits of the fingerprint alone would be dealt out unevenly, and could be a band's key
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ (key >> np.uint64(32))
+
+
+def candidates(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, the keys of its bands and masks; sets that share any are compared."""
+    return np.concatenate((bands(sets), covers(sets)), axis=1)
+
+
 def nearness(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
     """A function that tells which of the sets are linked to the set of an index, itself included."""
     n, (up, down) = len(sets), ALIKE
@@ -156,23 +181,24 @@ def across(sets: list[np.ndarray], root: np.ndarray, mine: np.ndarray) -> tuple[
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, fp, bands) for every row: a hash of its text, one of its set, and the set's keys."""
+    """(key, h, fp, bands) for every row: a hash of its text, one of its set, and the set's keys, of bands and then of masks."""
     bounded_batches(docs.sparkSession)
+    each = BANDS + len(_MASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys, held, n = [], [np.empty((0, BANDS), np.uint64)], [], 0
+            fps, keys, held, n = [], [np.empty((0, each), np.uint64)], [], 0
             for x in b.column(2).to_pylist():
                 held.append(shingles(x))
                 fps.append(digest(held[-1]))
                 n += len(held[-1])
                 if n > 1 << 17:
-                    keys.append(bands(held))
+                    keys.append(candidates(held))
                     held, n = [], 0
             if held:
-                keys.append(bands(held))
+                keys.append(candidates(held))
             flat = np.concatenate(keys).view(np.int64).ravel()
-            several = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+            several = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, each, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), several], [key, "h", "fp", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -202,7 +228,7 @@ def _bordered(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
 
 
 def blocks(sets: DataFrame, most: int = MOST) -> DataFrame:
-    """(block, fp, large): the sets that share a band, in a block of ``most`` sets at most.
+    """(block, fp, large): the sets that share a key, in a block of ``most`` sets at most.
 
     Of a larger bucket the blocks are its parts, and all of its sets are given once more under its key, as ``large``.
     """

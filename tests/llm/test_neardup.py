@@ -107,6 +107,26 @@ def test_bands_meet_at_the_least_similarity():
     assert shared.min() > 0 and abs(shared.mean() / N.BANDS - 0.8**N.ROWS) < 0.01
 
 
+def test_masks_bring_near_fingerprints_together(spark):
+    texts = [" ".join([f"word{i}" for i in range(400)][:k] + [f"new{j}"]) for j, k in enumerate((400, 399, 398, 396, 380, 300, 200))] + ["", "one two", "x " * 9]
+    sets = [N.shingles(t) for t in texts]
+    fps = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    assert N.fingerprints(sets).tolist() == fps
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS]
+    assert near
+    got = N.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    keys = {r["doc_id"]: r["bands"][N.BANDS :] for r in got.collect()}
+    assert {len(k) for k in keys.values()} == {15}
+    for i, j in near:
+        assert any(a == b for a, b in zip(keys[i], keys[j]))
+    r = random.Random(5)
+    for _ in range(200):  # every mask is there, as the operator has them
+        a = r.getrandbits(64)
+        one = a ^ sum(1 << b for b in r.sample(range(64), simhash.RADIUS))
+        x, y = (N.covers([np.array([v], np.uint64)])[0] for v in (a, one))
+        assert (x == y).any() and (x != y).any()
+
+
 def test_odd_rows(spark):
     base = " ".join(f"word{i}" for i in range(200))
     rows = [(5, base), (3, base), (3, base), (9, base + " more"), (None, base), (20, None), (21, "  "), (30, "quite another text"), (30, "unlike the other"), (40, "x " * 50000), (41, "X " * 50000)]
