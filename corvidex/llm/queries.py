@@ -87,7 +87,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
-RULES = [urlfilter.Rule.of(v, t) for v, t in (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
+RULES = [urlfilter.Rule.of(v, t) for v, t in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,16 @@ def test_rules_are_those_asked_for():
     assert [(r.verdict, r.text) for r in RULES] == [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def test_rules_of_the_contract(spark):
+    """Each rule of op7's contract decides a URL of its own, with the contract's word; the longer of two wins."""
+    want = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://a.net/de/x": ("net/de/", "allow"),
+        "http://net/de/": ("net/de/", "allow"), "http://x.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://a.org/es/x": ("org/es/", "block"),
+    }
+    got = U.verdicts(spark.createDataFrame(list(enumerate(want)), SCHEMA), RULES).collect()
+    assert {list(want)[r["page_id"]]: (r["rule"], r["verdict"]) for r in got} == want
+
+
 def test_rules_against_brute_force(spark):
     rows = list(enumerate(URLS)) + [(0, URLS[0])]
     got = U.verdicts(spark.createDataFrame(rows, SCHEMA), RULES).collect()
