@@ -32,6 +32,11 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in as many partitions as a shuffle has, for costly work on short rows: a file of short rows is one task, whatever it takes."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def documents(spark: SparkSession, d: str) -> C.Collection:
     return C.Collection.of(_table(spark, d, "documents"), "doc_id", SPECS, name="documents", meta=("source", "lang"))
 
@@ -515,7 +520,7 @@ e AS (SELECT p_partkey, i, -sum(p * log2(p)) AS h FROM c GROUP BY p_partkey, i)
 )
 query("sequence_fetch", "SELECT p_partkey AS doc_nr, 60 + p_partkey % 50 AS n FROM part")(lambda s, d: _proteins(s, d).select("doc_nr", F.length("seq").cast("bigint").alias("n")))
 query("seg_mask")(lambda s, d: _proteins(s, d).select("doc_nr", S.seg(F.col("seq")).alias("masked")))
-query("dust_mask")(lambda s, d: _table(s, d, "part").select("p_partkey", S.dust(F.concat(F.expr("translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTACG')"), F.lit("A" * 50))).alias("masked")))
+query("dust_mask")(lambda s, d: _spread(_table(s, d, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", S.dust(F.concat(F.expr("translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTACG')"), F.lit("A" * 50))).alias("masked")))
 query("blast_top")(lambda s, d: S.blast(_proteins(s, d), _proteins(s, d).where("doc_nr = 7").first()["seq"], S.Parameters()))
 query("blast_xml")(lambda s, d: S.report_xml(S.blast(_proteins(s, d), _proteins(s, d).where("doc_nr = 7").first()["seq"], S.Parameters())))
 query("blast_restricted")(lambda s, d: S.blast(_proteins(s, d), _proteins(s, d).where("doc_nr = 7").first()["seq"], S.Parameters(), _proteins(s, d).where("doc_nr % 2 = 1")))

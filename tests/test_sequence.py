@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,16 @@ def test_the_limit_counts_hits(spark, query):
     assert [r["doc_nr"] for r in two] == sorted(r["doc_nr"] for r in two)
 
 
+def test_dust_is_spread_and_works_out_a_sequence_once(spark):
+    """One file of short rows was one task, and each row was masked by itself."""
+    import __spark_entry__ as entry
+
+    assert entry.queries()["dust_mask"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+    asked = []
+    got = S._each(pd.Series(["b", None, "a", "b", ""], [4, 7, 1, 0, 2]), lambda x: asked.append(x) or x + "!")
+    assert got.to_dict() == {4: "b!", 7: None, 1: "a!", 0: "b!", 2: "!"} and sorted(asked) == ["", "a", "b"]
+
+
 def test_long_segments_are_trimmed_whole():
     got = S.seg_text(S.made_up(3, 40) + "Q" * 120_000 + S.made_up(4, 40))
     assert "X" * 119_990 in got
