@@ -531,4 +531,4 @@ def _proteins(spark: SparkSession, d: str) -> DataFrame:
     letters = "ACDEFGHIKLMNPQRSTVWY"
     n = F.lit(60) + F.col("p_partkey") % 50
     one = lambda i: F.substring(F.lit(letters), F.pmod(F.xxhash64(F.col("p_partkey") % 400, i), F.lit(20)).cast("int") + 1, F.lit(1))
-    return _table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("doc_nr"), F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), one), "").alias("seq"))
+    return _spread(_table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").cast("bigint").alias("doc_nr"), F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), one), "").alias("seq"))

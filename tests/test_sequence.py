@@ -212,6 +212,12 @@ def test_dust_is_spread_and_works_out_a_sequence_once(spark):
     assert got.to_dict() == {4: "b!", 7: None, 1: "a!", 0: "b!", 2: "!"} and sorted(asked) == ["", "a", "b"]
 
 
+def test_proteins_are_spread(spark):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["seg_mask"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
 def test_long_segments_are_trimmed_whole():
     got = S.seg_text(S.made_up(3, 40) + "Q" * 120_000 + S.made_up(4, 40))
     assert "X" * 119_990 in got
