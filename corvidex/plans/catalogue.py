@@ -219,7 +219,7 @@ query("max_freq", f"{_ENTRIES} SELECT doc_id, max(freq) AS max_freq FROM entries
 query("weights", f"{_WEIGHTS} SELECT doc_id, ix, key, CAST(w AS INTEGER) AS w FROM weights")(lambda s, d: documents(s, d).weights().select(_doc(), "ix", "key", "w"))
 query("alltext_weights", f"{_WEIGHTS} SELECT doc_id, key, CAST(w AS INTEGER) AS w FROM all_text")(lambda s, d: saved(documents, s, d).table("all_text").select(_doc(), "key", "w"))
 query("df", f"{_ENTRIES} SELECT ix, key, count(*) AS df FROM entries GROUP BY ix, key")(lambda s, d: documents(s, d).table("lexicon"))
-query("idf", f"{_WEIGHTS} SELECT key, df, round(idf, 6) AS idf FROM idf")(lambda s, d: saved(documents, s, d).idf().select("key", "df", F.round("idf", 6).alias("idf")))
+query("idf", f"{_WEIGHTS} SELECT key, df, round(idf, 6) AS idf FROM idf")(lambda s, d: documents(s, d).idf().select("key", "df", F.round("idf", 6).alias("idf")))
 query("doc_norms", f"{_WEIGHTS} SELECT doc_id, round(wd, 6) AS wd FROM doc_weights")(lambda s, d: saved(documents, s, d).table("doc_weights").select(_doc(), F.round("wd", 6).alias("wd")))
 
 
