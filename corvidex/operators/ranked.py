@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
 from .collection import TEXT, TOP_WEIGHT, WEIGHTED, Collection
+from .lineage import cut
 
 ALGORITHMS = ("vector", "dice", "jaccard")
 #: Query terms up to which their table is broadcast; longer queries are joined by a shuffle.
 MOST_TERMS = 50_000
+#: Documents up to which their numbers are broadcast to find their words; more are joined by a shuffle.
+MOST_DOCUMENTS = 1_000_000
 #: Query terms up to which the keys are pushed down to the scan of the postings.
 MOST_PUSHED = 500
 DEFAULT_RESULTS = 1000
@@ -170,7 +173,9 @@ def hits_per_collection(cs: list[Collection], query: dict[str, int]) -> DataFram
 
 def cooccurrence(c: Collection, docs: DataFrame, n: int = 20, offset: int = 0) -> DataFrame:
     """(key, n_docs, score): words in at least two of the documents (doc_nr), by count x idf; numbers are left out."""
-    own = c.table("all_text").join(docs.select("doc_nr").distinct(), "doc_nr", "left_semi").where(~T.is_number("key"))
+    chosen = cut(docs.select("doc_nr").distinct())
+    few = chosen.count() <= MOST_DOCUMENTS
+    own = c.table("all_text").join(F.broadcast(chosen) if few else chosen, "doc_nr", "left_semi").where(~T.is_number("key"))
     common = own.groupBy("key").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
     scored = common.join(c.idf(), "key").select("key", "n_docs", F.round(F.col("n_docs") * F.col("idf"), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "key").offset(offset).limit(n)
