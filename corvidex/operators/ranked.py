@@ -60,8 +60,9 @@ def split_terms(words: list[str]) -> tuple[dict[str, int], list[str]]:
 class Ranked:
     """A ranked query: terms with counts over the union of all indices of a collection."""
 
-    def __init__(self, c: Collection, counts: dict[str, int] | None = None, terms: DataFrame | None = None):
-        self.c, self.counts, self._terms = c, {}, terms
+    def __init__(self, c: Collection, counts: dict[str, int] | None = None, terms: DataFrame | None = None, few: bool = False):
+        """``terms`` (key, freq) is a table in place of counts; ``few``: it is to be broadcast."""
+        self.c, self.counts, self._terms, self.few = c, {}, terms, few or terms is None
         for k, f in (counts or {}).items():
             self.add(k, f)
 
@@ -94,10 +95,10 @@ class Ranked:
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm!r}")
         terms = self.weighted()
-        small = self._terms is None and len(self.counts) <= MOST_TERMS
+        small = self.few and len(self.counts) <= MOST_TERMS
         self.c.settle()
         postings = self.c.table("all_text")
-        if small and len(self.counts) <= MOST_PUSHED:  # reaches the scan, whose row groups are sorted by key
+        if self._terms is None and len(self.counts) <= MOST_PUSHED:  # reaches the scan, whose row groups are sorted by key
             postings = postings.where(F.col("key").isin(*query_weights(self.counts)))
         hits = postings.join(F.broadcast(terms) if small else terms, "key")
         df = hits.groupBy("key", "qw").agg(F.count("*").alias("df"), F.max("w").alias("top"))
@@ -143,7 +144,7 @@ def similar(c: Collection, doc_nr: int) -> Ranked:
     They are taken from the document's own row; the postings are sorted by key, and finding a document there would read them all.
     """
     one = Collection(c.docs.where(F.col("doc_nr") == doc_nr), [i for i in c.indices if i.kind in (TEXT, WEIGHTED)], c.stop)
-    return Ranked(c, terms=one.tokens().groupBy("key").agg(F.count("*").alias("freq")))
+    return Ranked(c, terms=one.tokens().groupBy("key").agg(F.count("*").alias("freq")), few=True)
 
 
 def similar_to_text(c: Collection, text: str) -> Ranked:
